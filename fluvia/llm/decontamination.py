@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, in_bitmap
 from ._common import table, written
 from ._text import chunks, hashed_words, windows
 
@@ -70,8 +71,7 @@ def _windows(width: int, bits: np.ndarray | None):
             pos = np.arange(len(win)) - np.repeat(np.cumsum(per) - per, per)
             first = pos + np.repeat(np.cumsum(counts) - counts, per)
             if bits is not None:
-                at = (win >> _U(64 - FILTER_BITS)).astype(np.int64)
-                keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                keep = in_bitmap(bits, win)
                 win, owner, pos, first = win[keep], owner[keep], pos[keep], first[keep]
             span = first[:, None] + np.arange(width)
             slots = [r[s].view(np.int64) for r, s in zip(raw[span], slot[span], strict=True)] if len(span) else []
@@ -89,20 +89,6 @@ def text_windows(rows: DataFrame, id_col: str, text: str = "text", width: int =
     return base.mapInPandas(_windows(width, bits), _SCHEMA.format(kind))
 
 
-def _hash_filter(wins: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits (1 MB) of the leading bits of all item windows: its size doesn't follow the benchmark's.
-
-    It only spares windows that cannot join; the join itself compares whole hashes.
-    """
-    at = F.shiftrightunsigned("win", 64 - FILTER_BITS)
-    got = wins.select(F.shiftright(at, 3).alias("byte"), at.bitwiseAND(F.lit(7).cast("long")).cast("int").alias("bit"))
-    rows = got.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for r in rows:
-        bits[r["byte"]] = r["v"]
-    return bits
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(id, item, matched, windows, coverage, exact): the pairs of document and item that leak.
 
@@ -111,7 +97,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
     rows of a document count once, as do equal windows. Ids may be null (a null id is an id). Empty tables give no pairs.
     """
     items = written(text_windows(benchmark, item_col, width=width).distinct().select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots"), F.col("length").alias("windows")), "op4-items")
-    found = text_windows(docs, id_col, text, width, _hash_filter(items))
+    found = text_windows(docs, id_col, text, width, bitmap(items, "win", FILTER_BITS))
     hits = found.join(items, "win").select("id", "item", "item_pos", "windows", "item_slots", "slots")
     hits = written(hits.distinct(), "op4-hits")
     pair = ["id", "item"]
