@@ -75,7 +75,7 @@ def _windows(width: int, bits: np.ndarray | None):
                 win, owner, pos, first = win[keep], owner[keep], pos[keep], first[keep]
             span = first[:, None] + np.arange(width)
             slots = [r[s].view(np.int64) for r, s in zip(raw[span], slot[span], strict=True)] if len(span) else []
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[owner], "pos": pos, "win": win.view(np.int64), "slots": slots, "length": per[owner]})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[owner], "pos": pos, "win": win.view(np.int64), "slots": pd.Series(slots, dtype=object), "length": per[owner]})
 
     return run
 
