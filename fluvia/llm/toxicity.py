@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length, with exception phrases.
 
 Texts are lower-cased and folded character by character (homoglyphs, digit and symbol substitutions); plain and folded
-text are both matched, since a digit may also be just a digit. A hit counts where no letter touches it and no exception
-phrase covers it. Lexicon weights are log odds learned from labelled documents; the score is a logistic function of the
+text are both matched, since a digit may also be just a digit. A hit counts where no letter of the plain text touches it
+and no exception phrase covers it. Lexicon weights are log odds learned from labelled documents; the score is a logistic function of the
 weighted hits and of the hits for a hundred words.
 """
 
@@ -61,7 +61,7 @@ def hits(text: str, words: ahocorasick.Automaton) -> dict[int, float]:
     for variant in dict.fromkeys((lower, lower.translate(_GLYPHS), lower.translate(FOLD))):
         for stop, (size, weight) in words.iter(variant):
             start = stop - size + 1
-            if (start and variant[start - 1].isalpha()) or (stop + 1 < len(variant) and variant[stop + 1].isalpha()):
+            if (start and lower[start - 1].isalpha()) or (stop + 1 < len(lower) and lower[stop + 1].isalpha()):
                 continue
             if weight is None:
                 spared.append((start, stop))
