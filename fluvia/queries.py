@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "geo_haversine"
+from .plans import geometry, grids, graph, relational
+
+_MODULES = [geometry, relational, graph, grids]
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+#: Ordered vertices to edges, lengths, sinuosity and bounds of every line.
+FLAGSHIP = "geo_sinuosity"
