@@ -7,9 +7,10 @@ Two texts agree in a coordinate with the probability of their weighted Jaccard s
 about COORDS * ln(COORDS) darts, plus a fraction for each element.
 
 Signatures are cut into bands and texts that share a band meet in a bucket. Equal texts are one class before that. In
-each bucket, members are first paired with a hashed centre; after the components of the confirmed pairs, all pairs of a
-bucket that are still in different components follow (screened by signature bits), so that no link is left out while a
-large group costs a few pairs a member. Every pair is confirmed by the exact Jaccard similarity of its shingles.
+each bucket, members are first paired with a hashed centre, twice with other centres; after the components of the
+confirmed pairs, all pairs of a bucket that are still in different components follow (screened by signature bits, each
+pair in its first shared bucket), so that no link between components is left out while a large group costs a few pairs a
+member. Every pair is confirmed by the exact Jaccard similarity of its shingles.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._bitmap import bitmap, in_bitmap
+from ._common import discard, table, written
 from ._graph import connected_components
 from ._text import chunks, hashed_words, mix64, windows
 
-WIDTH, THRESHOLD, COORDS, ROWS, ORDERS = 5, 0.8, 128, 4, 2
+WIDTH, THRESHOLD, COORDS, ROWS, BANDS, ORDERS, FILTER_BITS = 5, 0.8, 256, 6, 42, 8, 23
 #: Signature bits kept for the screen of leftover pairs, and its margin in standard deviations.
 BITS, MARGIN = 4, 5.0
 _U = np.uint64
@@ -107,8 +109,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, owner = shingles(pdf["text"].tolist())
         sig = dart_signatures(h, owner, len(pdf))
         has = np.bincount(owner, minlength=len(pdf)) > 0
-        keys = np.zeros((len(pdf), COORDS // ROWS), dtype=_U)
-        for b in range(COORDS // ROWS):
+        keys = np.zeros((len(pdf), BANDS), dtype=_U)
+        for b in range(BANDS):
             k = np.full(len(pdf), b + 1, dtype=_U)
             for r in range(ROWS):
                 k = mix64(k * _U(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
@@ -137,11 +139,35 @@ def text_node(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _present(words: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[in_bitmap(words, pdf["h"].to_numpy().view(_U)), ["node", "text"]]
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "op10-texts")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "op10-ids")
+    words = bitmap(ids.select(F.xxhash64("node").alias("h")), "h", FILTER_BITS)
+    near = docs.withColumn("h", F.xxhash64("node")).mapInPandas(_present(words), "node binary, text string")
+    texts = written(near.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "op10-texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a binary, b binary"), "op10-links")
+    out = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a binary, b binary"), "op10-links")
+    discard(texts)
+    return out
+
+
+def _centred(members: DataFrame, seed: int) -> DataFrame:
+    """(a, b): each member of a bucket with a hashed centre of it; ORDERS different orders over all buckets."""
+    order = F.pmod(F.col("key"), F.lit(ORDERS)) + seed * ORDERS
+    centre = F.min(F.struct(F.xxhash64("node", order).alias("h"), F.col("node").alias("centre")))
+    centres = members.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1").select("key", F.col("c.centre").alias("centre"))
+    return members.join(centres, "key")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.where("node != centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -152,32 +178,45 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     base = docs.select(text_node(F.col(text)).alias("node"), F.col(text).alias("text")).where("text IS NOT NULL")
     signed = written(base.mapInPandas(_sign, "node binary, keys array<long>, bits array<long>"), "op10-signatures")
     once = signed.dropDuplicates(["node"])
-    members = once.select("node", F.explode("keys").alias("key"))
-    orders = F.pmod(F.col("key"), F.lit(ORDERS))
-    centre = F.min(F.struct(F.xxhash64("node", orders).alias("h"), F.col("node").alias("centre")))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1").select("key", F.col("c.centre").alias("centre"))
-    shared = written(members.join(buckets, "key"), "op10-buckets")
-    stars = written(shared.where("node != centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct(), "op10-pairs")
+    shared = written(_centred(once.select("node", F.explode("keys").alias("key")), 0), "op10-buckets")
+    stars = written(_pairs(shared), "op10-pairs")
     links = _confirmed(stars, base)
     groups = written(connected_components(links), "op10-groups")
 
-    # pairs that share a bucket and are still apart
-    placed = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    apart = written(placed.join(open_keys, "key").join(once.select("node", "bits"), "node"), "op10-open")
+    # what shares a bucket and is still apart: once more with other centres, then every pair
+    apart = _apart(shared, groups)
+    second = apart.join(_centred(apart.select("key", "node"), 1).select("key", "node", "centre"), ["key", "node"])
+    at = apart.select("key", F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+    second = _pairs(second.join(at, ["key", "centre"]).where("root != centre_root").select("node", "centre"))
+    second = written(second.join(stars, ["a", "b"], "left_anti"), "op10-pairs")
+    if second.isEmpty():
+        return groups
+    groups = written(connected_components(_as_edges(groups).unionByName(_confirmed(second, base))), "op10-groups")
+
+    apart = written(_apart(shared, groups).join(once, "node"), "op10-open")
     same = (1 << BITS) - 1
     agreed = sum(F.bit_count(_planes_equal(word)) for word in range(COORDS // 64))
-    expected = (THRESHOLD + (1 - THRESHOLD) / (same + 1)) * COORDS
-    least = expected - MARGIN * math.sqrt(expected * (1 - expected / COORDS))
+    expected = THRESHOLD + (1 - THRESHOLD) / (same + 1)
+    least = COORDS * (expected - MARGIN * math.sqrt(expected * (1 - expected) / COORDS))
+    first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.array_position("x.keys", F.col("x.key"))
     x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (agreed >= least))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (agreed >= least) & first)
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "op10-pairs")
+    rest = written(rest.join(stars, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "op10-pairs")
     if rest.isEmpty():
         return groups
-    more = _confirmed(rest, base)
-    star = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(star.unionByName(more))
+    return connected_components(_as_edges(groups).unionByName(_confirmed(rest, base)))
+
+
+def _apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, node, root) of the buckets whose members lie in more than one component."""
+    placed = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return written(placed.join(mixed, "key"), "op10-open")
+
+
+def _as_edges(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _planes_equal(word: int) -> Column:
