@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, in_bitmap
 from ._common import table, written
 from ._split import held_out, sampled
 from ._text import chunks
 
 # Parameters: labelled documents of each label to learn from at most; entries of the lexicon at most; what a learned entry must show.
-MAX_TRAIN, MAX_LEXICON, LEAST_TEXTS, LEAST_ODDS = 20_000, 1000, 5, 3.0
+MAX_TRAIN, MAX_LEXICON, LEAST_TEXTS, LEAST_ODDS, FILTER_BITS = 20_000, 1000, 5, 3.0, 22
 # Entries that are matched whatever the labels say (weight SEED_WEIGHT where the labels don't tell).
 SEEDS = ["clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 EXCEPTIONS = ["clown fish", "idiot proof", "trash bin", "trash can"]
@@ -125,11 +126,24 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float
     return tuple(float(v) for v in b)
 
 
+def _present(words: np.ndarray):
+    """Only texts that the sample may hold are shuffled to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[in_bitmap(words, pdf["h"].to_numpy().view(np.uint64)), ["doc_id", "text"]]
+
+    return run
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents that are not held out: a sample of MAX_TRAIN of each label at most."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    rows = sampled(known, "toxic", MAX_TRAIN)
-    labelled = written(docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic"), "op9-train")
+    rows = written(sampled(known, "toxic", MAX_TRAIN), "op9-sample")
+    hashed = F.xxhash64("doc_id").alias("h")
+    words = bitmap(rows.select(hashed), "h", FILTER_BITS)
+    near = docs.select("doc_id", "text", hashed).mapInPandas(_present(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    labelled = written(near.join(rows, "doc_id").select("text", "toxic"), "op9-train")
     lexicon = learn_lexicon(labelled)
     seen = features(labelled, lexicon, ["toxic"]).toPandas()
     if seen["toxic"].nunique() < 2:
