@@ -26,7 +26,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. Its ``path`` is kept on the frame."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # the shuffle files of this job are of no use once the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out

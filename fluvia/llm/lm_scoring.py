@@ -8,7 +8,7 @@ one term for each n-gram occurrence:
     term(w) = ln(A c(w) / N)        term(v w) = ln(c(v w) / c(v)) - term(w), 0 where v w is not in the table
 
 so occurrences need not meet again: the occurrences are exploded, joined by hash to the table of terms, and summed per
-document. N-grams are keyed by two 64-bit word hashes (0 and the word for a single one). Those that make up 1 / HOT of
+document. N-grams are counted by two 64-bit word hashes (0 and the word for a single one) and joined by one hash of both. Those that make up 1 / HOT of
 all occurrences or more, HOT for each order at most, are looked up while the texts are read; all others are shuffled.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import discard, table, written
 from ._text import chunks, hashed_words, mix64
 
-BACKOFF, MIN_COUNT, HOT = 0.4, 2, 1 << 16
+BACKOFF, MIN_COUNT, HOT = 0.4, 2, 1 << 20
 _U = np.uint64
 
 
@@ -42,11 +42,23 @@ def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in chunks(batches, "text", 6_000_000):
         first, second, _, _ = _ngrams(pdf["text"].tolist())
-        key = mix64(first * _U(0x9E3779B97F4A7C15) + second)
+        key = _key(first, second)
         _, at, n = np.unique(key, return_index=True, return_counts=True)
+        order = np.lexsort((second[at], first[at]))  # rows that share a word lie together and compress well
+        at, n = at[order], n[order]
         yield pd.DataFrame({"first": first[at].view(np.int64), "second": second[at].view(np.int64), "n": n})
 
 
+def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first * _U(0x9E3779B97F4A7C15) + second)
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        key = _key(pdf["first"].to_numpy().view(_U), pdf["second"].to_numpy().view(_U))
+        yield pd.DataFrame({"key": key.view(np.int64), "n": pdf["n"], "term": pdf["term"]})
+
+
 def _look_up(hot):
     """id, text -> the id's words and terms of hot n-grams (one row), and a row for each occurrence of another n-gram."""
 
@@ -55,21 +67,21 @@ def _look_up(hot):
         for pdf in chunks(batches, "text"):
             ids = pdf["id"].to_numpy()
             first, second, owner, counts = _ngrams(pdf["text"].where(pdf["text"].notna(), "").tolist())
-            key = mix64(first * _U(0x9E3779B97F4A7C15) + second)
+            key = _key(first, second)
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             known = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
             total = np.bincount(owner[known], weights=terms[at[known]], minlength=len(pdf)) if known.any() else np.zeros(len(pdf))
             total = total - np.where(counts > 0, math.log(BACKOFF), 0.0)  # the first word needs no backoff
             own = mix64(np.arange(len(pdf), dtype=_U) + _U(len(key))).view(np.int64)
-            yield pd.DataFrame({"id": ids, "first": own, "second": np.zeros(len(pdf), dtype=np.int64), "words": counts, "known": total})
+            yield pd.DataFrame({"id": ids, "key": own, "words": counts, "known": total})
             rest = ~known
-            yield pd.DataFrame({"id": ids[owner[rest]], "first": first[rest].view(np.int64), "second": second[rest].view(np.int64), "words": 0, "known": 0.0})
+            yield pd.DataFrame({"id": ids[owner[rest]], "key": key[rest].view(np.int64), "words": 0, "known": 0.0})
 
     return run
 
 
 def term_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(first, second, n, total, term) of all single words and of the bigrams of MIN_COUNT or more; a written table."""
+    """(key, n, total, term) of all single words and of the bigrams of MIN_COUNT or more; a written table."""
     base = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     counted = base.mapInPandas(_count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
     counts = written(counted.where((F.col("first") == 0) | (F.col("n") >= MIN_COUNT)), "op6-counts")
@@ -80,7 +92,8 @@ def term_table(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = counts.where("first != 0")
     pairs = pairs.join(words.select(F.col("w").alias("first"), F.col("wn").alias("before")), "first").join(words.select(F.col("w").alias("second"), "wterm"), "second")
     pairs = pairs.select("first", "second", "n", (F.log(F.col("n") / F.col("before")) - F.col("wterm")).alias("term"))
-    out = written(single.select("first", "second", "n", backed.alias("term")).unionByName(pairs).withColumn("total", F.lit(total)), "op6-terms")
+    both = single.select("first", "second", "n", backed.alias("term")).unionByName(pairs)
+    out = written(both.mapInPandas(_keyed, "key long, n long, term double").withColumn("total", F.lit(total)), "op6-terms")
     discard(counts)
     return out
 
@@ -93,15 +106,15 @@ def score(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     often = terms.where(F.col("n") * HOT >= F.col("total"))  # HOT of each order at most: each makes up 1 / HOT of all
-    got = often.select("first", "second", "term").toPandas()
-    key = mix64(got["first"].to_numpy(dtype=np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + got["second"].to_numpy(dtype=np.int64).view(_U))
+    got = often.select("key", "term").toPandas()
+    key = got["key"].to_numpy(dtype=np.int64).view(_U)
     order = np.argsort(key)
     hot = spark.sparkContext.broadcast((key[order], got["term"].to_numpy(dtype=float)[order]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    seen = rows.mapInPandas(_look_up(hot), f"id {kind}, first long, second long, words long, known double")
-    rest = terms.where(F.col("n") * HOT < F.col("total")).select("first", "second", "term")
-    summed = seen.join(rest, ["first", "second"], "left").groupBy("id").agg(F.sum("words").alias("n_words"), F.sum(F.col("known") + F.coalesce("term", F.lit(0.0))).alias("log_score"))
+    seen = rows.mapInPandas(_look_up(hot), f"id {kind}, key long, words long, known double")
+    rest = terms.where(F.col("n") * HOT < F.col("total")).select("key", "term")
+    summed = seen.join(rest, "key", "left").groupBy("id").agg(F.sum("words").alias("n_words"), F.sum(F.col("known") + F.coalesce("term", F.lit(0.0))).alias("log_score"))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return summed.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
