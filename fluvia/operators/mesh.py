@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def _grid(spark: SparkSession, nrow: int, ncol: int) -> DataFrame:
     d = spark.range(nrow * ncol).withColumnRenamed("id", "__i")
@@ -83,3 +85,34 @@ def neighbor_distance(cells: DataFrame, distance) -> DataFrame:
     other = cells.select(F.col("cell_id").alias("neighbor"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
     j = d.join(other, "neighbor")
     return j.select("cell_id", "neighbor", distance(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")).alias("distance"))
+
+
+def fill_holes(grid: DataFrame, kept: DataFrame) -> DataFrame:
+    """(cell_id, filled): the ``kept`` cells, and each cell of ``grid`` that is the only missing neighbour of a kept one."""
+    near = grid.join(kept.select("cell_id"), "cell_id", "left_semi").select("cell_id", F.explode("neighbors").alias("neighbor"))
+    missing = near.join(kept.select(F.col("cell_id").alias("neighbor")), "neighbor", "left_anti")
+    holes = missing.groupBy("cell_id").agg(F.count("*").alias("n"), F.min("neighbor").alias("neighbor")).where("n = 1")
+    return kept.select("cell_id", F.lit(0).alias("filled")).unionByName(holes.select(F.col("neighbor").alias("cell_id"), F.lit(1).alias("filled")).distinct())
+
+
+def compose_spacing(cells: DataFrame, masks: list[tuple[DataFrame, float]], default: float) -> DataFrame:
+    """(cell_id, spacing): the least of ``default`` and the resolutions of the masks (cell_id) that hold the cell."""
+    d = cells.select("cell_id", F.lit(float(default)).alias("spacing"))
+    for mask, resolution in masks:
+        d = d.join(mask.select("cell_id").distinct().withColumn("__in", F.lit(float(resolution))), "cell_id", "left")
+        d = d.select("cell_id", F.least("spacing", F.coalesce("__in", F.col("spacing"))).alias("spacing"))
+    return d
+
+
+def cubed_sphere(spark: SparkSession, n: int) -> DataFrame:
+    """Six faces of ``n`` by ``n`` cells of equal angles: (cell_id, face, lon, lat, ring)."""
+    d = spark.range(6 * n * n).select((F.col("id") + 1).alias("cell_id"), F.floor(F.col("id") / (n * n)).alias("face"), (F.col("id") % n).alias("i"), (F.floor(F.col("id") / n) % n).alias("j"))
+    one, face = F.lit(1.0), F.col("face")
+
+    def place(di: float, dj: float) -> tuple[Column, Column]:
+        a, b = [F.tan((F.col(k) + x) * (math.pi / 2 / n) - math.pi / 4) for k, x in (("i", di), ("j", dj))]
+        sides = [(one, a, b), (-a, one, b), (-one, -a, b), (a, -one, b), (-b, a, one), (b, a, -one)]
+        return geo.to_lonlat(*[F.element_at(F.array(*[side[axis] for side in sides]), (face + 1).cast("int")) for axis in range(3)])
+
+    lon, lat = place(0.5, 0.5)
+    return d.select("cell_id", "face", lon.alias("lon"), lat.alias("lat"), _ring(place(0, 0), place(1, 0), place(1, 1), place(0, 1)).alias("ring"))

@@ -164,14 +164,62 @@ def segments(tree: DataFrame) -> DataFrame:
 
 
 def merge(lines: DataFrame, middle: DataFrame) -> DataFrame:
-    """(line, first, parts, length): chains through ``middle`` (vertex) become one line, named by their downstream piece.
+    """(line, first, parts, length, dam?): chains through ``middle`` (vertex) become one line, named by their downstream piece.
 
-    ``lines`` has (line, start, end, down, length). first is the uppermost piece, parts the number of pieces.
+    ``lines`` has (line, start, end, down, length); a column ``dam``, where there is one, becomes the pieces' greatest. first is the uppermost piece, parts the number of pieces.
     """
     at = middle.select(F.col("vertex").alias("end")).withColumn("__middle", F.lit(True))
     links = lines.join(at, "end", "left").select("line", F.when(F.col("__middle"), F.col("down")).alias("down"), "length").withColumn("__one", F.lit(1).cast("long"))
-    placed = jump(links, "__one").join(lines.select("line", "length"), "line")
-    return placed.groupBy(F.col("root").alias("line")).agg(F.max_by("line", "total").alias("first"), F.count("*").alias("parts"), F.sum("length").alias("length"))
+    dam = ["dam"] if "dam" in lines.columns else []
+    placed = jump(links, "__one").join(lines.select("line", "length", *dam), "line")
+    return placed.groupBy(F.col("root").alias("line")).agg(F.max_by("line", "total").alias("first"), F.count("*").alias("parts"), F.sum("length").alias("length"), *[F.max(c).alias(c) for c in dam])
+
+
+def small_river_rounds(lines: DataFrame, outlet, threshold: float, rounds: int = 3) -> DataFrame:
+    """(line, start, end, length, dam) after ``rounds`` of dropping small headwaters and merging the chains that this leaves."""
+    now = written(lines.select("line", "start", "end", "length", "dam"))
+    for _ in range(rounds):
+        kept = written(with_headwater_order(remove_small_rivers(with_headwater_order(now), threshold).drop("stream_order")))
+        middle = classify(kept, outlet).where("kind = 'middle'").select("vertex")
+        merged = merge(downstream_lines(kept), middle)
+        first = kept.select(F.col("line").alias("first"), "start")
+        now = written(merged.join(first, "first").join(kept.select("line", "end"), "line").select("line", "start", "end", "length", "dam"))
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the undirected ``edges`` (a, b); root is the least node of its component.
+
+    Each round takes the least root among the neighbours, then the root of the root, so that long chains shorten fast.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+    state = written(first.select("node", F.least("node", "b").alias("root"), F.col("node").alias("was")))
+
+    def step(d: DataFrame) -> DataFrame:
+        near = both.join(d.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("__near"))
+        moved = d.join(near, "node").select("node", F.least("root", "__near").alias("__root"), F.col("root").alias("was"))
+        far = d.select(F.col("node").alias("__root"), F.col("root").alias("__far"))
+        return moved.join(far, "__root").select("node", F.least("__root", "__far").alias("root"), "was")
+
+    # one round more after the first, for nodes that start at their least neighbour
+    return until_empty(written(step(state)), step, lambda d: d.where("root != was")).select("node", "root")
+
+
+def trace_downstream(starts: DataFrame, topology: DataFrame, known: DataFrame) -> DataFrame:
+    """(id): the ``starts`` and all that lies downstream of them by ``topology`` (from, to), up to the ``known`` ids.
+
+    Known ids end the walk and are not part of the result. One round for each step of the longest walk.
+    """
+    new = starts.select("id").distinct().join(known, "id", "left_anti")
+    state = written(new.withColumn("fresh", F.lit(True)))
+
+    def step(d: DataFrame) -> DataFrame:
+        onward = d.where("fresh").join(topology.select(F.col("from").alias("id"), "to"), "id").select(F.col("to").alias("id")).distinct()
+        onward = onward.join(known, "id", "left_anti").join(d, "id", "left_anti")
+        return d.select("id", F.lit(False).alias("fresh")).unionByName(onward.withColumn("fresh", F.lit(True)))
+
+    return until_empty(state, step, lambda d: d.where("fresh")).select("id")
 
 
 def orient(lines: DataFrame, outlet) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def tiles(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
     """The (tx, ty) tiles that a box touches, as an array; a box wider than a tile touches several."""
@@ -47,7 +49,7 @@ def edges_in_cells(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame
 
 
 def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """(a_line, a_pos, b_line, b_pos, lon, lat): proper crossings of edges of ``a`` and ``b``, found in their shared tiles."""
+    """(a_line, a_pos, b_line, b_pos, u, lon, lat): proper crossings of edges of ``a`` and ``b``, found in their shared tiles; u is the share of a's edge."""
 
     def dealt(d: DataFrame, p: str) -> DataFrame:
         box = [F.least("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lon1", "lon2"), F.greatest("lat1", "lat2")]
@@ -63,4 +65,51 @@ def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     j = j.where(cross != 0).withColumn("u", u).withColumn("v", v).where("u > 0 AND u < 1 AND v > 0 AND v < 1")
     j = j.withColumn("lon", F.col("a_lon1") + F.col("u") * rx).withColumn("lat", F.col("a_lat1") + F.col("u") * ry)
     own = (F.col("t.tx") == F.floor(F.col("lon") / size)) & (F.col("t.ty") == F.floor(F.col("lat") / size))
-    return j.where(own).select("a_line", "a_pos", "b_line", "b_pos", "lon", "lat")
+    return j.where(own).select("a_line", "a_pos", "b_line", "b_pos", "u", "lon", "lat")
+
+
+def within(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
+    """``points`` with the ``others`` (other, lon, lat) at ``metres`` or less: other, distance.
+
+    Cartesian tiles as wide as the radius, so poles and the date line are no special cases: each point is in one tile,
+    each other in its own and the 26 around it, and a pair meets once.
+    """
+
+    def tile(lon: Column, lat: Column, offsets: list[tuple[int, int, int]]) -> Column:
+        x, y, z = [F.floor(c * (geo.RADIUS / (metres * 1.001))) for c in geo.unit_xyz(lon, lat)]
+        return F.explode(F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y"), (z + k).alias("z")) for i, j, k in offsets]))
+
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    p = points.withColumn("__tile", tile(F.col("lon"), F.col("lat"), [(0, 0, 0)]))
+    o = others.select("other", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"), tile(F.col("lon"), F.col("lat"), around).alias("__tile"))
+    d = p.join(o, "__tile").withColumn("distance", geo.haversine(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")))
+    return d.where(F.col("distance") <= metres).drop("__tile", "__lon", "__lat")
+
+
+def snap(points: DataFrame, others: DataFrame, metres: float) -> DataFrame:
+    """(id, other): each point (id, lon, lat) with the first of the ``others`` within ``metres``, by the order of ``other``."""
+    return within(points, others, metres).groupBy("id").agg(F.min("other").alias("other"))
+
+
+def erase_loops(cells: Column) -> Column:
+    """An array of cells without what lies between the first and the last visit of a cell, walked from the start."""
+    n = F.size(cells)
+
+    def step(s: Column, i: Column) -> Column:
+        here = F.get(cells, i)
+        onward = (n - F.array_position(F.reverse(cells), here) + 1).cast("int")
+        return F.when(i == s["next"], F.struct(onward.alias("next"), F.concat(s["out"], F.array(here)).alias("out"))).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("next"), F.slice(cells, 1, 0).alias("out"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])).otherwise(cells)
+
+
+def burn(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cell_id, segment, stream_order, downstream): attributes of the last edge (by ``pos``) that leaves a cell's centre; -1 where none does."""
+    at = cells.select("cell_id", geo.vertex_key(F.col("lon"), F.col("lat")).alias("__key"))
+    e = edges.withColumn("__key", geo.vertex_key(F.col("lon1"), F.col("lat1"))).join(at, "__key").drop("__key")
+    end = at.withColumnRenamed("cell_id", "__down")
+    e = e.withColumn("__key", geo.vertex_key(F.col("lon2"), F.col("lat2"))).join(end, "__key", "left")
+    last = e.groupBy("cell_id").agg(F.max_by(F.struct("segment", "stream_order", "__down"), "pos").alias("v"))
+    value = lambda c: F.coalesce(F.col("v")[c], F.lit(-1)).cast("long")
+    return cells.select("cell_id").join(last, "cell_id", "left").select("cell_id", value("segment").alias("segment"), value("stream_order").alias("stream_order"), value("__down").alias("downstream"))

@@ -5,17 +5,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into spark.checkpoint.dir (one of our own only where it is unset) and read it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in spark.checkpoint.dir (in a folder of our own only where it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = "/tmp/checkpoints/fluvia"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import geometry, grids, graph, relational
+from .plans import geometry, graph, grids, lookups, relational
 
-_MODULES = [geometry, relational, graph, grids]
+_MODULES = [geometry, relational, graph, grids, lookups]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 #: Ordered vertices to edges, lengths, sinuosity and bounds of every line.
