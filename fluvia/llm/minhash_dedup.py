@@ -8,8 +8,8 @@ about COORDS * ln(COORDS) darts, plus a fraction for each element.
 
 Signatures are cut into bands and texts that share a band meet in a bucket. Equal texts are one class before that. In
 each bucket, members are first paired with a hashed centre, twice with other centres; after the components of the
-confirmed pairs, all pairs of a bucket that are still in different components follow (screened by signature bits, each
-pair in its first shared bucket), so that no link between components is left out while a large group costs a few pairs a
+confirmed pairs, all pairs of a bucket that are still in different components follow (screened by the bits of a longer
+signature, which only texts of such buckets get; each pair in its first shared bucket), so that no link between components is left out while a large group costs a few pairs a
 member. Every pair is confirmed by the exact Jaccard similarity of its shingles.
 """
 
@@ -29,8 +29,8 @@ from ._graph import connected_components
 from ._text import chunks, hashed_words, mix64, windows
 
 WIDTH, THRESHOLD, COORDS, ROWS, BANDS, ORDERS, FILTER_BITS = 5, 0.8, 256, 6, 42, 8, 23
-#: Signature bits kept for the screen of leftover pairs, and its margin in standard deviations.
-BITS, MARGIN = 4, 5.0
+#: Coordinates and bits of each for the screen of leftover pairs, and its margin in standard deviations.
+SCREEN, BITS, MARGIN = 1024, 4, 5.0
 _U = np.uint64
 
 
@@ -104,7 +104,7 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, coords: int
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, text -> node, band keys and screen bits; texts without words give no row."""
+    """node, text -> node and band keys; texts without words give no row."""
     for pdf in chunks(batches, "text"):
         h, owner = shingles(pdf["text"].tolist())
         sig = dart_signatures(h, owner, len(pdf))
@@ -115,9 +115,16 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in range(ROWS):
                 k = mix64(k * _U(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
             keys[:, b] = k
+        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "keys": list(keys.view(np.int64))})[has]
+
+
+def _screen_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, text -> node and BITS planes of one bit a coordinate, 64 to a word."""
+    for pdf in chunks(batches, "text", 500_000):
+        h, owner = shingles(pdf["text"].tolist())
+        sig = dart_signatures(h, owner, len(pdf), SCREEN)
         planes = [np.packbits(((sig >> _U(8 + i)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for i in range(BITS)]
-        out = pd.DataFrame({"node": pdf["node"].to_numpy(), "keys": list(keys.view(np.int64)), "bits": list(np.concatenate(planes, axis=1))})
-        yield out[has]
+        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "bits": list(np.concatenate(planes, axis=1))})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,11 +154,16 @@ def _present(words: np.ndarray):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "op10-ids")
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one text for each of ``nodes``, a written table."""
+    ids = written(nodes.distinct(), "op10-ids")
     words = bitmap(ids.select(F.xxhash64("node").alias("h")), "h", FILTER_BITS)
     near = docs.withColumn("h", F.xxhash64("node")).mapInPandas(_present(words), "node binary, text string")
-    texts = written(near.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "op10-texts")
+    return written(near.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "op10-texts")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     out = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a binary, b binary"), "op10-links")
     discard(texts)
@@ -176,7 +188,7 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts and texts without words link with nothing. An empty table gives an empty result.
     """
     base = docs.select(text_node(F.col(text)).alias("node"), F.col(text).alias("text")).where("text IS NOT NULL")
-    signed = written(base.mapInPandas(_sign, "node binary, keys array<long>, bits array<long>"), "op10-signatures")
+    signed = written(base.mapInPandas(_sign, "node binary, keys array<long>"), "op10-signatures")
     once = signed.dropDuplicates(["node"])
     shared = written(_centred(once.select("node", F.explode("keys").alias("key")), 0), "op10-buckets")
     stars = written(_pairs(shared), "op10-pairs")
@@ -193,11 +205,14 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         return groups
     groups = written(connected_components(_as_edges(groups).unionByName(_confirmed(second, base))), "op10-groups")
 
-    apart = written(_apart(shared, groups).join(once, "node"), "op10-open")
-    same = (1 << BITS) - 1
-    agreed = sum(F.bit_count(_planes_equal(word)) for word in range(COORDS // 64))
-    expected = THRESHOLD + (1 - THRESHOLD) / (same + 1)
-    least = COORDS * (expected - MARGIN * math.sqrt(expected * (1 - expected) / COORDS))
+    apart = _apart(shared, groups)
+    texts = _texts(apart.select("node"), base)
+    screens = texts.mapInPandas(_screen_bits, "node binary, bits array<long>")
+    apart = written(apart.join(once, "node").join(screens, "node"), "op10-open")
+    discard(texts)
+    agreed = sum(F.bit_count(_planes_equal(word)) for word in range(SCREEN // 64))
+    expected = THRESHOLD + (1 - THRESHOLD) / (1 << BITS)
+    least = SCREEN * (expected - MARGIN * math.sqrt(expected * (1 - expected) / SCREEN))
     first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.array_position("x.keys", F.col("x.key"))
     x, y = apart.alias("x"), apart.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (agreed >= least) & first)
@@ -222,7 +237,7 @@ def _as_edges(groups: DataFrame) -> DataFrame:
 def _planes_equal(word: int) -> Column:
     out = None
     for plane in range(BITS):
-        i = plane * (COORDS // 64) + word
+        i = plane * (SCREEN // 64) + word
         equal = F.bitwise_not(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
         out = equal if out is None else out.bitwiseAND(equal)
     return out
