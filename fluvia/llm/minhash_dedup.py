@@ -118,27 +118,22 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": pdf["node"].to_numpy(), "keys": list(keys.view(np.int64))})[has]
 
 
-def _screen_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, text -> node and BITS planes of one bit a coordinate, 64 to a word."""
-    for pdf in chunks(batches, "text", 500_000):
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, text -> node and the set of its shingle hashes."""
+    for pdf in chunks(batches, "text"):
         h, owner = shingles(pdf["text"].tolist())
-        sig = dart_signatures(h, owner, len(pdf), SCREEN)
-        planes = [np.packbits(((sig >> _U(8 + i)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for i in range(BITS)]
-        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "bits": list(np.concatenate(planes, axis=1))})
+        cuts = np.searchsorted(owner, np.arange(1, len(pdf)))
+        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "grams": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]})
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a, b, text_a, text_b -> the pairs whose shingle sets reach the threshold."""
-    cached: tuple = (None, None)
-    for pdf in chunks(batches, "text_a", 500_000):
-        keep = []
-        for b, ta, tb in zip(pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            if cached[0] != b:
-                cached = (b, np.unique(shingles([tb])[0]))
-            x, y = np.unique(shingles([ta])[0]), cached[1]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common >= THRESHOLD * (len(x) + len(y) - common) - 1e-9)
-        yield pdf.loc[keep, ["a", "b"]]
+def _screen_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, grams -> node and BITS planes of one bit a coordinate, 64 to a word."""
+    for pdf in chunks(batches, "grams", 100_000):
+        elements = np.concatenate(pdf["grams"].tolist()).view(_U)
+        owner = np.repeat(np.arange(len(pdf)), pdf["grams"].map(len).to_numpy())
+        sig = dart_signatures(elements, owner, len(pdf), SCREEN)
+        planes = [np.packbits(((sig >> _U(8 + i)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for i in range(BITS)]
+        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "bits": list(np.concatenate(planes, axis=1))})
 
 
 def text_node(text: Column) -> Column:
@@ -154,19 +149,22 @@ def _present(words: np.ndarray):
     return run
 
 
-def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text): one text for each of ``nodes``, a written table."""
+def _gram_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, grams): the shingle set of each of ``nodes``, a written table."""
     ids = written(nodes.distinct(), "op10-ids")
     words = bitmap(ids.select(F.xxhash64("node").alias("h")), "h", FILTER_BITS)
     near = docs.withColumn("h", F.xxhash64("node")).mapInPandas(_present(words), "node binary, text string")
-    return written(near.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "op10-texts")
+    texts = near.join(ids, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    return written(texts.mapInPandas(_grams, "node binary, grams array<long>"), "op10-grams")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    out = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a binary, b binary"), "op10-links")
-    discard(texts)
+    """The pairs (a, b) whose shingle sets reach the threshold."""
+    sets = _gram_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    common = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    out = written(common.where(F.col("c") >= THRESHOLD * (F.col("n") - F.col("c")) - 1e-9).select("a", "b"), "op10-links")
+    discard(sets)
     return out
 
 
@@ -206,10 +204,10 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     groups = written(connected_components(_as_edges(groups).unionByName(_confirmed(second, base))), "op10-groups")
 
     apart = _apart(shared, groups)
-    texts = _texts(apart.select("node"), base)
-    screens = texts.mapInPandas(_screen_bits, "node binary, bits array<long>")
+    sets = _gram_sets(apart.select("node"), base)
+    screens = sets.mapInPandas(_screen_bits, "node binary, bits array<long>")
     apart = written(apart.join(once, "node").join(screens, "node"), "op10-open")
-    discard(texts)
+    discard(sets)
     agreed = sum(F.bit_count(_planes_equal(word)) for word in range(SCREEN // 64))
     expected = THRESHOLD + (1 - THRESHOLD) / (1 << BITS)
     least = SCREEN * (expected - MARGIN * math.sqrt(expected * (1 - expected) / SCREEN))
