@@ -1,16 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of benchmark items and documents are replaced by typed placeholders: numbers, names (capitalised inside a
-sentence) and units (after a number). Runs of WINDOW template words are hashed; document windows are hash-joined to
-item windows, so that an item is also found when its numbers, names or units were exchanged. A pair of document and
-item is reported if the windows cover enough of the item and its slots are consistent: every value of the item stands
-for one value of the document throughout, which is what a re-parameterised question does and chance matches don't.
+sentence) and units (after a number). Runs of ANCHOR template words are hashed; document runs are hash-joined to item
+runs, which gives candidate pairs also where numbers, names or units were exchanged. Each candidate is then aligned word
+by word, with jumps of SLACK words at most for words put in or left out. It is reported if an alignment covers enough of
+the item's words and its slots are consistent: every value of the item stands for one value of the document throughout
+this alignment, which is what a re-parameterised question does and chance matches don't.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,12 +25,22 @@ from ._common import table, written
 from ._text import chunks, hashed_words, windows
 
 WINDOW, COVERAGE, CONSISTENT, FILTER_BITS = 8, 0.6, 0.9, 23
+ANCHOR, SLACK, SALTS = WINDOW, 3, 16
 # Units after a number.
 UNITS = "cm ft g gb hours hour kb kg kilometers km lb lbs m mb meters mg miles min minutes ml mm mph oz percent seconds tb years year".split()
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _U = np.uint64
 
 
+class Words(NamedTuple):
+    """Template hash, raw hash, is a slot, is capitalised, of every word in a row."""
+
+    template: np.ndarray
+    raw: np.ndarray
+    slot: np.ndarray
+    capital: np.ndarray
+
+
 def _kinds(token: str) -> int:
     """0 lower-case word, 1 capitalised word, 2 number, 3 sentence end, 4 unit."""
     if token[0] in ".!?\n":
@@ -39,8 +52,8 @@ def _kinds(token: str) -> int:
     return 1 if token[0].isupper() and token[1:].islower() else 0
 
 
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, raw hash, is a slot) of every word of all texts in a row, and each text's number of words."""
+def templates(texts: list[str]) -> tuple[Words, np.ndarray]:
+    """The words of all texts in a row, and each text's number of words."""
     lists = [TOKEN.findall(t) for t in texts]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     codes, unique = pd.factorize(np.array([w for x in lists for w in x], dtype=object)) if sizes.sum() else (np.zeros(0, dtype=np.int64), [])
@@ -54,63 +67,169 @@ def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     template = np.where(number, _U(2), np.where(name, _U(3), np.where(unit, _U(5), raw)))
     words = kind != 3
     owner = np.repeat(np.arange(len(texts)), sizes)[words]
-    return template[words], raw[words], slot[words], np.bincount(owner, minlength=len(texts))
+    return Words(template[words], raw[words], slot[words], kind[words] == 1), np.bincount(owner, minlength=len(texts))
 
 
-def _windows(width: int, bits: np.ndarray | None):
-    """id, text -> id, pos, win, slots (raw hashes of the slots in the window, in order), length (windows of the text).
+def _anchors(widths: list[int], bits: np.ndarray | None):
+    """id, mark, text -> id, mark, win, width: the distinct runs of the texts.
 
-    A text of fewer words than ``width`` gives none. With ``bits`` only windows whose hash falls on a set bit are given.
+    With ``bits`` only runs whose hash falls on a set bit are given, of all ``widths``; without, each text has runs of
+    the largest of the widths that it holds.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, "text"):
-            template, raw, slot, counts = templates(pdf["text"].tolist())
-            win, owner = windows(template, counts, width)
-            per = np.maximum(counts - width + 1, 0)
-            pos = np.arange(len(win)) - np.repeat(np.cumsum(per) - per, per)
-            first = pos + np.repeat(np.cumsum(counts) - counts, per)
-            if bits is not None:
-                keep = in_bitmap(bits, win)
-                win, owner, pos, first = win[keep], owner[keep], pos[keep], first[keep]
-            span = first[:, None] + np.arange(width)
-            slots = [r[s].view(np.int64) for r, s in zip(raw[span], slot[span], strict=True)] if len(span) else []
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[owner], "pos": pos, "win": win.view(np.int64), "slots": pd.Series(slots, dtype=object), "length": per[owner]})
+            words, counts = templates(pdf["text"].tolist())
+            for width in widths:
+                win, owner = windows(words.template, counts, width)
+                keep = in_bitmap(bits, win) if bits is not None else np.minimum(counts, max(widths))[owner] == width
+                win, owner = win[keep], owner[keep]
+                rows = pd.DataFrame({"id": pdf["id"].to_numpy()[owner], "mark": pdf["mark"].to_numpy()[owner], "win": win.view(np.int64), "width": width, "owner": owner})
+                yield rows.drop_duplicates(["owner", "win"]).drop(columns="owner")
 
     return run
 
 
-_SCHEMA = "id {}, pos long, win long, slots array<long>, length long"
+def _regions(doc: Words, item: Words) -> list[Words]:
+    """The parts of the document round its runs that are the item's too."""
+    n = len(item.raw)
+    width = min(ANCHOR, n)
+    win = [windows(x.template, np.array([len(x.raw)]), width)[0] for x in (doc, item)]
+    hits = np.flatnonzero(np.isin(*win))
+    cuts = np.flatnonzero(np.diff(hits) > 4 * n) + 1
+    return [Words(*[x[max(0, part[0] - 2 * n) : part[-1] + 2 * n] for x in doc]) for part in np.split(hits, cuts) if len(part)]
+
+
+def _paths(score: np.ndarray) -> np.ndarray:
+    """For each diagonal of the last item word, the best diagonals (one an item word) that lead there; a jump costs 1."""
+    n, m = score.shape
+    best, back = score[0], np.zeros((n, m), dtype=np.int64)
+    for i in range(1, n):
+        kept, here = best.copy(), back[i]
+        for jump in [*range(-min(SLACK, m - 1), 0), *range(1, min(SLACK, m - 1) + 1)]:
+            to, by = (slice(jump, m), slice(0, m - jump)) if jump > 0 else (slice(0, m + jump), slice(-jump, m))
+            better = best[by] - 1 > kept[to]
+            kept[to][better] = best[by][better] - 1
+            here[to][better] = -jump
+        best = kept + score[i]
+    path = np.empty((n, m), dtype=np.int64)
+    path[-1] = np.arange(m)
+    for i in range(n - 1, 0, -1):
+        path[i - 1] = path[i] + back[i][path[i]]
+    return path
+
+
+def _near_best(counts: np.ndarray) -> np.ndarray:
+    """For each diagonal, the largest count within SLACK of it."""
+    return np.lib.stride_tricks.sliding_window_view(np.pad(counts, SLACK), 2 * SLACK + 1).max(axis=1)
+
+
+def _judge(item: Words, raw: np.ndarray, same: np.ndarray, loose: np.ndarray) -> tuple[int, bool, float]:
+    """(matched words, exact, agreement) of one alignment: the document's raw words, which match, which are other capitals.
+
+    Another word counts as matched where it stands for the item's as its slots do throughout.
+    """
+    slots = same & item.slot
+    stands: dict = defaultdict(Counter)
+    for a, b in zip(item.raw[slots].tolist(), raw[slots].tolist(), strict=True):
+        stands[a][b] += 1
+    top = sum(max(c.values()) for c in stands.values())
+    agree = top / slots.sum() if slots.any() else 1.0
+    other: dict = defaultdict(Counter)
+    for a, b in zip(item.raw[loose].tolist(), raw[loose].tolist(), strict=True):
+        other[a][b] += 1
+    names = sum(c[stands[a].most_common(1)[0][0]] if a in stands else max(c.values()) for a, c in other.items())
+    exact = not other and bool((item.raw[slots] == raw[slots]).all())
+    return int(same.sum()) + names, exact, agree
+
+
+def aligned(doc: Words, item: Words, width: int = WINDOW, coverage: float = COVERAGE) -> tuple[int, bool] | None:
+    """(matched words of the item, exact) of the best alignment that passes, exact ones first; None without one."""
+    n = len(item.raw)
+    need = n if n < width else coverage * n
+    found: list[tuple[bool, int]] = []
+    for part in _regions(doc, item):
+        if np.isin(item.template, part.template).sum() + item.capital.sum() < need:
+            continue
+        view = [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1, x.dtype), x, np.zeros(n - 1, x.dtype)]), n).T for x in part]
+        inside = np.lib.stride_tricks.sliding_window_view(np.pad(np.ones(len(part.raw), dtype=bool), n - 1), n).T
+        own = (view[1] == item.raw[:, None]) & inside
+        same = (view[0] == item.template[:, None]) & inside
+        loose = np.zeros_like(same)
+        match = same | loose
+        straight = np.broadcast_to(np.arange(match.shape[1]), match.shape)
+        rows = np.arange(n)[:, None]
+        score = match + own * (0.5 / n)
+        bent = _paths(score)
+        best = _near_best(match[rows, bent].sum(axis=0))
+        # not those that leave a better one half-way, as they shun the slots of the rest
+        for path, least in ((straight, CONSISTENT * best), (bent, best)):
+            count = match[rows, path].sum(axis=0)
+            for j in np.flatnonzero((count >= need) & (count >= least)):
+                at = rows[:, 0], path[:, j]
+                matched, exact, agree = _judge(item, view[1][at], same[at], loose[at])
+                # without a fixed word any row of slots would do
+                if matched >= need and agree >= CONSISTENT and (exact or not item.slot.all()):
+                    found.append((exact, matched))
+    if not found:
+        return None
+    exact, matched = max(found)
+    return matched, exact
+
+
+def _confirm(width: int, coverage: float):
+    """id, text, items -> id, item, matched, words, exact of the candidates that pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read: dict[str, Words] = {}
+        for pdf in batches:
+            out = []
+            for id_, text, items in zip(pdf["id"], pdf["text"], pdf["items"], strict=True):
+                doc, _ = templates([text])
+                for x in items:
+                    if len(read) > 10_000:
+                        read.clear()
+                    if x["text"] not in read:
+                        read[x["text"]] = templates([x["text"]])[0]
+                    item = read[x["text"]]
+                    if got := aligned(doc, item, width, coverage):
+                        out.append((id_, x["item"], got[0], len(item.raw), got[1]))
+            yield pd.DataFrame(out, columns=["id", "item", "matched", "words", "exact"]).astype({"matched": "int64", "words": "int64", "exact": "bool"})
+
+    return run
 
 
-def text_windows(rows: DataFrame, id_col: str, text: str = "text", width: int = WINDOW, bits: np.ndarray | None = None) -> DataFrame:
-    kind = rows.schema[id_col].dataType.simpleString()
-    base = rows.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return base.mapInPandas(_windows(width, bits), _SCHEMA.format(kind))
+def _marked(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, mark, text: mark tells rows of one id apart by their texts."""
+    return rows.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", width: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """(id, item, matched, windows, coverage, exact): the pairs of document and item that leak.
+    """(id, item, matched, words, coverage, exact): the pairs of document and item that leak.
 
-    matched counts the item's distinct window positions found in the document, windows all of the item's; exact tells
-    whether every slot has the item's own value. Null texts and items of fewer than ``width`` words match nothing. Equal
-    rows of a document count once, as do equal windows. Ids may be null (a null id is an id). Empty tables give no pairs.
+    words counts the item's words, matched those that an alignment finds in the document; exact tells whether every slot
+    has the item's own value. Items of slots alone must be found with their own values. Null texts and items of fewer
+    than ``width`` words match nothing. Equal rows of a document count once. Ids may
+    be null (a null id is an id). Empty tables give no pairs.
     """
-    items = written(text_windows(benchmark, item_col, width=width).distinct().select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "win", F.col("slots").alias("item_slots"), F.col("length").alias("windows")), "op4-items")
-    found = text_windows(docs, id_col, text, width, bitmap(items, "win", FILTER_BITS))
-    hits = found.join(items, "win").select("id", "item", "item_pos", "windows", "item_slots", "slots")
-    hits = written(hits.distinct(), "op4-hits")
-    pair = ["id", "item"]
-    covered = hits.select(*pair, "windows", "item_pos").distinct().groupBy(*pair).agg(F.max("windows").alias("windows"), F.count("*").alias("matched"))
-    covered = covered.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
-    values = hits.select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).select(*pair, F.col("v.item_slots").alias("a"), F.col("v.slots").alias("b"))
-    seen = values.groupBy(*pair, "a", "b").agg(F.count("*").alias("n"))
-    by_value = seen.groupBy(*pair, "a").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("own"))
-    slots = by_value.groupBy(*pair).agg((F.sum("top") / F.sum("n")).alias("agree"), (F.sum(F.coalesce("own", F.lit(0))) == F.sum("n")).alias("exact"))
-    c, s = covered.alias("c"), slots.alias("s")
-    both = c.join(s, F.col("c.id").eqNullSafe(F.col("s.id")) & F.col("c.item").eqNullSafe(F.col("s.item")), "left")
-    both = both.where(F.coalesce("s.agree", F.lit(1.0)) >= CONSISTENT)
-    return both.select(F.col("c.id").alias(id_col), F.col("c.item").alias(item_col), "c.matched", "c.windows", "c.coverage", F.coalesce("s.exact", F.lit(True)).alias("exact"))
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    rows, tests = _marked(docs, id_col, text), _marked(benchmark, item_col, "text").distinct()
+    items = written(tests.mapInPandas(_anchors([ANCHOR], None), f"id {item_kind}, mark long, win long, width int"), "op4-items")
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    found = rows.mapInPandas(_anchors(widths, bitmap(items, "win", FILTER_BITS)), f"id {kind}, mark long, win long, width int")
+    pairs = found.join(items.select(F.col("id").alias("item"), F.col("mark").alias("item_mark"), "win", "width"), ["win", "width"]).select("id", "mark", "item", "item_mark")
+    pairs = written(pairs.distinct(), "op4-pairs")
+    # items are few: copies of each, so that an item that many documents hold is joined in many tasks
+    copies = tests.select(F.col("id").alias("i"), F.col("mark").alias("item_mark"), "text", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = pairs.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))
+    texts = salted.join(copies, (salted["item_mark"] == copies["item_mark"]) & (salted["salt"] == copies["salt"]) & salted["item"].eqNullSafe(copies["i"]))
+    listed = texts.groupBy("id", "mark").agg(F.collect_list(F.struct("item", "text")).alias("items")).select(F.col("id").alias("d"), F.col("mark").alias("m"), "items")
+    bits = bitmap(pairs, "mark", FILTER_BITS)
+    known = F.pandas_udf(lambda m: pd.Series(in_bitmap(bits, m.to_numpy().view(_U))), "boolean")
+    read = rows.where(known("mark")).join(listed, (F.col("mark") == F.col("m")) & F.col("id").eqNullSafe(F.col("d"))).select("id", "text", "items")
+    sure = read.mapInPandas(_confirm(width, coverage), f"id {kind}, item {item_kind}, matched long, words long, exact boolean")
+    best = sure.groupBy("id", "item").agg(F.max(F.struct("exact", "matched", "words")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.matched", "b.words", (F.col("b.matched") / F.col("b.words")).alias("coverage"), "b.exact")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

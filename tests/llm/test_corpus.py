@@ -140,6 +140,17 @@ def test_leaks_equal_brute_force(spark, local):
     assert want and want == set(zip(got["doc_id"], got["item_id"], strict=True))
 
 
+def test_an_alignment_is_judged_alone(spark):
+    item = "the farmer sold 12 eggs for 3 dollars and then 12 more eggs to the same buyer in the town"
+    row = " ".join(map(str, range(1, 13)))
+    table = "row 1 has 2 and row 3 has 4 and row 5 has 6 and row 7 has 8 and row 9 has 10"
+    other = item.replace("12", "40").replace("3", "9")
+    docs = [(1, f"Exact here. {item}. And changed here. {other}. Again {item.replace('12', '55')}."), (2, f"before {row} after"), (3, f"a {table} b"), (4, other.replace("40 more", "77 more")), (5, row.replace("7", "99"))]
+    bench = spark.createDataFrame([(1, item), (2, row), (3, table)], "item_id long, text string")
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).toPandas()
+    assert {(r.doc_id, r.item_id) for r in got.itertuples()} == {(1, 1), (2, 2), (3, 3)} and got["exact"].all()
+
+
 # html
 def test_article_is_extracted_whole():
     page = '<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>ly\n said.<p>Second&nbsp;one<div class="ad">Buy</div><form>Name <input></form><script>var a="</p>";</script></article><aside>Side</aside><section id="comments"><p>I say</p></section><footer>&copy; X</footer>'
