@@ -25,7 +25,7 @@ from ._common import table, written
 from ._text import chunks, hashed_words, windows
 
 WINDOW, COVERAGE, CONSISTENT, FILTER_BITS = 8, 0.6, 0.9, 23
-ANCHOR, SLACK, SALTS = WINDOW, 3, 16
+ANCHOR, SLACK, SALTS = 4, 3, 16
 # Units after a number.
 UNITS = "cm ft g gb hours hour kb kg kilometers km lb lbs m mb meters mg miles min minutes ml mm mph oz percent seconds tb years year".split()
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
@@ -127,7 +127,7 @@ def _near_best(counts: np.ndarray) -> np.ndarray:
 def _judge(item: Words, raw: np.ndarray, same: np.ndarray, loose: np.ndarray) -> tuple[int, bool, float]:
     """(matched words, exact, agreement) of one alignment: the document's raw words, which match, which are other capitals.
 
-    Another word counts as matched where it stands for the item's as its slots do throughout.
+    Another capitalised word counts as matched where it stands for the item's as its slots do throughout.
     """
     slots = same & item.slot
     stands: dict = defaultdict(Counter)
@@ -155,7 +155,8 @@ def aligned(doc: Words, item: Words, width: int = WINDOW, coverage: float = COVE
         inside = np.lib.stride_tricks.sliding_window_view(np.pad(np.ones(len(part.raw), dtype=bool), n - 1), n).T
         own = (view[1] == item.raw[:, None]) & inside
         same = (view[0] == item.template[:, None]) & inside
-        loose = np.zeros_like(same)
+        loose = view[3] & item.capital[:, None] & ~same
+        same, loose = same | loose & own, loose & ~own
         match = same | loose
         straight = np.broadcast_to(np.arange(match.shape[1]), match.shape)
         rows = np.arange(n)[:, None]
@@ -208,13 +209,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
     """(id, item, matched, words, coverage, exact): the pairs of document and item that leak.
 
     words counts the item's words, matched those that an alignment finds in the document; exact tells whether every slot
-    has the item's own value. Items of slots alone must be found with their own values. Null texts and items of fewer
-    than ``width`` words match nothing. Equal rows of a document count once. Ids may
+    has the item's own value. Items of fewer than ``width`` words must be found whole, and items of slots alone with
+    their own values. Null texts and texts without a word match nothing. Equal rows of a document count once. Ids may
     be null (a null id is an id). Empty tables give no pairs.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows, tests = _marked(docs, id_col, text), _marked(benchmark, item_col, "text").distinct()
-    items = written(tests.mapInPandas(_anchors([ANCHOR], None), f"id {item_kind}, mark long, win long, width int"), "op4-items")
+    items = written(tests.mapInPandas(_anchors([*range(1, ANCHOR + 1)], None), f"id {item_kind}, mark long, win long, width int"), "op4-items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     found = rows.mapInPandas(_anchors(widths, bitmap(items, "win", FILTER_BITS)), f"id {kind}, mark long, win long, width int")
     pairs = found.join(items.select(F.col("id").alias("item"), F.col("mark").alias("item_mark"), "win", "width"), ["win", "width"]).select("id", "mark", "item", "item_mark")

@@ -151,6 +151,21 @@ def test_an_alignment_is_judged_alone(spark):
     assert {(r.doc_id, r.item_id) for r in got.itertuples()} == {(1, 1), (2, 2), (3, 3)} and got["exact"].all()
 
 
+def test_leaks_are_found_with_edits_names_and_units(spark):
+    short = "a baker weighs the flour before noon and sells seven loaves to every passing traveller"
+    words = short.split()
+    story = "Anna walked 12 km to the mill. Anna bought flour there. Then Peter met Anna at the bridge. Peter paid her for it."
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    docs = [(i, "so it was that " + " ".join([*words[:i], "xxx", *words[i + 1 :]]) + " and no more") for i in range(15)]
+    docs += [(20, "so " + " ".join([*words[:7], "xxx", *words[7:]])), (21, "so " + " ".join([*words[:7], *words[8:]]))]
+    docs += [(30, story.replace("Anna", "Paula").replace("Peter", "Hugo").replace("12 km", "7 miles"))]
+    docs += [(40, "it reads who sold the eggs here"), (41, "it reads who sold some eggs here"), (42, " ".join(x if i % 5 else "xxx" for i, x in enumerate(long.split())))]
+    bench = spark.createDataFrame([(1, short), (2, story), (3, "Who sold the eggs"), (4, long), (5, "eggs there")], "item_id long, text string")
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).toPandas()
+    want = {(i, 1) for i in [*range(15), 20, 21]} | {(30, 2), (40, 3), (42, 4)}
+    assert {(r.doc_id, r.item_id) for r in got.itertuples()} == want
+
+
 # html
 def test_article_is_extracted_whole():
     page = '<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li>Menu</ul></nav><div class="cookie-notice">We use</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>ly\n said.<p>Second&nbsp;one<div class="ad">Buy</div><form>Name <input></form><script>var a="</p>";</script></article><aside>Side</aside><section id="comments"><p>I say</p></section><footer>&copy; X</footer>'
