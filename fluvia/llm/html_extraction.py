@@ -3,8 +3,9 @@
 The standard library's streaming parser gives events; a block is the text between two block-level tags and is one line
 of the page. Each line has a ratio of text to tags; the ratios are smoothed with a Gaussian and compared with a
 threshold taken from their spread, which clusters the lines into content and the rest. The content region is the
-innermost container that holds most of the content lines' text; its lines are the article, without those that lie in
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+innermost container that holds most of the content lines' text, or the article or main round it; all its lines are the
+article's. So are, outside it, content lines, the lines of containers that are mostly content, and headings of any of
+these. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out everywhere.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from ._text import chunks
 
-SIGMA, MAJORITY = 1.0, 0.6
+SIGMA, MAJORITY, SMALL, LARGE = 1.0, 0.6, 0.25, 0.5
 # Tags by what they do. Text inside DROPPED tags is never content.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = set("aside button datalist dialog embed fieldset footer form frame frameset head header iframe input label legend map menu nav noscript object optgroup option script select style svg template textarea title video audio canvas math".split())
@@ -29,18 +30,27 @@ VOID = set("area base br col embed frame hr img input link meta param source tra
 CONTAINERS = set("article body div html main section td".split())
 #: Names in class, id or role that mark what is not the article.
 MARKS = set("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus donate footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+#: Of these, names that mark also as a part of a longer name, whatever the element's size.
+TALK = set("comment comments disqus replies respond".split())
+#: After these parts a name tells what there is elsewhere, not what the element is.
+ABOUT = set("has no not with without".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Tags that close an open element of the same kind, and those that a block tag closes.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags seen since the line before, dropped, path of containers)."""
+    """Collects lines: (text, tags seen since the line before, dropped, path of containers, marked elements round it, is a heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, drops its text, number of its container or -1
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, drops its text, numbers of its container and its mark or -1
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...], bool]] = []
+        self.marks: list[int] = []  # 1 a part of a name, 2 a whole name, 3 of comments
+        self.holds: list[set[str]] = []  # which of article, main and h1 a marked element holds
+        self.articles: list[tuple[int, ...]] = []  # marked elements round each article
+        self.whole: dict[int, str] = {}  # tags of the containers
         self.text: list[str] = []
         self.tags = self.containers = 0
 
@@ -48,32 +58,71 @@ class _Lines(HTMLParser):
         line = SPACE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if line:
-            path = tuple(n for _, _, n in self.open if n >= 0)
-            self.lines.append((line, self.tags, any(d for _, d, _ in self.open), path))
+            path = tuple(x[2] for x in self.open if x[2] >= 0)
+            heading = any(x[0] in HEADINGS for x in self.open)
+            self.lines.append((line, self.tags, any(x[1] for x in self.open), path, self.round(), heading))
             self.tags = 0
 
+    def round(self) -> tuple[int, ...]:
+        return tuple(x[3] for x in self.open if x[3] >= 0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
             closed = CLOSES.get(tag, {"p"} if tag != "br" else set())
             depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in closed), None)
-            if depth is not None and not any(t in CONTAINERS or t in {"table", "ul", "ol", "dl", "blockquote"} for t, _, _ in self.open[depth + 1 :]):
+            if depth is not None and not any(t in CONTAINERS or t in {"table", "ul", "ol", "dl", "blockquote"} for t, *_ in self.open[depth + 1 :]):
                 del self.open[depth:]
         self.tags += 1
         if tag in VOID:
             return
-        drops = tag in DROPPED or tag not in {"html", "body", "article", "main"} and self._marked(attrs)
+        if tag in ("article", "main", "h1"):
+            for m in self.round():
+                self.holds[m].add(tag)
+            if tag == "article":
+                self.articles.append(self.round())
+        mark = 0 if tag in {"html", "body", "article", "main"} else self._marked(attrs)
+        if mark:
+            self.marks.append(mark)
+            self.holds.append(set())
+        drops = tag in DROPPED or tag not in {"html", "body", "article", "main"} and self._hidden(attrs)
         self.containers += 1
-        self.open.append((tag, drops, self.containers if tag in CONTAINERS else -1))
+        if tag in CONTAINERS:
+            self.whole[self.containers] = tag
+        self.open.append((tag, drops, self.containers if tag in CONTAINERS else -1, len(self.marks) - 1 if mark else -1))
+
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
 
     @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def _marked(attrs: list[tuple[str, str | None]]) -> int:
+        found = 0
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and any(w in MARKS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+            for token in (value or "").split() if name in ("class", "id", "role") else ():
+                if token.lower() in MARKS:
+                    found = max(found, 3 if token.lower() in TALK else 2)
+                parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+                parts = parts[: next((i for i, x in enumerate(parts) if x in ABOUT), len(parts))]
+                found = max(found, 3 if TALK & set(parts) else 1 if MARKS & set(parts) else 0)
+        return found
+
+    def dropped_marks(self) -> set[int]:
+        """The marked elements that are not the article's. A part of a name counts for small elements only, and a whole
+        one not for an element round most of the page's text, if the article is plainly inside."""
+        lines = [x for x in self.lines if not x[2]]
+        size = [0] * len(self.marks)
+        for x in lines:
+            for m in x[4]:
+                size[m] += len(x[0])
+        total = sum(len(x[0]) for x in lines)
+        out = set()
+        for m, mark in enumerate(self.marks):
+            round_all = bool(self.articles) and all(m in a for a in self.articles) and mark != 3
+            wraps = size[m] >= LARGE * total and (round_all or self.holds[m] & {"main", "h1"} or size[m] == total)
+            if not wraps and (mark > 1 or size[m] < SMALL * total):
+                out.add(m)
+        return out
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -85,7 +134,7 @@ class _Lines(HTMLParser):
             self.flush()
         self.tags += 1
         depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _, _ in self.open[depth:])):
+        if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, *_ in self.open[depth:])):
             del self.open[depth:]
 
     def handle_data(self, data: str) -> None:
@@ -108,20 +157,35 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    kept = [line for line in parser.lines if not line[2]]
+    away = parser.dropped_marks()
+    kept = [line for line in parser.lines if not line[2] and not away.intersection(line[4])]
     if not kept:
         return ""
     size = np.array([len(line[0]) for line in kept], dtype=float)
-    ratio = smoothed(size / np.maximum(1, [line[1] for line in kept]))
-    content = ratio >= min(ratio.max(), ratio.std())
+    own = size / np.maximum(1, [line[1] for line in kept])
+    ratio = smoothed(own)
+    least = min(ratio.max(), ratio.std())
+    content = ratio >= least
     weight: dict[int, float] = {}
+    text: dict[int, float] = {}
     for line, n, good in zip(kept, size, content, strict=True):
-        if good:
-            for c in line[3]:
-                weight[c] = weight.get(c, 0.0) + n
+        for c in line[3]:
+            text[c] = text.get(c, 0.0) + n
+            weight[c] = weight.get(c, 0.0) + n * good
     most = MAJORITY * size[content].sum()
     region = max((c for c, w in weight.items() if w >= most), default=None)  # containers are numbered in page order: inner ones later
-    return " ".join(line[0] for line in kept if region is None or region in line[3])
+    if region is None:
+        return " ".join(line[0] for line in kept)
+    round_it = next(line[3] for line in kept if region in line[3])
+    round_it = round_it[: round_it.index(region) + 1]
+    region = next((c for tag in ("article", "main") for c in round_it if parser.whole[c] == tag), region)
+    take = []
+    for line, good, r in zip(kept, content, own, strict=True):
+        apart = (c for c in line[3] if c not in round_it)
+        take.append(region in line[3] or bool(good and r >= least) or any(weight[c] >= MAJORITY * text[c] for c in apart))
+    for i in range(len(kept) - 2, -1, -1):
+        take[i] = take[i] or kept[i][5] and take[i + 1]
+    return " ".join(line[0] for line, t in zip(kept, take, strict=True) if t)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

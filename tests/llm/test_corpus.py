@@ -173,6 +173,17 @@ def test_article_is_extracted_whole():
     assert [html_extraction.main_text(x) for x in (None, "", "<p>", "plain words")] == ["", "", "", "plain words"]
 
 
+def test_uneven_parts_and_names_of_wrappers_keep_the_article():
+    one, two = " ".join(["the river bends round the old mill and runs on"] * 12), " ".join(["a second part tells of the bridge"] * 6)
+    whole = f"Title {one} Next {two} End."
+    parts = f"<section><p>{one}</p></section><section><h2>Next</h2><p>{two}</p><p>End.</p></section>"
+    menu = "<div class='main-menu'><a href=a>Home</a> <a href=b>News</a></div>"
+    for page in (f"<article><h1>Title</h1>{parts}</article>", f"<h1>Title</h1>{parts}", f"<div class='content no-sidebar has-header'><h1>Title</h1>{parts}</div>", f"<div class=tags><article><h1>Title</h1>{parts}</article></div>", f"<h1>Title</h1><div id=search-algorithms><p>{one}</p></div><section><h2>Next</h2><p>{two}</p><p>End.</p></section>"):
+        assert html_extraction.main_text(f"<html><body>{menu}{page}<div id=comments><p>I say no</p></div><div class=site-footer>Imprint</div></body></html>") == whole
+    cells = html_extraction.main_text(f"<table><tr><td><p>{one}</p></td><td><p>{two}</p></td></tr></table><div class='comment-list'><p>{two}</p></div>")
+    assert cells == f"{one} {two}"
+
+
 def test_pages_equal_a_plain_reading(spark):
     import html
     import re
