@@ -1,8 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Each rule is filed under the one of its literal tokens that is rarest over all urls. The tokens of a url fetch the
-rules filed under them, and only those rules run their regular expression. Tokens are the maximal runs of letters and
-digits, lower-cased.
+rules filed under them, and only those rules run their regular expression. Tokens are the maximal runs of letters and the
+maximal runs of digits, lower-cased: a number after a word is a token of its own.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def host_path_rule(action: str, text: str) -> Rule:
 
 
 def _tokens(text: str) -> list[str]:
-    return re.findall("[0-9a-z]+", text.lower())
+    return re.findall("[0-9]+|[a-z]+", text.lower())
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,7 +54,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.concat_ws("/", host, path)), "[^0-9a-z]+"))
+    return F.array_distinct(F.split(F.lower(F.concat_ws("/", host, path)), "[^0-9a-z]+|(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])"))
 
 
 def rarest_tokens(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, list[int]]:

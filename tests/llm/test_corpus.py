@@ -119,6 +119,24 @@ def test_rules_run_only_where_their_rarest_token_is(spark):
     ]
 
 
+def test_fetched_rules_equal_a_run_of_every_regex(spark):
+    import re
+
+    hosts = ["casino24.org", "best-casino7.net", "casino.org", "casino-win.example.org", "a.casino-7up.net", "mycasino24.org", "a24casino.org", "x.spam-farm2.org", "x.spam-farm.org", "3.cheap-pills.net", "casino24x.org", "v2web.org", "b.v2web.org"]
+    d = spark.createDataFrame([(f"http://{h}{p}",) for h in hosts for p in ("", "/", "/a2/b3c/d", "/en/casino9.html")], "url string")
+    rules = [url_filter.host_path_rule(*r) for r in [*url_filter.RULES, ("block", "v2web.org/a2/b3"), ("block", "casino24x.org/a2/")]]
+    patterns = [url_filter.Rule(a, r, (t,), r) for a, r, t in [*url_filter.PATTERNS, ("block", r"(^|[.-])casino(\d*|-[a-z0-9-]+)\.", "casino")]]
+    for used in (patterns[:-1], patterns):
+        verdicts = {}
+        for r in url_filter.filter_urls(d, rules, used).collect():
+            fits = sorted((-x.rank, x.name, x.action) for x in rules if re.search(x.regex, r["host"] + r["path"]))
+            want = fits[0][2] if fits else "block" if any(re.search(x.regex, r["host"] + r["path"]) for x in used) else "allow"
+            assert r["verdict"] == want, r
+            verdicts[r["url"]] = want
+        assert verdicts["http://casino24.org"] == verdicts["http://best-casino7.net"] == "block"
+    assert verdicts["http://casino-win.example.org"] == "block"
+
+
 # decontamination
 def test_leaks_are_found_also_with_other_numbers(spark):
     item = "In March the farmer sold 12 eggs for 3 dollars and then 12 more eggs to the same buyer in the town"
