@@ -1,8 +1,8 @@
 """LM scoring: stupid-backoff scores from n-gram count tables.
 
 With c the corpus counts, N the words and A = 0.4, a word scores c(v w) / c(v) if the bigram is in the table, else
-A * c(w) / N; the first word of a text scores c(w) / N. The table holds bigrams of MIN_COUNT occurrences or more, so
-that a text's own, unique bigrams don't vouch for it. A text's score is the sum of the logarithms, which separates into
+A * c(w) / N; the first word of a text scores c(w) / N. The table holds all bigrams; op6_lm_scoring, like its SQL, takes
+only those of MIN_COUNT occurrences or more, op6_lm_scoring_all takes all. A text's score is the sum of the logarithms, which separates into
 one term for each n-gram occurrence:
 
     term(w) = ln(A c(w) / N)        term(v w) = ln(c(v w) / c(v)) - term(w), 0 where v w is not in the table
@@ -80,11 +80,11 @@ def _look_up(hot):
     return run
 
 
-def term_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n, total, term) of all single words and of the bigrams of MIN_COUNT or more; a written table."""
+def term_table(docs: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
+    """(key, n, total, term) of all single words and of the bigrams of ``min_count`` or more; a written table."""
     base = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     counted = base.mapInPandas(_count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
-    counts = written(counted.where((F.col("first") == 0) | (F.col("n") >= MIN_COUNT)), "op6-counts")
+    counts = written(counted.where((F.col("first") == 0) | (F.col("n") >= min_count)), "op6-counts")
     single = counts.where("first = 0")
     total = single.agg(F.sum("n")).collect()[0][0] or 0
     backed = F.log(F.lit(BACKOFF) * F.col("n") / F.lit(float(max(1, total))))
@@ -120,12 +120,18 @@ def score(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by the counts of all documents."""
+    """Every document scored by the counts of all documents, without the bigrams seen once."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, term_table(docs, min_count=MIN_COUNT))
+
+
+def op6_lm_scoring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by all counts of all documents."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, term_table(docs))
 
 
-QUERIES = {"op6_lm_scoring": op6_lm_scoring}
+QUERIES = {"op6_lm_scoring": op6_lm_scoring, "op6_lm_scoring_all": op6_lm_scoring_all}
 ORACLES = {
     "op6_lm_scoring": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -142,3 +148,4 @@ SELECT d.doc_id, CAST(count(s.l) AS BIGINT) AS n_words, round(coalesce(sum(s.l),
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 }
+ORACLES["op6_lm_scoring_all"] = ORACLES["op6_lm_scoring"].replace(" HAVING count(*) >= 2", "")

@@ -215,6 +215,12 @@ def test_pages_equal_a_plain_reading(spark):
 
 
 # lm scoring
+def test_bigrams_seen_once_count(spark):
+    one = spark.createDataFrame([(1, "a b a c")], "doc_id long, text string")
+    assert lm_scoring.score(one, lm_scoring.term_table(one)).first()["log_score"] == round(3 * math.log(0.5), 4)
+    assert lm_scoring.score(one, lm_scoring.term_table(one, min_count=2)).first()["log_score"] == round(math.log(0.5) + 2 * math.log(0.1) + math.log(0.2), 4)
+
+
 def test_scores_of_odd_rows(odd):
     got = lm_scoring.score(odd, lm_scoring.term_table(odd)).toPandas()
     assert len(got) == 8 and got["n_words"].sum() == 7 * 3 + 6 + 30_000 + 1
