@@ -148,7 +148,7 @@ def strahler(tree: DataFrame) -> DataFrame:
         order = F.when(F.col("__lo") == F.col("__hi"), F.col("__hi") + 1).otherwise(F.col("__hi"))
         return s.join(up, "line", "left").select("line", "down", "__n", F.coalesce("stream_order", F.when(F.col("__k") == F.col("__n"), order)).alias("stream_order"))
 
-    return until_empty(state, step, lambda s: s.where("stream_order IS NULL")).select("line", "stream_order")
+    return until_empty(state, step, lambda s: s.where("stream_order IS NULL"), most=None, falls=True).select("line", "stream_order")
 
 
 def segments(tree: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def trace_downstream(starts: DataFrame, topology: DataFrame, known: DataFrame) -
         onward = onward.join(known, "id", "left_anti").join(d, "id", "left_anti")
         return d.select("id", F.lit(False).alias("fresh")).unionByName(onward.withColumn("fresh", F.lit(True)))
 
-    return until_empty(state, step, lambda d: d.where("fresh")).select("id")
+    return until_empty(state, step, lambda d: d.where("fresh"), most=None).select("id")
 
 
 def orient(lines: DataFrame, outlet) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -25,10 +26,19 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def until_empty(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Callable[[DataFrame], DataFrame], most: int = 200) -> DataFrame:
-    """Apply ``step`` until ``open_rows`` of the state is empty; more than ``most`` rounds is an error."""
-    for _ in range(most):
-        if open_rows(state).isEmpty():
+def until_empty(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Callable[[DataFrame], DataFrame], most: int | None = 200, falls: bool = False) -> DataFrame:
+    """Apply ``step`` until ``open_rows`` of the state is empty; more than ``most`` rounds is an error.
+
+    Steps that take a round a level have no ``most`` (None). With ``falls`` a round that leaves as many open rows as the
+    one before is an error: no later one would change anything.
+    """
+    before = None
+    for _ in range(most) if most else itertools.count():
+        left = open_rows(state).count() if falls else int(not open_rows(state).isEmpty())
+        if not left:
             return state
+        if falls and left == before:
+            raise RuntimeError(f"{left} rows stay open")
+        before = left
         state = written(step(state))
     raise RuntimeError(f"no fixed point after {most} rounds")

@@ -3,10 +3,11 @@
 import json
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluvia.operators import mesh, network, overlay
-from fluvia.plans import base
+from fluvia.plans import base, iterate
 from fluvia.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,31 @@ def test_dam_table_and_placemark(spark, tmp_path):
     ring = F.expr("array(struct(0.0D AS lon, 1.5D AS lat), struct(2.0D AS lon, 3.0D AS lat))")
     text = spark.range(1).select(files.kml_placemark(F.lit("a<b"), ring)).first()[0]
     assert "<name>a&lt;b</name>" in text and "0.0,1.5 2.0,3.0 0.0,1.5" in text
+
+
+def test_walks_have_no_greatest_depth(spark, monkeypatch):
+    with pytest.raises(RuntimeError, match="stay open"):
+        network.strahler(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "line long, down long"))
+
+    class Rounds(int):
+        def isEmpty(self):
+            return self == 0
+
+        def where(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def count(self):
+            return int(self)
+
+    def loop(state, step, open_rows, **limits):
+        return until_empty(Rounds(1000), lambda n: Rounds(n - 1), open_rows, **limits)
+
+    until_empty = iterate.until_empty
+    monkeypatch.setattr(iterate, "written", lambda n: n)
+    monkeypatch.setattr(network, "until_empty", loop)
+    tree = spark.createDataFrame([(1, 2), (2, None)], "line long, down long")
+    links, none = tree.toDF("from", "to"), spark.createDataFrame([], "id long")
+    assert network.strahler(tree) == 0 and network.trace_downstream(tree.selectExpr("line AS id"), links, none) == 0
