@@ -53,6 +53,8 @@ ORACLES["agg_degree"] = f"WITH {LINES} SELECT vertex, CAST(sum(i) AS BIGINT) AS
 QUERIES["agg_sum_length"] = lambda s, d: base.river(s, d).groupBy("dam").agg(F.round(F.sum("length"), 1).alias("length"))
 ORACLES["agg_sum_length"] = f"WITH {base.RIVER} SELECT dam, round(sum(length), 1) AS length FROM l4 GROUP BY dam"
 QUERIES["sort_area_desc"] = QUERIES["topk_outlets"] = lambda s, d: base.table(s, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(10).select("c_custkey", "c_acctbal")
+QUERIES["sort_area_all"] = lambda s, d: base.table(s, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_acctbal")
+ORACLES["sort_area_all"] = "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey"
 ORACLES["sort_area_desc"] = ORACLES["topk_outlets"] = "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"
 QUERIES["prd_dup_check"] = lambda s, d: base.braids(s, d).groupBy("start").agg(F.collect_list("end").alias("a")).select("start", (F.size(F.array_distinct("a")) == F.size("a")).alias("unique"))
 ORACLES["prd_dup_check"] = f'WITH {LINES} SELECT s AS "start", count(DISTINCT e) = count(e) AS "unique" FROM b GROUP BY s'

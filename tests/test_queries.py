@@ -13,6 +13,11 @@ def con():
     return connect(SF)
 
 
+def test_all_outlets_are_sorted(spark, con):
+    got = [tuple(r) for r in queries.QUERIES["sort_area_all"](spark, SF).collect()]
+    assert len(got) == 150 and got == con.execute(queries.ORACLES["sort_area_all"]).fetchall()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert difference(queries.QUERIES[name](spark, SF), con, queries.ORACLES[name]) == ""
