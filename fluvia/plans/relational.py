@@ -56,7 +56,7 @@ QUERIES["sort_area_desc"] = QUERIES["topk_outlets"] = lambda s, d: base.table(s,
 QUERIES["sort_area_all"] = lambda s, d: base.table(s, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_acctbal")
 ORACLES["sort_area_all"] = "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey"
 ORACLES["sort_area_desc"] = ORACLES["topk_outlets"] = "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10"
-QUERIES["prd_dup_check"] = lambda s, d: base.braids(s, d).groupBy("start").agg(F.collect_list("end").alias("a")).select("start", (F.size(F.array_distinct("a")) == F.size("a")).alias("unique"))
+QUERIES["prd_dup_check"] = lambda s, d: base.braids(s, d).groupBy("start").agg((F.count_distinct("end") == F.count("end")).alias("unique"))
 ORACLES["prd_dup_check"] = f'WITH {LINES} SELECT s AS "start", count(DISTINCT e) = count(e) AS "unique" FROM b GROUP BY s'
 QUERIES["lookup_edge"] = lambda s, d: base.braids(s, d).groupBy("start", "end").agg(F.min("l_linenumber").alias("first"))
 ORACLES["lookup_edge"] = f'WITH {LINES} SELECT s AS "start", e AS "end", min(l_linenumber) AS first FROM b GROUP BY s, e'

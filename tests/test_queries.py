@@ -18,6 +18,10 @@ def test_all_outlets_are_sorted(spark, con):
     assert len(got) == 150 and got == con.execute(queries.ORACLES["sort_area_all"]).fetchall()
 
 
+def test_duplicates_are_counted_without_lists(spark):
+    assert "collect_list" not in queries.QUERIES["prd_dup_check"](spark, SF)._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert difference(queries.QUERIES[name](spark, SF), con, queries.ORACLES[name]) == ""
