@@ -1,15 +1,19 @@
-"""LM scoring: stupid-backoff scores from n-gram count tables.
+"""LM scoring: stupid-backoff scores from n-gram count tables partitioned by hash.
 
-With c the corpus counts, N the words and A = 0.4, a word scores c(v w) / c(v) if the bigram is in the table, else
-A * c(w) / N; the first word of a text scores c(w) / N. The table holds all bigrams; op6_lm_scoring, like its SQL, takes
-only those of MIN_COUNT occurrences or more, op6_lm_scoring_all takes all. A text's score is the sum of the logarithms, which separates into
-one term for each n-gram occurrence:
+With c the counts of all n-grams of ORDER words or fewer over all texts, N the words and A = 0.4, a word scores c(u v w) /
+c(u v) if the trigram is in the table, else A times its score after v alone: c(v w) / c(v), else A * c(w) / N. The first
+words of a text have shorter contexts. A text's score is the sum of the logarithms.
 
-    term(w) = ln(A c(w) / N)        term(v w) = ln(c(v w) / c(v)) - term(w), 0 where v w is not in the table
+``count_table`` counts: every task counts its own texts' n-grams, their 64-bit hashes are dealt to buckets by their leading
+bits and each bucket is summed apart. A frequent n-gram travels once a chunk of texts, whatever the number of texts.
 
-so occurrences need not meet again: the occurrences are exploded, joined by hash to the table of terms, and summed per
-document. N-grams are counted by two 64-bit word hashes (0 and the word for a single one) and joined by one hash of both. Those that make up 1 / HOT of
-all occurrences or more, HOT for each order at most, are looked up while the texts are read; all others are shuffled.
+``score`` looks up any texts: every word's n-grams are exploded, joined to the table and settled word by word.
+
+``score_counted`` scores the very texts that were counted. All their n-grams are in the table, and contexts cancel out: the
+score is the sum of ln c over the n-grams of ORDER words, less that over the inner ones of ORDER - 1 words, less ln N. What
+was counted once adds ln 1 = 0, so only n-grams counted twice or more are looked up: those that make up 1 / HOT of all words
+or more while the texts are read (HOT for each order at most), the others in their buckets, after a fixed-size bitmap has
+kept back most of those counted once. Sums per text come out of each bucket and are added up.
 """
 
 from __future__ import annotations
@@ -22,130 +26,275 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bitmap import in_bitmap
 from ._common import discard, table, written
-from ._text import chunks, hashed_words, mix64
+from ._text import chunks, hashed_words, windows
 
-BACKOFF, MIN_COUNT, HOT = 0.4, 2, 1 << 20
+ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
+# Characters in a chunk, n-grams in a bucket (about), share of a frequent n-gram, bits of the bitmap.
+CHUNK, BUCKET, HOT, FILTER_BITS = 4_000_000, 1 << 20, 1 << 19, 26
 _U = np.uint64
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second) keys of every n-gram occurrence and the number of its text, single words first; words by text."""
-    words, counts = hashed_words([t.lower().split() for t in texts])
-    words = words | _U(1)  # 0 is the key of no word
-    owner = np.repeat(np.arange(len(texts)), counts)
-    pair = owner[:-1] == owner[1:]
-    first = np.concatenate([np.zeros(len(words), dtype=_U), words[:-1][pair]])
-    return first, np.concatenate([words, words[1:][pair]]), np.concatenate([owner, owner[1:][pair]]), counts
+def _words(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words([t.lower().split() if isinstance(t, str) else [] for t in texts])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in chunks(batches, "text", 6_000_000):
-        first, second, _, _ = _ngrams(pdf["text"].tolist())
-        key = _key(first, second)
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        order = np.lexsort((second[at], first[at]))  # rows that share a word lie together and compress well
-        at, n = at[order], n[order]
-        yield pd.DataFrame({"first": first[at].view(np.int64), "second": second[at].view(np.int64), "n": n})
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where sorted ``keys`` pass from one bucket to the next; buckets are ranges of leading bits."""
+    return np.searchsorted(keys, np.arange(1, buckets, dtype=_U) << _U(65 - buckets.bit_length()))
 
 
-def _key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(first * _U(0x9E3779B97F4A7C15) + second)
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the leading bytes are zeros, which the shuffle's compression removes."""
+    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        key = _key(pdf["first"].to_numpy().view(_U), pdf["second"].to_numpy().view(_U))
-        yield pd.DataFrame({"key": key.view(np.int64), "n": pdf["n"], "term": pdf["term"]})
+def _unpacked(column: pd.Series) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(_U).ravel().cumsum(dtype=_U) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=_U)
+
+
+def _joined(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind)
 
 
-def _look_up(hot):
-    """id, text -> the id's words and terms of hot n-grams (one row), and a row for each occurrence of another n-gram."""
+def _counts(order: int, buckets: int):
+    """text -> a row for each bucket of a chunk: bucket, words (all of the chunk, on one row), sorted keys and their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, terms = hot.value
-        for pdf in chunks(batches, "text"):
-            ids = pdf["id"].to_numpy()
-            first, second, owner, counts = _ngrams(pdf["text"].where(pdf["text"].notna(), "").tolist())
-            key = _key(first, second)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            known = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-            total = np.bincount(owner[known], weights=terms[at[known]], minlength=len(pdf)) if known.any() else np.zeros(len(pdf))
-            total = total - np.where(counts > 0, math.log(BACKOFF), 0.0)  # the first word needs no backoff
-            own = mix64(np.arange(len(pdf), dtype=_U) + _U(len(key))).view(np.int64)
-            yield pd.DataFrame({"id": ids, "key": own, "words": counts, "known": total})
-            rest = ~known
-            yield pd.DataFrame({"id": ids[owner[rest]], "key": key[rest].view(np.int64), "words": 0, "known": 0.0})
+        for pdf in chunks(batches, "text", CHUNK):
+            words, counts = _words(pdf["text"])
+            keys = np.sort(np.concatenate([windows(words, counts, k)[0] for k in range(1, order + 1)]))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+            n = np.diff(np.append(first, len(keys))).astype(np.int32)
+            keys = keys[first]
+            cuts = _cuts(keys, buckets)
+            out = pd.DataFrame({"bucket": np.arange(buckets), "words": 0, "keys": [_packed(x) for x in np.split(keys, cuts)], "n": [x.tobytes() for x in np.split(n, cuts)]})
+            out.loc[0, "words"] = len(words)
+            yield out[out["n"].str.len().gt(0) | out["words"].gt(0)]
 
     return run
 
 
-def term_table(docs: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
-    """(key, n, total, term) of all single words and of the bigrams of ``min_count`` or more; a written table."""
-    base = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    counted = base.mapInPandas(_count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
-    counts = written(counted.where((F.col("first") == 0) | (F.col("n") >= min_count)), "op6-counts")
-    single = counts.where("first = 0")
-    total = single.agg(F.sum("n")).collect()[0][0] or 0
-    backed = F.log(F.lit(BACKOFF) * F.col("n") / F.lit(float(max(1, total))))
-    words = single.select(F.col("second").alias("w"), F.col("n").alias("wn"), backed.alias("wterm"))
-    pairs = counts.where("first != 0")
-    pairs = pairs.join(words.select(F.col("w").alias("first"), F.col("wn").alias("before")), "first").join(words.select(F.col("w").alias("second"), "wterm"), "second")
-    pairs = pairs.select("first", "second", "n", (F.log(F.col("n") / F.col("before")) - F.col("wterm")).alias("term"))
-    both = single.select("first", "second", "n", backed.alias("term")).unionByName(pairs)
-    out = written(both.mapInPandas(_keyed, "key long, n long, term double").withColumn("total", F.lit(total)), "op6-terms")
-    discard(counts)
+def _summed(least: int, buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _unpacked(pdf["keys"]), _joined(pdf["n"], np.int32)
+        at = np.argsort(keys)
+        keys, n = keys[at], n[at].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        n, keys = np.add.reduceat(n, first) if len(first) else n, keys[first]
+        often = n >= 2
+        bits = max(8, (1 << FILTER_BITS) // buckets)
+        place = (keys[often] >> _U(64 - FILTER_BITS)).astype(np.int64) % bits
+        seen = np.zeros(bits, dtype=np.uint8)
+        seen[place] = 1
+        keep = n >= least
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "words": pdf["words"].sum(), "seen": [np.packbits(seen, bitorder="little").tobytes()], "keys": [keys[keep].view(np.int64)], "n": [n[keep]]})
+
+    return run
+
+
+def count_table(docs: DataFrame, text: str = "text", order: int = ORDER, least: int = 1) -> DataFrame:
+    """(bucket, words, seen, keys, n): the counts of all n-grams of ``order`` words or fewer; a written table, one row a bucket.
+
+    keys are the hashes of the n-grams in ascending order and n their counts, of ``least`` or more; seen is the part of a
+    bitmap of what was counted twice or more; the words of all rows together are N. Words are what white space separates,
+    lower-cased; null and blank texts have none. Repeated rows count as often as they are there.
+    """
+    base = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(1 << (FILTER_BITS - 3), max(2, 1 << math.ceil(math.log2(order * size / 6 / BUCKET + 1))))
+    dealt = base.mapInPandas(_counts(order, buckets), "bucket int, words long, keys binary, n binary")
+    out = written(dealt.groupBy("bucket").applyInPandas(_summed(least, buckets), "bucket int, words long, seen binary, keys array<long>, n array<long>"), "op6-counts")
+    out.buckets, out.order = buckets, order
     return out
 
 
-def score(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_words, log_score, mean_log_score): one row an id; rows that share an id are one document.
+def _signed(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of its text, +1 or -1) of the n-grams that make up the texts' scores."""
+    keys, owner = windows(words, counts, order)
+    found = [(keys, owner, np.ones(len(keys), dtype=np.int8))]
+    for k in range(1, order):
+        keys, owner = windows(words, counts, k)
+        alone = counts[owner] == k  # a text of k words is one n-gram
+        found.append((keys[alone], owner[alone], np.ones(int(alone.sum()), dtype=np.int8)))
+    inner = np.zeros(len(keys), dtype=bool)
+    inner[1:-1] = (owner[1:-1] == owner[:-2]) & (owner[1:-1] == owner[2:])
+    found.append((keys[inner], owner[inner], np.full(int(inner.sum()), -1, dtype=np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _look_up(order: int, buckets: int, shared):
+    """id, text -> a row with the texts' words and what is known already, and a row for each bucket with the rest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, often, value = shared.value
+        for pdf in chunks(batches, "text", CHUNK):
+            ids = pdf["id"].to_numpy()
+            words, counts = _words(pdf["text"])
+            keys, owner, sign = _signed(words, counts, order)
+            open_ = in_bitmap(seen, keys)
+            keys, owner, sign = keys[open_], owner[open_], sign[open_]
+            at = np.argsort(keys)
+            keys, owner, sign = keys[at], owner[at], sign[at]
+            at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
+            known = often[at] == keys if len(often) else np.zeros(len(keys), dtype=bool)
+            total = np.bincount(owner[known], weights=value[at[known]] * sign[known], minlength=len(pdf))
+            spot = (int(keys[0]) if len(keys) else len(words)) % buckets
+            rows = [(spot, list(ids), list(counts), list(total), b"", b"", b"")]
+            keys, owner, sign = keys[~known], owner[~known], sign[~known]
+            edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
+            for bucket, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                if hi > lo:
+                    here, nth = np.unique(owner[lo:hi], return_inverse=True)
+                    rows.append((bucket, list(ids[here]), None, None, _packed(keys[lo:hi]), nth.astype(np.int32).tobytes(), sign[lo:hi].tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "ids", "words", "known", "keys", "nth", "sign"])
+
+    return run
+
+
+def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the sums of its n-grams by text, and the rows of what is known already."""
+    ids, words, part = [], [], []
+    for r in rows[rows["words"].notna()].itertuples():
+        ids += list(r.ids)
+        words += list(r.words)
+        part += list(r.known)
+    rest = rows[rows["words"].isna()]
+    if len(rest) and len(counts):
+        names = [x for r in rest["ids"] for x in r]
+        sizes = rest["ids"].map(len).to_numpy()
+        many = (rest["nth"].map(len) // 4).to_numpy()
+        nth = _joined(rest["nth"], np.int32) + np.repeat(np.cumsum(sizes) - sizes, many)
+        keys, known, n = _unpacked(rest["keys"]), np.asarray(counts["keys"].iloc[0], dtype=np.int64).view(_U), np.asarray(counts["n"].iloc[0], dtype=float)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            value = np.where(known[at] == keys, np.log(n[at]), 0.0) * _joined(rest["sign"], np.int8)
+            total = np.bincount(nth, weights=value, minlength=len(names))
+            ids, words, part = ids + names, words + [0] * len(names), [*part, *total]
+    return pd.DataFrame({"id": pd.Series(ids, dtype=object), "words": pd.Series(words, dtype="int64"), "part": pd.Series(part, dtype="float64")})
+
+
+def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples():
+            keys, n = np.asarray(r.keys, dtype=np.int64), np.asarray(r.n, dtype=np.int64)
+            yield pd.DataFrame({"keys": [keys[n * HOT >= r.total].tobytes()], "n": [n[n * HOT >= r.total].tobytes()]})
+
+
+def _finished(summed: DataFrame, id_col: str) -> DataFrame:
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return summed.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
 
-    Words are what white space separates, lower-cased. Null, empty and blank texts have 0 words, log score 0 and a null
-    mean. N-grams that are not in ``terms`` add nothing. Other columns are not read; an empty table gives no rows.
+def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """(id, n_words, log_score, mean_log_score): the texts scored by the counts of these same texts, one row an id.
+
+    Rows that share an id are one document, the sum of its rows; null ids are one id. Null, empty and blank texts have 0
+    words, log score 0 and a null mean. Repeated rows count and are scored as often as they are there. Other columns are
+    not read; an empty table gives no rows. Two n-grams whose 64-bit hashes are equal count as one.
     """
     spark = docs.sparkSession
-    often = terms.where(F.col("n") * HOT >= F.col("total"))  # HOT of each order at most: each makes up 1 / HOT of all
-    got = often.select("key", "term").toPandas()
-    key = got["key"].to_numpy(dtype=np.int64).view(_U)
-    order = np.argsort(key)
-    hot = spark.sparkContext.broadcast((key[order], got["term"].to_numpy(dtype=float)[order]))
+    counts = count_table(docs, text, order, least=2)
+    total = counts.agg(F.sum("words")).first()[0] or 0
+    parts = counts.select("bucket", "seen").toPandas()  # 2 ** FILTER_BITS bits, whatever the size of the input
+    bits = np.zeros(max(1 << FILTER_BITS, counts.buckets * 8) // 8, dtype=np.uint8).reshape(counts.buckets, -1)
+    for r in parts.itertuples():
+        bits[r.bucket] = np.frombuffer(r.seen, dtype=np.uint8)
+    got = counts.select("keys", "n", F.lit(total).alias("total")).mapInPandas(_frequent, "keys binary, n binary").toPandas()
+    often, value = _joined(got["keys"], _U), np.log(_joined(got["n"], np.int64))
+    at = np.argsort(often)
+    shared = spark.sparkContext.broadcast((bits.ravel().view(_U), often[at], value[at]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    seen = rows.mapInPandas(_look_up(hot), f"id {kind}, key long, words long, known double")
-    rest = terms.where(F.col("n") * HOT < F.col("total")).select("key", "term")
-    summed = seen.join(rest, "key", "left").groupBy("id").agg(F.sum("words").alias("n_words"), F.sum(F.col("known") + F.coalesce("term", F.lit(0.0))).alias("log_score"))
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return summed.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+    seen = rows.mapInPandas(_look_up(order, counts.buckets, shared), f"bucket int, ids array<{kind}>, words array<long>, known array<double>, keys binary, nth binary, sign binary")
+    settled = seen.groupBy("bucket").cogroup(counts.select("bucket", "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"id {kind}, words long, part double")
+    summed = settled.groupBy("id").agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
+    log_score = F.when(F.col("n_words") > 0, F.col("part") - math.log(max(1, total))).otherwise(0.0)
+    out = written(_finished(summed.withColumn("log_score", log_score), id_col), "op6-scores")
+    discard(counts)
+    return out
+
+
+def _exploded(order: int):
+    """row, id, text -> row, id, pos, size, context, key: for each word its n-grams of each size, and what comes before it in each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, "text", CHUNK // 10):
+            words, counts = _words(pdf["text"])
+            for size in range(1, order + 1):
+                keys, owner = windows(words, counts, size)
+                nth = np.arange(len(keys)) - np.searchsorted(owner, owner)  # the place of the n-gram in its text
+                for context in (False, True):
+                    last = nth + size - (0 if context else 1)
+                    fits = last < counts[owner]
+                    yield pd.DataFrame({"row": pdf["row"].to_numpy()[owner[fits]], "id": pdf["id"].to_numpy()[owner[fits]], "pos": last[fits], "size": size, "context": context, "key": keys[fits].view(np.int64)})
+
+    return run
+
+
+def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_words, log_score, mean_log_score): any texts scored by a ``count_table`` of all counts, one row an id.
+
+    A word that was never counted takes UNSEEN for its count. Otherwise as ``score_counted``.
+    """
+    order = counts.order
+    total = float(max(1, counts.agg(F.sum("words")).first()[0] or 0))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    grams = rows.mapInPandas(_exploded(order), f"row long, id {kind}, pos long, size int, context boolean, key long")
+    known = counts.select(F.explode(F.arrays_zip("keys", "n")).alias("g")).select(F.col("g.keys").alias("key"), F.col("g.n").alias("n"))
+    found = grams.join(known, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    pick = lambda size, context: F.coalesce(F.max(F.when((F.col("size") == size) & (F.col("context") == context), F.col("n"))), F.lit(0))
+    words = found.groupBy("row", "id", "pos").agg(*[pick(k, c).alias(f"{'b' if c else 'c'}{k}") for k in range(1, order + 1) for c in (False, True)])
+    value = F.log(F.when(F.col("c1") > 0, F.col("c1").cast("double")).otherwise(UNSEEN) / total)
+    for k in range(2, order + 1):
+        fits = F.col("pos") >= k - 1
+        value = F.when(fits & (F.col(f"c{k}") > 0), F.log(F.col(f"c{k}") / F.col(f"b{k - 1}"))).when(fits, math.log(BACKOFF) + value).otherwise(value)
+    summed = words.groupBy("id").agg(F.count("*").alias("n_words"), F.sum(value).alias("log_score"))
+    ids = docs.select(F.col(id_col).alias("id")).distinct()
+    full = ids.join(summed.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left")
+    return _finished(full.select("id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score")), id_col)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by the counts of all documents, without the bigrams seen once."""
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, term_table(docs, min_count=MIN_COUNT))
+    """Every document scored by the counts of all n-grams of three words or fewer in all documents."""
+    return score_counted(table(spark, sf_dir, "documents"))
 
 
 def op6_lm_scoring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by all counts of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, term_table(docs))
+    """Every document scored by the counts of all single words and bigrams in all documents."""
+    return score_counted(table(spark, sf_dir, "documents"), order=2)
 
 
 QUERIES = {"op6_lm_scoring": op6_lm_scoring, "op6_lm_scoring_all": op6_lm_scoring_all}
-ORACLES = {
-    "op6_lm_scoring": r"""
+_SPLIT = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
-e AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM t),
+e AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM t),
 u AS (SELECT word, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY word),
-b AS (SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM e WHERE prev IS NOT NULL GROUP BY prev, word HAVING count(*) >= 2),
-s AS (
-  SELECT e.doc_id, CASE WHEN b.n IS NOT NULL THEN ln(b.n / p.n) WHEN e.prev IS NULL THEN ln(u.n / (SELECT sum(n) FROM u))
-    ELSE ln(CAST(0.4 AS DOUBLE) * u.n / (SELECT sum(n) FROM u)) END AS l
-  FROM e JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev)
+b AS (SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM e WHERE prev IS NOT NULL GROUP BY prev, word),"""
+_SUM = """
 SELECT d.doc_id, CAST(count(s.l) AS BIGINT) AS n_words, round(coalesce(sum(s.l), 0), 4) AS log_score,
   round(sum(s.l) / nullif(count(s.l), 0), 6) AS mean_log_score
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
+ORACLES = {
+    "op6_lm_scoring": _SPLIT
+    + """
+g AS (SELECT prior, prev, word, CAST(count(*) AS DOUBLE) AS n FROM e WHERE prior IS NOT NULL GROUP BY prior, prev, word),
+s AS (
+  SELECT e.doc_id, CASE WHEN g.n IS NOT NULL THEN ln(g.n / c.n) WHEN b.n IS NOT NULL THEN ln(b.n / p.n) + CASE WHEN e.prior IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END
+    ELSE ln(u.n / (SELECT sum(n) FROM u)) + CASE WHEN e.prev IS NULL THEN 0 WHEN e.prior IS NULL THEN ln(CAST(0.4 AS DOUBLE)) ELSE 2 * ln(CAST(0.4 AS DOUBLE)) END END AS l
+  FROM e JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev
+    LEFT JOIN b c ON c.prev = e.prior AND c.word = e.prev LEFT JOIN g ON g.prior = e.prior AND g.prev = e.prev AND g.word = e.word)"""
+    + _SUM,
+    "op6_lm_scoring_all": _SPLIT
+    + """
+s AS (
+  SELECT e.doc_id, CASE WHEN b.n IS NOT NULL THEN ln(b.n / p.n) WHEN e.prev IS NULL THEN ln(u.n / (SELECT sum(n) FROM u))
+    ELSE ln(CAST(0.4 AS DOUBLE) * u.n / (SELECT sum(n) FROM u)) END AS l
+  FROM e JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev)"""
+    + _SUM,
 }
-ORACLES["op6_lm_scoring_all"] = ORACLES["op6_lm_scoring"].replace(" HAVING count(*) >= 2", "")

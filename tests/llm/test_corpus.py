@@ -215,18 +215,57 @@ def test_pages_equal_a_plain_reading(spark):
 
 
 # lm scoring
+def _plain_scores(counted, texts, order=3):
+    """id -> (words, log score) of texts by the counts of ``counted``, word by word."""
+    split = lambda t: (t or "").lower().split()
+    grams = [collections.Counter(tuple(w[i : i + k]) for t in counted for w in [split(t)] for i in range(len(w) - k + 1)) for k in range(1, order + 1)]
+    n, out = sum(grams[0].values()), {}
+    for id_, text in texts:
+        words, total = split(text), 0.0
+        for i, w in enumerate(words):
+            k, penalty = min(i + 1, order), 0.0
+            while k > 1 and not grams[k - 1][tuple(words[i - k + 1 : i + 1])]:
+                k, penalty = k - 1, penalty + math.log(0.4)
+            here = grams[k - 1][tuple(words[i - k + 1 : i + 1])]
+            total += penalty + (math.log(here / grams[k - 2][tuple(words[i - k + 1 : i])]) if k > 1 else math.log((here or 0.5) / n))
+        out[id_] = (len(words), total)
+    return out
+
+
 def test_bigrams_seen_once_count(spark):
     one = spark.createDataFrame([(1, "a b a c")], "doc_id long, text string")
-    assert lm_scoring.score(one, lm_scoring.term_table(one)).first()["log_score"] == round(3 * math.log(0.5), 4)
-    assert lm_scoring.score(one, lm_scoring.term_table(one, min_count=2)).first()["log_score"] == round(math.log(0.5) + 2 * math.log(0.1) + math.log(0.2), 4)
+    assert lm_scoring.score_counted(one, order=2).first()["log_score"] == round(3 * math.log(0.5), 4)
+    assert lm_scoring.score_counted(one).first()["log_score"] == round(math.log(2 / 4) + math.log(1 / 2), 4)
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 19])
+def test_scores_equal_a_plain_version(spark, local, monkeypatch, hot):
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    texts = [*local["text"][:60], "one", "one two", "one two three", "one two three four", None, "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for order in (2, 3):
+        got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.score_counted(docs, order=order).collect()}
+        want = _plain_scores(texts, enumerate(texts), order)
+        assert got.keys() == want.keys() and all(got[i][0] == n and math.isclose(got[i][1], v, abs_tol=1e-4) for i, (n, v) in want.items())
+
+
+def test_texts_that_were_not_counted_back_off(spark, local):
+    counted, other = list(local["text"][:40]), [(i, t) for i, t in enumerate([*local["text"][40:60], "quite unheard of", "the the the", None, ""])]
+    counts = lm_scoring.count_table(spark.createDataFrame([(t,) for t in counted], "text string"))
+    docs = spark.createDataFrame(other, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in lm_scoring.score(docs, counts).collect()}
+    want = _plain_scores(counted, other)
+    assert got.keys() == want.keys() and all(got[i][0] == n and math.isclose(got[i][1], v, abs_tol=1e-4) for i, (n, v) in want.items())
 
 
 def test_scores_of_odd_rows(odd):
-    got = lm_scoring.score(odd, lm_scoring.term_table(odd)).toPandas()
-    assert len(got) == 8 and got["n_words"].sum() == 7 * 3 + 6 + 30_000 + 1
-    assert got[got["n_words"] == 0]["mean_log_score"].isna().all() and (got[got["n_words"] > 0]["mean_log_score"] < 0).all()
+    for got in (lm_scoring.score_counted(odd), lm_scoring.score(odd, lm_scoring.count_table(odd))):
+        got = got.toPandas()
+        assert len(got) == 8 and got["n_words"].sum() == 7 * 3 + 6 + 30_000 + 1
+        assert got[got["n_words"] == 0]["mean_log_score"].isna().all() and (got[got["n_words"] > 0]["mean_log_score"] < 0).all()
     empty = odd.limit(0)
-    assert lm_scoring.score(empty, lm_scoring.term_table(empty)).count() == 0
+    assert lm_scoring.score_counted(empty).count() == 0 and lm_scoring.score(empty, lm_scoring.count_table(odd)).count() == 0
+    assert lm_scoring.score(odd, lm_scoring.count_table(empty)).count() == 8
 
 
 # embeddings
