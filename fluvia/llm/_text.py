@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 
@@ -37,6 +39,22 @@ def hashed_words(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return (pd.util.hash_array(words) if len(words) else np.zeros(0, dtype=_U)), counts
 
 
+def text_words(texts) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed_words`` of what white space separates in the lower-cased ``texts``; null texts have no words."""
+    column = pa.array(texts, type=pa.large_string(), from_pandas=True)
+    # trimmed first: the split misreads blanks at the very end of a column
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(column.fill_null(""))))
+    if not len(lists):
+        return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
+    words = lists.flatten().dictionary_encode()
+    names = words.dictionary.to_numpy(zero_copy_only=False)
+    codes = words.indices.to_numpy()
+    real = (names != "")[codes]  # a blank text leaves an empty word
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    before = np.concatenate([[0], np.cumsum(real)])
+    return pd.util.hash_array(names, categorize=False)[codes][real], np.diff(before[starts]).astype(np.int64)
+
+
 def windows(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every run of ``width`` words that lies within one list, number of that list), from ``hashed_words``."""
     owner = np.repeat(np.arange(len(counts)), counts)

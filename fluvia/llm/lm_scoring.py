@@ -23,23 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bitmap import in_bitmap
 from ._common import discard, table, written
-from ._text import chunks, hashed_words, windows
+from ._text import chunks, text_words, windows
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 # Characters in a chunk, n-grams in a bucket (about), share of a frequent n-gram, bits of the bitmap.
-CHUNK, BUCKET, HOT, FILTER_BITS = 4_000_000, 1 << 20, 1 << 19, 26
+CHUNK, BUCKET, HOT, FILTER_BITS = 4_000_000, 1 << 20, 1 << 21, 27
 _U = np.uint64
 
 
-def _words(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return hashed_words([t.lower().split() if isinstance(t, str) else [] for t in texts])
-
-
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where sorted ``keys`` pass from one bucket to the next; buckets are ranges of leading bits."""
     return np.searchsorted(keys, np.arange(1, buckets, dtype=_U) << _U(65 - buckets.bit_length()))
@@ -64,7 +61,7 @@ def _counts(order: int, buckets: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, "text", CHUNK):
-            words, counts = _words(pdf["text"])
+            words, counts = text_words(pdf["text"])
             keys = np.sort(np.concatenate([windows(words, counts, k)[0] for k in range(1, order + 1)]))
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
             n = np.diff(np.append(first, len(keys))).astype(np.int32)
@@ -125,14 +122,26 @@ def _signed(words: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Small numbers byte by byte, so that zero bytes lie together."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64) for x in column]])
+
+
 def _look_up(order: int, buckets: int, shared):
-    """id, text -> a row with the texts' words and what is known already, and a row for each bucket with the rest."""
+    """id, text -> a row with the texts of a chunk, their words and what is known already, and a row for each bucket with the rest.
+
+    The rest are sorted keys with twice the number of the text in the chunk, plus 1 for what is subtracted.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, often, value = shared.value
+        task, nth = TaskContext.get().partitionId() << 32, 0
         for pdf in chunks(batches, "text", CHUNK):
-            ids = pdf["id"].to_numpy()
-            words, counts = _words(pdf["text"])
+            words, counts = text_words(pdf["text"])
             keys, owner, sign = _signed(words, counts, order)
             open_ = in_bitmap(seen, keys)
             keys, owner, sign = keys[open_], owner[open_], sign[open_]
@@ -142,38 +151,35 @@ def _look_up(order: int, buckets: int, shared):
             known = often[at] == keys if len(often) else np.zeros(len(keys), dtype=bool)
             total = np.bincount(owner[known], weights=value[at[known]] * sign[known], minlength=len(pdf))
             spot = (int(keys[0]) if len(keys) else len(words)) % buckets
-            rows = [(spot, list(ids), list(counts), list(total), b"", b"", b"")]
-            keys, owner, sign = keys[~known], owner[~known], sign[~known]
+            rows = [(spot, task + nth, list(pdf["id"]), list(counts), list(total), b"", b"")]
+            keys, place = keys[~known], (owner * 2 + (sign < 0))[~known]
             edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
             for bucket, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                 if hi > lo:
-                    here, nth = np.unique(owner[lo:hi], return_inverse=True)
-                    rows.append((bucket, list(ids[here]), None, None, _packed(keys[lo:hi]), nth.astype(np.int32).tobytes(), sign[lo:hi].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "ids", "words", "known", "keys", "nth", "sign"])
+                    rows.append((bucket, task + nth, None, None, None, _packed(keys[lo:hi]), _planes(place[lo:hi])))
+            yield pd.DataFrame(rows, columns=["bucket", "chunk", "ids", "words", "known", "keys", "places"])
+            nth += 1
 
     return run
 
 
 def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the sums of its n-grams by text, and the rows of what is known already."""
-    ids, words, part = [], [], []
+    """One bucket: the sums of its n-grams by text (chunk, nth), and the rows of what is known already with the ids."""
+    out = []
     for r in rows[rows["words"].notna()].itertuples():
-        ids += list(r.ids)
-        words += list(r.words)
-        part += list(r.known)
+        out.append(pd.DataFrame({"chunk": r.chunk, "nth": np.arange(len(r.words)), "first": True, "id": pd.Series(list(r.ids), dtype=object), "words": r.words, "part": r.known}))
     rest = rows[rows["words"].isna()]
-    if len(rest) and len(counts):
-        names = [x for r in rest["ids"] for x in r]
-        sizes = rest["ids"].map(len).to_numpy()
-        many = (rest["nth"].map(len) // 4).to_numpy()
-        nth = _joined(rest["nth"], np.int32) + np.repeat(np.cumsum(sizes) - sizes, many)
-        keys, known, n = _unpacked(rest["keys"]), np.asarray(counts["keys"].iloc[0], dtype=np.int64).view(_U), np.asarray(counts["n"].iloc[0], dtype=float)
-        if len(known):
+    known = np.asarray(counts["keys"].iloc[0], dtype=np.int64).view(_U) if len(counts) else np.zeros(0, dtype=_U)
+    if len(rest) and len(known):
+        n = np.log(np.asarray(counts["n"].iloc[0], dtype=float))
+        for (chunk,), d in rest.groupby(["chunk"]):
+            keys, places = _unpacked(d["keys"]), _from_planes(d["places"])
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            value = np.where(known[at] == keys, np.log(n[at]), 0.0) * _joined(rest["sign"], np.int8)
-            total = np.bincount(nth, weights=value, minlength=len(names))
-            ids, words, part = ids + names, words + [0] * len(names), [*part, *total]
-    return pd.DataFrame({"id": pd.Series(ids, dtype=object), "words": pd.Series(words, dtype="int64"), "part": pd.Series(part, dtype="float64")})
+            value = np.where(known[at] == keys, n[at], 0.0) * (1 - 2 * (places & 1))
+            total = np.bincount(places >> 1, weights=value)
+            nth = np.flatnonzero(total)
+            out.append(pd.DataFrame({"chunk": chunk, "nth": nth, "first": False, "id": None, "words": 0, "part": total[nth]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["chunk", "nth", "first", "id", "words", "part"])
 
 
 def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,9 +214,10 @@ def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", o
     shared = spark.sparkContext.broadcast((bits.ravel().view(_U), often[at], value[at]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    seen = rows.mapInPandas(_look_up(order, counts.buckets, shared), f"bucket int, ids array<{kind}>, words array<long>, known array<double>, keys binary, nth binary, sign binary")
-    settled = seen.groupBy("bucket").cogroup(counts.select("bucket", "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"id {kind}, words long, part double")
-    summed = settled.groupBy("id").agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
+    seen = rows.mapInPandas(_look_up(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, known array<double>, keys binary, places binary")
+    settled = seen.groupBy("bucket").cogroup(counts.select("bucket", "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"chunk long, nth long, first boolean, id {kind}, words long, part double")
+    texts = settled.groupBy("chunk", "nth").agg(F.max(F.when(F.col("first"), F.struct(F.col("id").isNotNull().alias("has"), "id"))).alias("own"), F.sum("words").alias("words"), F.sum("part").alias("part"))
+    summed = texts.groupBy(F.col("own.id").alias("id")).agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
     log_score = F.when(F.col("n_words") > 0, F.col("part") - math.log(max(1, total))).otherwise(0.0)
     out = written(_finished(summed.withColumn("log_score", log_score), id_col), "op6-scores")
     discard(counts)
@@ -222,7 +229,7 @@ def _exploded(order: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, "text", CHUNK // 10):
-            words, counts = _words(pdf["text"])
+            words, counts = text_words(pdf["text"])
             for size in range(1, order + 1):
                 keys, owner = windows(words, counts, size)
                 nth = np.arange(len(keys)) - np.searchsorted(owner, owner)  # the place of the n-gram in its text

@@ -19,26 +19,38 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. Its ``path`` is kept on the frame."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out
 
 
-def until_empty(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Callable[[DataFrame], DataFrame], most: int | None = 200, falls: bool = False) -> DataFrame:
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema that ``written`` made, read as one: the plan doesn't grow with their number."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.path for t in tables])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that no later step reads."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def until_empty(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Callable[[DataFrame], DataFrame], most: int | None = 200) -> DataFrame:
     """Apply ``step`` until ``open_rows`` of the state is empty; more than ``most`` rounds is an error.
 
-    Steps that take a round a level have no ``most`` (None). With ``falls`` a round that leaves as many open rows as the
-    one before is an error: no later one would change anything.
+    Steps that take a round a level have no ``most`` (None). A round's table is deleted once the next one is written.
     """
-    before = None
+    mine = None
     for _ in range(most) if most else itertools.count():
-        left = open_rows(state).count() if falls else int(not open_rows(state).isEmpty())
-        if not left:
+        if open_rows(state).isEmpty():
             return state
-        if falls and left == before:
-            raise RuntimeError(f"{left} rows stay open")
-        before = left
-        state = written(step(state))
+        new = written(step(state))
+        if mine is not None:
+            discard(mine)
+        state = mine = new
     raise RuntimeError(f"no fixed point after {most} rounds")

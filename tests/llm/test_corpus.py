@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 
 from fluvia import llm
-from fluvia.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash_dedup, mixing, sharding, toxicity, url_filter
+from fluvia.llm import _text, decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash_dedup, mixing, sharding, toxicity, url_filter
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -214,6 +214,16 @@ def test_pages_equal_a_plain_reading(spark):
         assert got.loc[r["page_id"], "n_chars"] == len(got.loc[r["page_id"], "text"])
 
 
+# words
+def test_words_of_any_texts_equal_a_plain_split():
+    rng = np.random.default_rng(7)
+    kinds = [None, "", " ", " \n\t", "a b", "One  two ", "É" * 30, "x " * 9, "\u3000y\u00a0Z", "end"]
+    for _ in range(2000):
+        texts = [kinds[i] for i in rng.integers(0, len(kinds), rng.integers(0, 8))]
+        got, want = _text.text_words(pd.Series(texts, dtype=object)), _text.hashed_words([(t or "").lower().split() for t in texts])
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and len(got[1]) == len(texts)
+
+
 # lm scoring
 def _plain_scores(counted, texts, order=3):
     """id -> (words, log score) of texts by the counts of ``counted``, word by word."""
