@@ -31,6 +31,18 @@ def chunks(batches: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000)
             start = stop
 
 
+def arrow_chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of whole rows of about ``size`` bytes, without copies and without Python strings."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // size
+        start = 0
+        for stop in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+            if stop > start:
+                yield batch.slice(start, stop - start)
+            start = stop
+
+
 def hashed_words(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word of all lists in a row, number of words of each list)."""
     counts = np.array([len(x) for x in lists], dtype=np.int64)
@@ -40,8 +52,8 @@ def hashed_words(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_words(texts) -> tuple[np.ndarray, np.ndarray]:
-    """``hashed_words`` of what white space separates in the lower-cased ``texts``; null texts have no words."""
-    column = pa.array(texts, type=pa.large_string(), from_pandas=True)
+    """``hashed_words`` of what white space separates in the lower-cased ``texts`` (of any kind); null texts have no words."""
+    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, type=pa.large_string(), from_pandas=True)
     # trimmed first: the split misreads blanks at the very end of a column
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(column.fill_null(""))))
     if not len(lists):

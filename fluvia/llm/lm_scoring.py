@@ -23,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bitmap import in_bitmap
 from ._common import discard, table, written
-from ._text import chunks, text_words, windows
+from ._text import arrow_chunks, chunks, text_words, windows
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
-# Characters in a chunk, n-grams in a bucket (about), share of a frequent n-gram, bits of the bitmap.
-CHUNK, BUCKET, HOT, FILTER_BITS = 4_000_000, 1 << 20, 1 << 21, 27
+# Bytes in a chunk, n-grams in a bucket (about), buckets that are settled at once, share of a frequent n-gram, bits of the bitmap.
+CHUNK, BUCKET, WIDE, HOT, FILTER_BITS = 3_000_000, 1 << 20, 8, 1 << 21, 27
 _U = np.uint64
 
 
@@ -59,17 +60,18 @@ def _joined(column: pd.Series, kind) -> np.ndarray:
 def _counts(order: int, buckets: int):
     """text -> a row for each bucket of a chunk: bucket, words (all of the chunk, on one row), sorted keys and their counts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches, "text", CHUNK):
-            words, counts = text_words(pdf["text"])
-            keys = np.sort(np.concatenate([windows(words, counts, k)[0] for k in range(1, order + 1)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_chunks(batches, "text", CHUNK):
+            words, counts = text_words(batch.column("text"))
+            keys = np.concatenate([windows(words, counts, k)[0] for k in range(1, order + 1)])
+            keys.sort()
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
             n = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
-            cuts = _cuts(keys, buckets)
-            out = pd.DataFrame({"bucket": np.arange(buckets), "words": 0, "keys": [_packed(x) for x in np.split(keys, cuts)], "n": [x.tobytes() for x in np.split(n, cuts)]})
-            out.loc[0, "words"] = len(words)
-            yield out[out["n"].str.len().gt(0) | out["words"].gt(0)]
+            edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
+            rows = [(b, 0, _packed(keys[lo:hi]), n[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+            rows.append((0, len(words), b"", b""))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "keys", "n"])
 
     return run
 
@@ -102,7 +104,7 @@ def count_table(docs: DataFrame, text: str = "text", order: int = ORDER, least:
     base = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << (FILTER_BITS - 3), max(2, 1 << math.ceil(math.log2(order * size / 6 / BUCKET + 1))))
-    dealt = base.mapInPandas(_counts(order, buckets), "bucket int, words long, keys binary, n binary")
+    dealt = base.mapInArrow(_counts(order, buckets), "bucket int, words long, keys binary, n binary")
     out = written(dealt.groupBy("bucket").applyInPandas(_summed(least, buckets), "bucket int, words long, seen binary, keys array<long>, n array<long>"), "op6-counts")
     out.buckets, out.order = buckets, order
     return out
@@ -131,17 +133,20 @@ def _from_planes(column: pd.Series) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64) for x in column]])
 
 
+_PARTS = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary())
+
+
 def _look_up(order: int, buckets: int, shared):
     """id, text -> a row with the texts of a chunk, their words and what is known already, and a row for each bucket with the rest.
 
     The rest are sorted keys with twice the number of the text in the chunk, plus 1 for what is subtracted.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, often, value = shared.value
         task, nth = TaskContext.get().partitionId() << 32, 0
-        for pdf in chunks(batches, "text", CHUNK):
-            words, counts = text_words(pdf["text"])
+        for batch in arrow_chunks(batches, "text", CHUNK):
+            words, counts = text_words(batch.column("text"))
             keys, owner, sign = _signed(words, counts, order)
             open_ = in_bitmap(seen, keys)
             keys, owner, sign = keys[open_], owner[open_], sign[open_]
@@ -149,29 +154,33 @@ def _look_up(order: int, buckets: int, shared):
             keys, owner, sign = keys[at], owner[at], sign[at]
             at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
             known = often[at] == keys if len(often) else np.zeros(len(keys), dtype=bool)
-            total = np.bincount(owner[known], weights=value[at[known]] * sign[known], minlength=len(pdf))
+            total = np.bincount(owner[known], weights=value[at[known]] * sign[known], minlength=batch.num_rows)
             spot = (int(keys[0]) if len(keys) else len(words)) % buckets
-            rows = [(spot, task + nth, list(pdf["id"]), list(counts), list(total), b"", b"")]
+            ids = pa.ListArray.from_arrays([0, batch.num_rows], batch.column("id"))
+            rows = [(spot // WIDE, task + nth, counts, total, b"", b"")]
             keys, place = keys[~known], (owner * 2 + (sign < 0))[~known]
             edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
             for bucket, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                 if hi > lo:
-                    rows.append((bucket, task + nth, None, None, None, _packed(keys[lo:hi]), _planes(place[lo:hi])))
-            yield pd.DataFrame(rows, columns=["bucket", "chunk", "ids", "words", "known", "keys", "places"])
+                    rows.append((bucket // WIDE, task + nth, None, None, _packed(keys[lo:hi]), _planes(place[lo:hi])))
+            bucket, chunk, words, known, packed, places = (pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), _PARTS, strict=True))
+            ids = pa.concat_arrays([ids, pa.nulls(len(rows) - 1, ids.type)])
+            yield pa.RecordBatch.from_arrays([bucket, chunk, ids, words, known, packed, places], names=["bucket", "chunk", "ids", "words", "known", "keys", "places"])
             nth += 1
 
     return run
 
 
 def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the sums of its n-grams by text (chunk, nth), and the rows of what is known already with the ids."""
+    """WIDE buckets: the sums of its n-grams by text (chunk, nth), and the rows of what is known already with the ids."""
     out = []
     for r in rows[rows["words"].notna()].itertuples():
         out.append(pd.DataFrame({"chunk": r.chunk, "nth": np.arange(len(r.words)), "first": True, "id": pd.Series(list(r.ids), dtype=object), "words": r.words, "part": r.known}))
     rest = rows[rows["words"].isna()]
-    known = np.asarray(counts["keys"].iloc[0], dtype=np.int64).view(_U) if len(counts) else np.zeros(0, dtype=_U)
+    counts = counts.sort_values("place")  # the keys of one bucket come before those of the next
+    known = np.concatenate([np.zeros(0, dtype=np.int64), *counts["keys"]]).astype(np.int64).view(_U)
     if len(rest) and len(known):
-        n = np.log(np.asarray(counts["n"].iloc[0], dtype=float))
+        n = np.log(np.concatenate(list(counts["n"])).astype(float))
         for (chunk,), d in rest.groupby(["chunk"]):
             keys, places = _unpacked(d["keys"]), _from_planes(d["places"])
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -214,8 +223,8 @@ def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", o
     shared = spark.sparkContext.broadcast((bits.ravel().view(_U), often[at], value[at]))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    seen = rows.mapInPandas(_look_up(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, known array<double>, keys binary, places binary")
-    settled = seen.groupBy("bucket").cogroup(counts.select("bucket", "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"chunk long, nth long, first boolean, id {kind}, words long, part double")
+    seen = rows.mapInArrow(_look_up(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, known array<double>, keys binary, places binary")
+    settled = seen.groupBy("bucket").cogroup(counts.select(F.expr(f"bucket div {WIDE}").cast("int").alias("bucket"), F.col("bucket").alias("place"), "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"chunk long, nth long, first boolean, id {kind}, words long, part double")
     texts = settled.groupBy("chunk", "nth").agg(F.max(F.when(F.col("first"), F.struct(F.col("id").isNotNull().alias("has"), "id"))).alias("own"), F.sum("words").alias("words"), F.sum("part").alias("part"))
     summed = texts.groupBy(F.col("own.id").alias("id")).agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
     log_score = F.when(F.col("n_words") > 0, F.col("part") - math.log(max(1, total))).otherwise(0.0)
