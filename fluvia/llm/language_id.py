@@ -190,7 +190,7 @@ def _keep(model: Model):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, "text"):
-            found = next(judge(iter([pdf])))
+            found = pd.concat(judge(iter([pdf])))  # the judge may cut once more
             yield pdf[((found["lang_pred"] != "und") & (found["score"] >= 0.5)).to_numpy()]
 
     return run
