@@ -8,7 +8,9 @@ weighted hits and of the hits for a hundred words.
 
 from __future__ import annotations
 
+import itertools
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +25,11 @@ from ._common import table, written
 from ._split import held_out, sampled
 from ._text import chunks
 
-# Parameters: labelled documents of each label to learn from at most; entries of the lexicon at most; what a learned entry must show.
-MAX_TRAIN, MAX_LEXICON, LEAST_TEXTS, LEAST_ODDS, FILTER_BITS = 20_000, 1000, 5, 3.0, 22
-# Entries that are matched whatever the labels say (weight SEED_WEIGHT where the labels don't tell).
-SEEDS = ["clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
+# Parameters: labelled documents of each label to learn from at most; entries of the lexicon at most; what an entry must
+# show: groups of texts, log odds.
+MAX_TRAIN, MAX_LEXICON, LEAST_TEXTS, LEAST_ODDS, FILTER_BITS = 20_000, 1000, 4, 3.0, 22
+# Phrases whose words are not meant as insults.
 EXCEPTIONS = ["clown fish", "idiot proof", "trash bin", "trash can"]
-SEED_WEIGHT = 3.0
 # Characters and the letters they stand for.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ı": "i", "ɑ": "a", "ɡ": "g"}
@@ -68,7 +69,11 @@ def hits(text: str, words: ahocorasick.Automaton) -> dict[int, float]:
                 spared.append((start, stop))
             else:
                 found[start] = max(weight, found.get(start, weight))
-    return {s: w for s, w in found.items() if not any(a <= s <= b for a, b in spared)} if spared else found
+    if not spared:
+        return found
+    spared.sort()
+    begins, reach = [a for a, _ in spared], list(itertools.accumulate((b for _, b in spared), max))
+    return {s: w for s, w in found.items() if not (i := bisect_right(begins, s)) or reach[i - 1] < s}
 
 
 def _features(lexicon: dict[str, float], keep: list[str]):
@@ -91,7 +96,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Dat
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Log odds of words (text, toxic) that toxic texts hold far more often, with the seeds; MAX_LEXICON entries at most.
+    """Log odds of words (text, toxic) that toxic texts hold far more often; MAX_LEXICON entries at most, none without both labels.
 
     A word's support counts groups of texts with the same least word hash, so that copies count about once. A word must
     be in LEAST_TEXTS groups, and its likelihood ratio must be beyond what chance gives one of all such words.
@@ -101,7 +106,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     rows = written(rows.withColumn("g", F.array_min(F.transform("t", lambda t: F.xxhash64(t)))), "op9-words")
     sizes = dict(rows.groupBy("toxic").agg(F.count_distinct("g")).collect())
     if not sizes.get(1) or not sizes.get(0):
-        return dict.fromkeys(SEEDS, SEED_WEIGHT)
+        return {}
     support = rows.select("toxic", "g", F.explode("t").alias("word")).distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
     support = written(support.where(F.col("bad") + F.col("good") >= LEAST_TEXTS), "op9-support")
     tested, prior, n = support.count(), sizes[1] / (sizes[0] + sizes[1]), F.col("bad") + F.col("good")
@@ -109,8 +114,8 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     ratio = F.when(F.col("bad") > 0, F.col("bad") * F.log(F.col("bad") / (n * prior))).otherwise(0.0) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - prior)))).otherwise(0.0)
     scored = support.withColumn("odds", odds)
     strong = (F.col("odds") >= LEAST_ODDS) & (ratio >= math.log(max(1, tested)))
-    got = scored.where(strong | F.col("word").isin(SEEDS)).orderBy(F.desc("odds"), "word").limit(MAX_LEXICON).select("word", "odds").collect()
-    return dict.fromkeys(SEEDS, SEED_WEIGHT) | {r["word"]: max(0.0, r["odds"]) for r in got}
+    got = scored.where(strong).orderBy(F.desc("odds"), "word").limit(MAX_LEXICON).select("word", "odds").collect()
+    return {r["word"]: r["odds"] for r in got}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float, float]:
@@ -137,7 +142,11 @@ def _present(words: np.ndarray):
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled documents that are not held out: a sample of MAX_TRAIN of each label at most."""
+    """Learn from the labelled documents that are not held out: a sample of MAX_TRAIN of each label at most.
+
+    Null labels and null texts teach nothing; several labels of a document count as the greatest. Without labels, or with
+    one label only, the lexicon is empty and every text gets the score of a text without hits.
+    """
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     rows = written(sampled(known, "toxic", MAX_TRAIN), "op9-sample")
     hashed = F.xxhash64("doc_id").alias("h")
