@@ -3,16 +3,23 @@
 The standard library's streaming parser gives events; a block is the text between two block-level tags and is one line
 of the page. Each line has a ratio of text to tags; the ratios are smoothed with a Gaussian and compared with a
 threshold taken from their spread, which clusters the lines into content and the rest. The content region is the
-innermost container that holds most of the content lines' text, or the article or main round it; all its lines are the
-article's. So are, outside it, content lines, the lines of containers that are mostly content, and headings of any of
-these. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out everywhere.
+innermost container that holds most of the content lines' text, or the article or main round it. Its lines are the
+article's, but for elements whose names hint at something else and whose lines are not content, and, where no article
+or main says what belongs to it, for lists and boxes of links without a content line. Outside the region content lines,
+containers that are mostly content, and headings of any of these are the article's too. Menus, headers, footers,
+sidebars, notices, adverts, forms and comments that tags or whole names tell are left out everywhere.
+
+Every event costs the same whatever the nesting: open elements carry what they inherit, and sums over elements are
+passed from inner to outer ones once, at the end.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,13 +29,14 @@ from pyspark.sql import functions as F
 from ._common import table
 from ._text import chunks
 
-SIGMA, MAJORITY, SMALL, LARGE = 1.0, 0.6, 0.25, 0.5
+SIGMA, MAJORITY, SMALL, LARGE, LINKED = 1.0, 0.6, 0.25, 0.5, 0.7
 # Tags by what they do. Text inside DROPPED tags is never content.
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = set("aside button datalist dialog embed fieldset footer form frame frameset head header iframe input label legend map menu nav noscript object optgroup option script select style svg template textarea title video audio canvas math".split())
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
 CONTAINERS = set("article body div html main section td".split())
-#: Names in class, id or role that mark what is not the article.
+BARRIERS = CONTAINERS | set("table ul ol dl blockquote".split())
+#: Names in class, id or role that mark what is not the article, whole or all parts of a name; as one part among others they are a hint.
 MARKS = set("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus donate footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
 #: Of these, names that mark also as a part of a longer name, whatever the element's size.
 TALK = set("comment comments disqus replies respond".split())
@@ -40,89 +48,91 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SPACE = re.compile(r"\s+")
 
 
-class _Lines(HTMLParser):
-    """Collects lines: (text, tags seen since the line before, dropped, path of containers, marked elements round it, is a heading)."""
+class Line(NamedTuple):
+    """text; tags since the line before; is dropped; innermost node and marked element round it or -1; is a heading; share of text in links."""
+
+    text: str
+    tags: int
+    dropped: bool
+    node: int
+    mark: int
+    heading: bool
+    linked: float
+
+
+class Open(NamedTuple):
+    """An open element with what it inherits; block and barrier are the places of the innermost such element."""
+
+    tag: str
+    dropped: bool
+    node: int
+    mark: int
+    heading: bool
+    link: bool
+    block: int
+    barrier: int
+
+
+_ROOT = Open("", False, -1, -1, False, False, -1, -1)
+
+
+class _Page(HTMLParser):
+    """Collects the lines of a page; its nodes (containers and lists) and its marked elements, each with its parent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, drops its text, numbers of its container and its mark or -1
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], tuple[int, ...], bool]] = []
-        self.marks: list[int] = []  # 1 a part of a name, 2 a whole name, 3 of comments
-        self.holds: list[set[str]] = []  # which of article, main and h1 a marked element holds
-        self.articles: list[tuple[int, ...]] = []  # marked elements round each article
-        self.whole: dict[int, str] = {}  # tags of the containers
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each tag is open
+        self.lines: list[Line] = []
+        self.nodes: list[tuple[str, int]] = []
+        self.marks: list[tuple[int, int]] = []  # 1 a part of a name, 2 a whole name, 3 of comments
+        self.holds: list[set[str]] = []  # which of main and h1 a marked element holds itself
+        self.articles: list[int] = []  # the marked element round each article
         self.text: list[str] = []
-        self.tags = self.containers = 0
+        self.tags = self.linked = 0
+
+    def top(self) -> Open:
+        return self.open[-1] if self.open else _ROOT
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.places[self.open.pop().tag].pop()
 
     def flush(self) -> None:
         line = SPACE.sub(" ", "".join(self.text)).strip()
-        self.text.clear()
         if line:
-            path = tuple(x[2] for x in self.open if x[2] >= 0)
-            heading = any(x[0] in HEADINGS for x in self.open)
-            self.lines.append((line, self.tags, any(x[1] for x in self.open), path, self.round(), heading))
+            top = self.top()
+            self.lines.append(Line(line, self.tags, top.dropped, top.node, top.mark, top.heading, self.linked / len(line)))
             self.tags = 0
-
-    def round(self) -> tuple[int, ...]:
-        return tuple(x[3] for x in self.open if x[3] >= 0)
+        self.text.clear()
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
             closed = CLOSES.get(tag, {"p"} if tag != "br" else set())
-            depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in closed), None)
-            if depth is not None and not any(t in CONTAINERS or t in {"table", "ul", "ol", "dl", "blockquote"} for t, *_ in self.open[depth + 1 :]):
-                del self.open[depth:]
+            depth = max((self.places[t][-1] for t in closed if self.places[t]), default=None)
+            if depth is not None and self.top().barrier <= depth:
+                self.cut(depth)
         self.tags += 1
         if tag in VOID:
             return
-        if tag in ("article", "main", "h1"):
-            for m in self.round():
-                self.holds[m].add(tag)
-            if tag == "article":
-                self.articles.append(self.round())
-        mark = 0 if tag in {"html", "body", "article", "main"} else self._marked(attrs)
-        if mark:
-            self.marks.append(mark)
+        top, own, here = self.top(), tag in {"html", "body", "article", "main"}, len(self.open)
+        if tag == "article":
+            self.articles.append(top.mark)
+        elif tag in ("main", "h1") and top.mark >= 0:
+            self.holds[top.mark].add(tag)
+        mark, node = top.mark, top.node
+        if not own and (kind := _marked(attrs)):
+            mark = len(self.marks)
+            self.marks.append((kind, top.mark))
             self.holds.append(set())
-        drops = tag in DROPPED or tag not in {"html", "body", "article", "main"} and self._hidden(attrs)
-        self.containers += 1
-        if tag in CONTAINERS:
-            self.whole[self.containers] = tag
-        self.open.append((tag, drops, self.containers if tag in CONTAINERS else -1, len(self.marks) - 1 if mark else -1))
-
-    @staticmethod
-    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
-        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
-
-    @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]]) -> int:
-        found = 0
-        for name, value in attrs:
-            for token in (value or "").split() if name in ("class", "id", "role") else ():
-                if token.lower() in MARKS:
-                    found = max(found, 3 if token.lower() in TALK else 2)
-                parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
-                parts = parts[: next((i for i, x in enumerate(parts) if x in ABOUT), len(parts))]
-                found = max(found, 3 if TALK & set(parts) else 1 if MARKS & set(parts) else 0)
-        return found
-
-    def dropped_marks(self) -> set[int]:
-        """The marked elements that are not the article's. A part of a name counts for small elements only, and a whole
-        one not for an element round most of the page's text, if the article is plainly inside."""
-        lines = [x for x in self.lines if not x[2]]
-        size = [0] * len(self.marks)
-        for x in lines:
-            for m in x[4]:
-                size[m] += len(x[0])
-        total = sum(len(x[0]) for x in lines)
-        out = set()
-        for m, mark in enumerate(self.marks):
-            round_all = bool(self.articles) and all(m in a for a in self.articles) and mark != 3
-            wraps = size[m] >= LARGE * total and (round_all or self.holds[m] & {"main", "h1"} or size[m] == total)
-            if not wraps and (mark > 1 or size[m] < SMALL * total):
-                out.add(m)
-        return out
+        if tag in BARRIERS:
+            node = len(self.nodes)
+            self.nodes.append((tag, top.node))
+        self.places[tag].append(here)
+        dropped = top.dropped or tag in DROPPED or not own and _hidden(attrs)
+        self.open.append(Open(tag, dropped, node, mark, top.heading or tag in HEADINGS, top.link or tag == "a", here if tag in BLOCKS else top.block, here if tag in BARRIERS else top.barrier))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,13 +143,57 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, *_ in self.open[depth:])):
-            del self.open[depth:]
+        if self.places[tag] and (tag in BLOCKS or self.top().block < self.places[tag][-1]):
+            self.cut(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][0] in ("script", "style")):
+        top = self.top()
+        if top.tag not in ("script", "style"):
             self.text.append(data)
+            if top.link:
+                self.linked += len(SPACE.sub(" ", data).strip())
+
+    def away(self) -> list[bool]:
+        """Which marked elements are not the article's whatever their lines: whole names, but for an element round most of
+        the page's text, if the article is plainly inside; and what lies in such elements."""
+        n = len(self.marks)
+        size, articles, holds = [0] * n, [0] * n, [set(x) for x in self.holds]
+        total = 0
+        for x in self.lines:
+            if not x.dropped:
+                total += len(x.text)
+                if x.mark >= 0:
+                    size[x.mark] += len(x.text)
+        for m in self.articles:
+            if m >= 0:
+                articles[m] += 1
+        for m in range(n - 1, -1, -1):
+            if (up := self.marks[m][1]) >= 0:
+                size[up] += size[m]
+                articles[up] += articles[m]
+                holds[up] |= holds[m]
+        out = []
+        for m, (kind, up) in enumerate(self.marks):
+            round_all = bool(self.articles) and articles[m] == len(self.articles) and kind != 3
+            wraps = size[m] >= LARGE * total and (round_all or holds[m] or size[m] == total)
+            out.append(up >= 0 and out[up] or kind > 1 and not wraps)
+        return out
+
+
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower() for name, value in attrs)
+
+
+def _marked(attrs: list[tuple[str, str | None]]) -> int:
+    found = 0
+    for name, value in attrs:
+        for token in (value or "").split() if name in ("class", "id", "role") else ():
+            if token.lower() in MARKS:
+                found = max(found, 3 if token.lower() in TALK else 2)
+            parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+            parts = parts[: next((i for i, x in enumerate(parts) if x in ABOUT), len(parts))]
+            found = max(found, 3 if TALK & set(parts) else 0 if not MARKS & set(parts) else 2 if MARKS >= set(parts) else 1)
+    return found
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -149,43 +203,77 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def content_lines(own: np.ndarray) -> tuple[np.ndarray, float]:
+    """(which lines the clustering of their smoothed ratios puts with the content, the threshold)."""
+    ratio = smoothed(own)
+    least = float(min(ratio.max(), ratio.std()))
+    return ratio >= least, least
+
+
+def _upward(parents: list[int], own: np.ndarray) -> np.ndarray:
+    """The sums of ``own`` over each element and what lies in it; parents come before their children."""
+    total = own.copy()
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] >= 0:
+            total[parents[i]] += total[i]
+    return total
+
+
 def main_text(html: str | None) -> str:
     """The article of one page, its blocks in page order joined by one space; empty for null, empty or contentless pages."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    away = parser.dropped_marks()
-    kept = [line for line in parser.lines if not line[2] and not away.intersection(line[4])]
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page.flush()
+    away = page.away()
+    kept = [x for x in page.lines if not x.dropped and not (x.mark >= 0 and away[x.mark])]
     if not kept:
         return ""
-    size = np.array([len(line[0]) for line in kept], dtype=float)
-    own = size / np.maximum(1, [line[1] for line in kept])
-    ratio = smoothed(own)
-    least = min(ratio.max(), ratio.std())
-    content = ratio >= least
-    weight: dict[int, float] = {}
-    text: dict[int, float] = {}
-    for line, n, good in zip(kept, size, content, strict=True):
-        for c in line[3]:
-            text[c] = text.get(c, 0.0) + n
-            weight[c] = weight.get(c, 0.0) + n * good
+    size = np.array([len(x.text) for x in kept], dtype=float)
+    own = size / np.maximum(1, [x.tags for x in kept])
+    content, least = content_lines(own)
+    sure = content & (own >= least)
+    at, mark = np.array([x.node for x in kept]), np.array([x.mark for x in kept])
+    tags, parents = [t for t, _ in page.nodes], [p for _, p in page.nodes]
+    hints, outer = [k == 1 for k, _ in page.marks], [p for _, p in page.marks]
+
+    def sums(where: np.ndarray, up: list[int], value: np.ndarray) -> np.ndarray:
+        inside = where >= 0
+        return _upward(up, np.bincount(where[inside], weights=value[inside], minlength=len(up)))
+
+    text, weight, certain, links = (sums(at, parents, v) for v in (size, size * content, size * sure, size * [x.linked for x in kept]))
     most = MAJORITY * size[content].sum()
-    region = max((c for c, w in weight.items() if w >= most), default=None)  # containers are numbered in page order: inner ones later
+    region = max((c for c in range(len(tags)) if tags[c] in CONTAINERS and weight[c] >= most), default=None)  # inner ones come later
     if region is None:
-        return " ".join(line[0] for line in kept)
-    round_it = next(line[3] for line in kept if region in line[3])
-    round_it = round_it[: round_it.index(region) + 1]
-    region = next((c for tag in ("article", "main") for c in round_it if parser.whole[c] == tag), region)
+        return " ".join(x.text for x in kept)
+    chain = [region]
+    while parents[chain[-1]] >= 0:
+        chain.append(parents[chain[-1]])
+    region = next((c for tag in ("article", "main") for c in reversed(chain) if tags[c] == tag), region)
+    told = any(tags[c] in ("article", "main") for c in chain)
+    round_it = set(chain[chain.index(region) :])
+    inside, rich, linked = np.zeros(len(tags), dtype=bool), np.zeros(len(tags), dtype=bool), np.zeros(len(tags), dtype=bool)
+    for c, up in enumerate(parents):
+        inside[c] = c == region or up >= 0 and inside[up]
+        rich[c] = c not in round_it and (certain[c] >= MAJORITY * text[c] > 0 or up >= 0 and rich[up])
+        linked[c] = c not in round_it and not told and (certain[c] == 0 and links[c] >= LINKED * text[c] > 0 or up >= 0 and linked[up])
+    # a hint counts where the element's lines are not content, and outside the region for all but large elements
+    hinted = np.zeros((len(hints), 2), dtype=bool)
+    big, good = sums(mark, outer, size), sums(mark, outer, size * sure)
+    for m, up in enumerate(outer):
+        poor = hints[m] and good[m] < MAJORITY * big[m], hints[m] and big[m] < SMALL * size.sum()
+        hinted[m] = [x or up >= 0 and y for x, y in zip(poor, hinted[up], strict=True)]
     take = []
-    for line, good, r in zip(kept, content, own, strict=True):
-        apart = (c for c in line[3] if c not in round_it)
-        take.append(region in line[3] or bool(good and r >= least) or any(weight[c] >= MAJORITY * text[c] for c in apart))
+    for x, yes in zip(kept, sure, strict=True):
+        c = x.node
+        here = c >= 0 and inside[c]
+        hint = x.mark >= 0 and hinted[x.mark][0 if here else 1]
+        take.append(not hint and (here and not linked[c] or not here and bool(yes or c >= 0 and rich[c])))
     for i in range(len(kept) - 2, -1, -1):
-        take[i] = take[i] or kept[i][5] and take[i + 1]
-    return " ".join(line[0] for line, t in zip(kept, take, strict=True) if t)
+        take[i] = take[i] or kept[i].heading and take[i + 1]
+    return " ".join(x.text for x, t in zip(kept, take, strict=True) if t)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +283,11 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Every row of ``pages`` with text and n_chars (code points) in place of the html; columns of these names are replaced."""
+    """Every row of ``pages`` with text and n_chars (code points) in place of the html; columns of these names are replaced.
+
+    Null, empty and contentless pages have the empty text. Repeated rows stay, an empty table gives none, and all other
+    columns are passed on as they are. A page is read in time by its length, however deep its elements are nested.
+    """
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars", "html")]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
     return pages.select(*rest, F.col(html).alias("html")).mapInPandas(_extract, schema + ", text string, n_chars long")

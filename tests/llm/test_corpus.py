@@ -76,6 +76,30 @@ def test_sharding_keeps_odd_rows(odd):
     assert len(got) == 9 and got["shard"].between(0, 7).all() and got[got["doc_id"] == 4]["shard"].nunique() == 1
 
 
+def test_shards_equal_a_plain_descent(spark, local):
+    """Every draw over again in plain Python, for 40 and 41 shards."""
+    import hashlib
+
+    draw = lambda level, node, weight, key: (-math.log((int(hashlib.md5(f"{level}|{node}|{key}".encode()).hexdigest()[:15], 16) + 1.0) / float(1 << 60)) / weight, node)
+
+    def descend(leaves, key):
+        for at, level in enumerate(("region", "rack", "shard")):
+            weights = collections.Counter()
+            for leaf in leaves:
+                weights[leaf[at]] += leaf[3]
+            least = min(draw(level, n, w, key) for n, w in weights.items())[1] if len(weights) > 1 else next(iter(weights))
+            leaves = [leaf for leaf in leaves if leaf[at] == least]
+        return leaves[0][2]
+
+    leaves = sharding.even_topology(40)
+    uneven = [(*leaf[:3], 1.0 + leaf[2] % 3) for leaf in leaves]
+    got = sharding.op1_sharding(spark, SF).toPandas().set_index("doc_id")
+    for i in local["doc_id"]:
+        assert got.loc[i, "shard"] == descend(leaves, i) and got.loc[i, "grown_shard"] == descend(sharding.grown_topology(leaves), i)
+    for r in sharding.assign_shards(spark.range(200).withColumnRenamed("id", "doc_id"), uneven).collect():
+        assert r["shard"] == descend(uneven, r["doc_id"])
+
+
 # mixing
 def test_mix_meets_targets_and_limits(spark):
     got = mixing.op2_mixing(spark, SF).toPandas()
@@ -202,6 +226,42 @@ def test_uneven_parts_and_names_of_wrappers_keep_the_article():
     assert cells == f"{one} {two}"
 
 
+def test_clusters_decide_where_names_and_tags_do_not(monkeypatch):
+    one, two = " ".join(["the river bends round the old mill and runs on"] * 12), " ".join(["a second part tells of the bridge"] * 6)
+    links = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("Home", "News", "Sport", "Weather", "About us"))
+    pages = {
+        "a hint on prose": (f"<article><p>{one}</p><div class='share-price'><p>{two}</p></div></article>", f"{one} {two}"),
+        "a hint on a bar": (f"<article><p>{one}</p><div class='share-bar'><a href=a>X</a> <a href=b>Y</a></div><p>{two}</p></article>", f"{one} {two}"),
+        "unmarked lists": (f"<ul>{links}</ul><div><p>{one}</p><p>{two}</p></div><ul>{links}</ul>", f"{one} {two}"),
+        "a list beside the article": (f"<article><p>{one}</p><p>{two}</p></article><div><ul>{links}</ul></div>", f"{one} {two}"),
+        "a list in the same box": (f"<div><p>{one}</p><p>{two}</p><p>{one}</p><ul>{links}</ul></div>", f"{one} {two} {one}"),
+        "a teaser with a hint": (f"<div><p>{one}</p><p>{two}</p></div><div class='related-posts'><p>Read how the mill was built</p></div>", f"{one} {two}"),
+    }
+    whole = {k: f"<html><body>{p}</body></html>" for k, (p, _) in pages.items()}
+    assert {k: html_extraction.main_text(p) for k, p in whole.items()} == {k: t for k, (_, t) in pages.items()}
+    monkeypatch.setattr(html_extraction, "content_lines", lambda own: (np.ones(len(own), dtype=bool), 0.0))
+    changed = {k for k, p in whole.items() if html_extraction.main_text(p) != pages[k][1]}
+    assert changed >= {"a hint on a bar", "unmarked lists", "a list beside the article", "a list in the same box"}
+
+
+def test_deep_pages_take_time_by_their_length():
+    import time
+
+    html_extraction.main_text("<div>x" * 1000)
+    began = time.process_time()
+    assert html_extraction.main_text("<div>x" * 100_000).count("x") == 100_000
+    assert html_extraction.main_text("<b><div>y" * 30_000 + "</b>" * 30_000).count("y") == 30_000
+    assert time.process_time() - began < 20
+
+
+def test_extraction_of_odd_rows(spark):
+    rows = [(1, None, "old", 5), (2, "", "old", 5), (3, "<p>a  b", None, 5), (3, "<p>a  b", None, 5), (None, "<article><p>long " + "word " * 200_000 + "</p></article>", "old", None)]
+    d = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")
+    got = html_extraction.extract(d).toPandas()
+    assert sorted(got.columns) == ["n_chars", "page_id", "text"] and sorted(got["n_chars"]) == [0, 0, 3, 3, 4 + 5 * 200_000]
+    assert html_extraction.extract(d.limit(0)).count() == 0
+
+
 def test_pages_equal_a_plain_reading(spark):
     import html
     import re
@@ -331,6 +391,52 @@ def test_spans_and_odd_texts(spark, docs, local, odd):
     assert language_id.keep_identified(odd, model).columns == odd.columns
 
 
+def test_long_texts_in_one_batch_are_judged_row_by_row(spark, docs, local):
+    model = language_id.learn(docs)
+    text = " ".join(local[local["lang"] == "en"]["text"].dropna())
+    sizes = [1_900_000, 3_000_000, 1_000_000, 10]
+    rows = [(i, (text * (n // len(text) + 1))[:n] if i != 3 else "12 34") for i, n in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = language_id.keep_identified(d, model).select("doc_id", "text").toPandas()
+    assert sorted(got["doc_id"]) == [0, 1, 2] and [len(t) for t in got.sort_values("doc_id")["text"]] == sizes[:3]
+    assert language_id.identify(d.limit(0), model).count() == language_id.keep_identified(d.limit(0), model).count() == 0
+
+
+def test_languages_equal_a_plain_version(spark, docs, local):
+    """Trigram counts, scores and the best path over again, word by word in plain Python."""
+    rows = local[[zlib.crc32(str(i).encode()) % 5 != 0 for i in local["doc_id"]]].dropna(subset=["text", "lang"])
+    cell = lambda g: int(_text.mix64(np.array([(ord(g[0]) << 42) ^ (ord(g[1]) << 21) ^ ord(g[2])], dtype=np.uint64))[0]) % language_id.BUCKETS
+    grams = lambda w: [("\0" + w + "\0")[i : i + 3] for i in range(len(w))]
+    cells: dict = {}
+    count = {lang: collections.Counter() for lang in sorted(set(rows["lang"]))}
+    for r in rows.itertuples():
+        for w in language_id.WORD.findall(r.text.lower()):
+            for g in grams(w):
+                count[r.lang][cells.setdefault(g, cell(g)) if g in cells else cells.setdefault(g, cell(g))] += 1
+    sums = {lang: sum(c.values()) + 0.1 * language_id.BUCKETS for lang, c in count.items()}
+    got = language_id.op8_language_id(spark, SF).toPandas().set_index("doc_id")
+    for r in local.dropna(subset=["text"]).head(60).itertuples():
+        words = language_id.WORD.findall(r.text.lower())
+        if not words:
+            assert got.loc[r.doc_id, "lang_pred"] == "und"
+            continue
+        best, back = dict.fromkeys(count, 0.0), []
+        for w in words:
+            if back or w is not words[0]:
+                top = max(best, key=best.get)
+                back.append({x: x if best[x] >= best[top] - language_id.SWITCH else top for x in best})
+                best = {x: max(best[x], best[top] - language_id.SWITCH) for x in best}
+            best = {x: v + sum(math.log((count[x][cells.setdefault(g, cell(g))] + 0.1) / sums[x]) for g in grams(w)) for x, v in best.items()}
+        path = [max(best, key=best.get)]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        letters = collections.Counter()
+        for w, x in zip(words, reversed(path), strict=True):
+            letters[x] += len(w)
+        lang, n = max(letters.items(), key=lambda kv: kv[1])
+        assert got.loc[r.doc_id, "lang_pred"] == lang and math.isclose(got.loc[r.doc_id, "score"], n / sum(letters.values()), abs_tol=0.02)
+
+
 def test_viterbi_equals_plain_dynamic_programming():
     rng = np.random.default_rng(2)
     scores, sizes = rng.standard_normal((60, 3)) * 4, np.array([20, 0, 35, 5])
@@ -358,6 +464,50 @@ def test_hits_fold_spare_and_keep_borders():
     assert toxicity.hits("idiotic trashy", words) == {} and toxicity.hits("the trash can", words) == {} and toxicity.hits("trash$$$ idiot!!", words) == {0: 1.0, 9: 2.0}
 
 
+def test_many_hits_and_exceptions_take_time_by_their_number():
+    import time
+
+    words = toxicity.automaton({"moron": 2.0, "trash": 1.0})
+    began = time.process_time()
+    assert len(toxicity.hits("trash can moron " * 100_000, words)) == 100_000
+    assert time.process_time() - began < 10
+
+
+def test_learning_from_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"plain words of no account {i}") for i in range(30)] + [(None, "x"), (40, None), (41, "")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    one = spark.createDataFrame([(i, 1) for i in range(30)] + [(50, None), (None, 1)], "doc_id long, toxic int")
+    for labels in (none, one):
+        model = toxicity.learn(docs, labels)
+        got = toxicity.score(docs, model).toPandas()
+        assert model.lexicon == {} and len(got) == 33 and (got["predicted"] == 0).all() and got["score"].nunique() == 1
+
+
+def test_scores_equal_a_plain_version_of_the_model(spark, local):
+    """The learned model applied in plain Python: every entry looked for at every place, without an automaton."""
+    import re
+
+    model = toxicity.Model({"thr": 2.0, "dis": 1.5, "trash": 1.0}, (-3.0, 2.0, 0.7))
+    texts = [*local["text"].dropna()[:60], "Tr4sh can, trash; TRASH! thr", "dis trash bin dis", ""]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas().set_index("doc_id")["score"]
+    for i, text in enumerate(texts):
+        low = text.lower()
+        free = lambda a, b: not (a and low[a - 1].isalpha()) and not (b < len(low) and low[b].isalpha())  # noqa: B023, E731
+        seen, spared = {}, set()
+        for variant in {low, low.translate(toxicity._GLYPHS), low.translate(toxicity.FOLD)}:
+            for phrase in toxicity.EXCEPTIONS:
+                for m in re.finditer(f"(?={re.escape(phrase)})", variant):
+                    if free(m.start(), m.start() + len(phrase)):
+                        spared |= set(range(m.start(), m.start() + len(phrase)))
+            for word, weight in model.lexicon.items():
+                for m in re.finditer(f"(?={re.escape(word)})", variant):
+                    if free(m.start(), m.start() + len(word)):
+                        seen[m.start()] = max(weight, seen.get(m.start(), weight))
+        found = [w for s, w in seen.items() if s not in spared]
+        z = -3.0 + 2.0 * math.log1p(sum(found)) + 0.7 * (math.log1p(100 * len(found) / len(text.split())) if found else 0.0)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_toxic_documents(spark, odd):
     got = toxicity.op9_toxicity(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
