@@ -33,8 +33,8 @@ from ._common import discard, table, written
 from ._text import arrow_chunks, chunks, text_words, windows
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
-# Bytes in a chunk, n-grams in a bucket (about), buckets that are settled at once, share of a frequent n-gram, bits of the bitmap.
-CHUNK, BUCKET, WIDE, HOT, FILTER_BITS = 3_000_000, 1 << 20, 8, 1 << 21, 27
+# Bytes in a chunk, n-grams in a bucket (about), buckets at least and those that are settled at once, share of a frequent n-gram, bits of the bitmap.
+CHUNK, BUCKET, LEAST_BUCKETS, WIDE, HOT, FILTER_BITS = 3_000_000, 1 << 20, 128, 8, 1 << 21, 27
 _U = np.uint64
 
 
@@ -103,7 +103,7 @@ def count_table(docs: DataFrame, text: str = "text", order: int = ORDER, least:
     """
     base = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(1 << (FILTER_BITS - 3), max(2, 1 << math.ceil(math.log2(order * size / 6 / BUCKET + 1))))
+    buckets = min(1 << (FILTER_BITS - 3), max(LEAST_BUCKETS, 1 << math.ceil(math.log2(order * size / 6 / BUCKET + 1))))
     dealt = base.mapInArrow(_counts(order, buckets), "bucket int, words long, keys binary, n binary")
     out = written(dealt.groupBy("bucket").applyInPandas(_summed(least, buckets), "bucket int, words long, seen binary, keys array<long>, n array<long>"), "op6-counts")
     out.buckets, out.order = buckets, order
@@ -172,10 +172,8 @@ def _look_up(order: int, buckets: int, shared):
 
 
 def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """WIDE buckets: the sums of its n-grams by text (chunk, nth), and the rows of what is known already with the ids."""
-    out = []
-    for r in rows[rows["words"].notna()].itertuples():
-        out.append(pd.DataFrame({"chunk": r.chunk, "nth": np.arange(len(r.words)), "first": True, "id": pd.Series(list(r.ids), dtype=object), "words": r.words, "part": r.known}))
+    """WIDE buckets: for each chunk the sums of its n-grams by text, and the rows of what is known already as they are."""
+    out = [(r.chunk, r.ids, r.words, None, r.known) for r in rows[rows["words"].notna()].itertuples()]
     rest = rows[rows["words"].isna()]
     counts = counts.sort_values("place")  # the keys of one bucket come before those of the next
     known = np.concatenate([np.zeros(0, dtype=np.int64), *counts["keys"]]).astype(np.int64).view(_U)
@@ -187,8 +185,17 @@ def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
             value = np.where(known[at] == keys, n[at], 0.0) * (1 - 2 * (places & 1))
             total = np.bincount(places >> 1, weights=value)
             nth = np.flatnonzero(total)
-            out.append(pd.DataFrame({"chunk": chunk, "nth": nth, "first": False, "id": None, "words": 0, "part": total[nth]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["chunk", "nth", "first", "id", "words", "part"])
+            out.append((chunk, None, None, nth.astype(np.int32), total[nth]))
+    return pd.DataFrame(out, columns=["chunk", "ids", "words", "nth", "part"])
+
+
+def _texts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk of texts: id, words and the sum of all its parts for each."""
+    own = pdf[pdf["words"].notna()].iloc[0]
+    total = np.array(own["part"], dtype=float)
+    for r in pdf[pdf["words"].isna()].itertuples():
+        total[r.nth] += r.part
+    return pd.DataFrame({"id": pd.Series(list(own["ids"]), dtype=object), "words": list(own["words"]), "part": total})
 
 
 def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,9 +231,10 @@ def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", o
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     seen = rows.mapInArrow(_look_up(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, known array<double>, keys binary, places binary")
-    settled = seen.groupBy("bucket").cogroup(counts.select(F.expr(f"bucket div {WIDE}").cast("int").alias("bucket"), F.col("bucket").alias("place"), "keys", "n").groupBy("bucket")).applyInPandas(_settle, f"chunk long, nth long, first boolean, id {kind}, words long, part double")
-    texts = settled.groupBy("chunk", "nth").agg(F.max(F.when(F.col("first"), F.struct(F.col("id").isNotNull().alias("has"), "id"))).alias("own"), F.sum("words").alias("words"), F.sum("part").alias("part"))
-    summed = texts.groupBy(F.col("own.id").alias("id")).agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
+    settled = seen.groupBy("bucket").cogroup(counts.select(F.expr(f"bucket div {WIDE}").cast("int").alias("bucket"), F.col("bucket").alias("place"), "keys", "n").groupBy("bucket"))
+    parts = settled.applyInPandas(_settle, f"chunk long, ids array<{kind}>, words array<long>, nth array<int>, part array<double>")
+    texts = parts.groupBy("chunk").applyInPandas(_texts, f"id {kind}, words long, part double")
+    summed = texts.groupBy("id").agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
     log_score = F.when(F.col("n_words") > 0, F.col("part") - math.log(max(1, total))).otherwise(0.0)
     out = written(_finished(summed.withColumn("log_score", log_score), id_col), "op6-scores")
     discard(counts)
