@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: randomised-rotation binary codes decide which pairs need exact cosines.
 
-A unit vector is rotated at random and kept as its signs, with the stored factor f = <o, code>. <code, q> / f is an
-unbiased estimate of <o, q>; its error is below EPSILON * sqrt(1 - f^2) / f / sqrt(D - 1) but for a probability that
-falls with exp(-EPSILON^2 / 2). Only pairs whose estimate plus that bound reaches the threshold are computed in double
-precision, and only those at or above the threshold are linked.
+A unit vector is rotated at random and kept as its signs, with the factor f = <o, code>: both are computed once for each
+vector and stored beside it. <code, q> / f is an unbiased estimate of <o, q>; its error is below
+EPSILON * sqrt(1 - f^2) / f / sqrt(D - 1) but for a probability that falls with exp(-EPSILON^2 / 2). Only pairs whose
+estimate plus that bound reaches the threshold are computed in double precision, and only those at or above the threshold
+are linked.
 
 Pairs are looked for within buckets of code bits. The more vectors a label has, the more bits a bucket takes, so that
 buckets stay near BLOCK rows; bands are added until a pair at the threshold misses all of them with a probability of
@@ -12,6 +13,7 @@ MISS. A bucket above BLOCK rows is cut into blocks and every pair of blocks is c
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -26,8 +28,9 @@ from ._graph import connected_components
 THRESHOLD, BLOCK, MISS, EPSILON, MAX_BITS, SEED = 0.93, 1024, 1e-6, 5.0, 24, 20240501
 
 
+@functools.lru_cache(maxsize=64)
 def rotation(dim: int, number: int = 0) -> np.ndarray:
-    """A random orthogonal matrix, the same on every machine."""
+    """A random orthogonal matrix, the same on every machine; made once a process."""
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim, number]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -45,30 +48,36 @@ def _units(vectors) -> np.ndarray:
 
 
 def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a band: node, grp, copies, v, keys (of all bands), band, key."""
+    """One row a band: node, grp, copies, v, code, factor, keys (of all bands), band, key."""
     for pdf in batches:
         for (dim, bits), d in pdf.groupby(["dim", "bits"]):
             for lo in range(0, len(d), 512):
                 part = d.iloc[lo : lo + 512]
                 bands, bits = bands_for(int(bits)), int(bits)
                 keys = np.zeros((len(part), bands), dtype=np.int64)
+                units = _units(part["v"])
+                code, factor = codes(units)
                 if bits:
                     planes = np.concatenate([rotation(int(dim), i) for i in range(-(-bands * bits // int(dim)))])[: bands * bits]
-                    signs = (_units(part["v"]) @ planes.T > 0).reshape(len(part), bands, bits)
+                    signs = (units @ planes.T > 0).reshape(len(part), bands, bits)
                     keys = (signs * (1 << np.arange(bits))).sum(axis=2)
                 for band in range(bands):
-                    yield pd.DataFrame({"node": part["node"], "grp": part["grp"], "copies": part["copies"], "v": part["v"], "keys": list(keys), "band": band, "key": keys[:, band]})
+                    yield pd.DataFrame({"node": part["node"], "grp": part["grp"], "copies": part["copies"], "v": part["v"], "code": [c.tobytes() for c in code], "factor": factor, "keys": list(keys), "band": band, "key": keys[:, band]})
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows of ``a`` and ``b`` whose cosine reaches the threshold: code estimates first, exact after."""
+def codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signs of the rotated unit rows, eight to a byte; the factors <o, code>)."""
+    turned = units @ rotation(units.shape[1]).T
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(units.shape[1])
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit rows of ``a``, which has codes and factors, and ``b`` whose cosine reaches the threshold: estimates first, exact after."""
     dim = a.shape[1]
-    turn = rotation(dim)
-    ra, rb = a @ turn.T, (b @ turn.T).astype(np.float32)
-    code = np.where(ra > 0, 1.0, -1.0) / math.sqrt(dim)
-    f = (ra * code).sum(axis=1)
-    estimate = (code.astype(np.float32) @ rb.T) / f[:, None]
-    bound = EPSILON * np.sqrt(np.maximum(0, 1 - f * f)) / f / math.sqrt(max(1, dim - 1))
+    turned = (b @ rotation(dim).T).astype(np.float32)
+    signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+    estimate = (signs @ turned.T) / (factor * math.sqrt(dim))[:, None]
+    bound = EPSILON * np.sqrt(np.maximum(0, 1 - factor * factor)) / factor / math.sqrt(max(1, dim - 1))
     i, j = np.nonzero(estimate + bound[:, None] + 1e-4 >= threshold)
     keep = np.zeros(len(i), dtype=bool)
     for lo in range(0, len(i), 65536):
@@ -97,7 +106,8 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = np.arange(len(pdf))
     left, right = (rows, rows) if one == two else (rows[pdf["part"] == one], rows[pdf["part"] == two])
     links = np.zeros(len(pdf), dtype=np.int64)
-    i, j = linked_pairs(x[left], x[right]) if len(left) and len(right) else (rows[:0], rows[:0])
+    code, factor = np.array([np.frombuffer(c, dtype=np.uint8) for c in pdf["code"]]), pdf["factor"].to_numpy()
+    i, j = linked_pairs(x[left], x[right], code[left], factor[left]) if len(left) and len(right) else (rows[:0], rows[:0])
     i, j = left[i], right[j]
     if one == two:
         i, j = i[i < j], j[i < j]
@@ -121,6 +131,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """
     v = F.col("v")
     base = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("g"), F.col(vector).alias("v"))
+    kind = vectors.schema[vector].dataType.simpleString()  # as it is: doubles stay doubles
     fits = F.col("g").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = base.withColumn("grp", F.when(fits, F.concat_ws(":", F.col("g").cast("string"), F.size(v).cast("string"))))
     base = base.withColumn("node", F.when(fits, F.unhex(F.md5(F.concat_ws(",", F.col("grp"), F.to_json(v))))))
@@ -128,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     classes = written(base.where("node IS NOT NULL").groupBy("node").agg(F.any_value("grp").alias("grp"), F.any_value("v").alias("v"), F.count("*").alias("copies")), "op7-classes")
     bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.col("n") / float(BLOCK))))).cast("int")
     sized = classes.join(classes.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("node", "grp", "copies", "v", bits.alias("bits"), F.size("v").alias("dim"))
-    in_bands = written(sized.mapInPandas(_band_keys, "node binary, grp string, copies long, v array<float>, keys array<long>, band int, key long"), "op7-bands")
+    in_bands = written(sized.mapInPandas(_band_keys, f"node binary, grp string, copies long, v {kind}, code binary, factor double, keys array<long>, band int, key long"), "op7-bands")
     bucket = ["grp", "band", "key"]
     parts = in_bands.groupBy(*bucket).agg(F.ceil(F.count("*") / float(2 * BLOCK)).alias("parts"))
     d = in_bands.join(parts, bucket).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
