@@ -3,14 +3,15 @@
 Darts fall on (element, weight, rank): a Poisson process of intensity 1 that is hashed from the element alone, so that
 all texts see the same darts. A dart hits a text if the element is in it and the dart's weight is below the element's
 weight there; each dart has a hashed coordinate, and the earliest hit (least rank) of each coordinate is the signature.
-Two texts agree in a coordinate with the probability of their weighted Jaccard similarity. A text of any length costs
+Two texts agree in a coordinate with the probability of their weighted Jaccard similarity; the elements are a text's
+shingles and their weights its counts of them. A text of any length costs
 about COORDS * ln(COORDS) darts, plus a fraction for each element.
 
 Signatures are cut into bands and texts that share a band meet in a bucket. Equal texts are one class before that. In
 each bucket, members are first paired with a hashed centre, twice with other centres; after the components of the
 confirmed pairs, all pairs of a bucket that are still in different components follow (screened by the bits of a longer
 signature, which only texts of such buckets get; each pair in its first shared bucket), so that no link between components is left out while a large group costs a few pairs a
-member. Every pair is confirmed by the exact Jaccard similarity of its shingles.
+member. Every pair is confirmed by the exact weighted Jaccard similarity of its counted shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ._bitmap import bitmap, in_bitmap
 from ._common import discard, table, written
 from ._graph import connected_components
-from ._text import chunks, hashed_words, mix64, windows
+from ._text import chunks, mix64, text_words, windows
 
 WIDTH, THRESHOLD, COORDS, ROWS, BANDS, ORDERS, FILTER_BITS = 5, 0.8, 256, 6, 42, 8, 23
 #: Coordinates and bits of each for the screen of leftover pairs, and its margin in standard deviations.
@@ -34,21 +35,42 @@ SCREEN, BITS, MARGIN = 1024, 4, 5.0
 _U = np.uint64
 
 
-def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each run of ``width`` words, number of its text). Words are what white space separates, lower-cased.
 
     A text of fewer words is one shingle; a text without words has none.
     """
-    lists = [t.lower().split() for t in texts]
-    words, counts = hashed_words(lists)
-    h, owner = windows(words, counts, width)
-    short = [i for i, x in enumerate(lists) if 0 < len(x) < width]
-    if short:
-        own = pd.util.hash_array(np.array([" ".join(lists[i]) for i in short], dtype=object))
-        h, owner = np.concatenate([h, mix64(own)]), np.concatenate([owner, np.array(short)])
-        order = np.argsort(owner, kind="stable")
-        h, owner = h[order], owner[order]
-    return h, owner
+    words, counts = text_words(texts)
+    found = [windows(words, counts, width)]
+    for k in range(1, width):
+        h, owner = windows(words, counts, k)
+        whole = counts[owner] == k
+        found.append((h[whole], owner[whole]))
+    h, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((h, owner))
+    return h[order], owner[order]
+
+
+def counted(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, number of its text, how often it is there), from ``shingles``: the weighted set of each text."""
+    if not len(h):
+        return h, owner, np.zeros(0)
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+    return h[first], owner[first], np.diff(np.append(first, len(h))).astype(float)
+
+
+def occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``shingles`` with a name of its own for the second, third, ... occurrence in a text.
+
+    The sets of these names have the Jaccard similarity of the counted shingles: the sum of the lesser counts over the
+    sum of the greater ones.
+    """
+    if not len(h):
+        return h
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    at = np.arange(len(h))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(_U)
+    return np.where(nth > 0, mix64(h + nth * _U(0xD1342543DE82EF95)), h)
 
 
 def _poisson_cdf(mean: float) -> np.ndarray:
@@ -106,8 +128,8 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, coords: int
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """node, text -> node and band keys; texts without words give no row."""
     for pdf in chunks(batches, "text"):
-        h, owner = shingles(pdf["text"].tolist())
-        sig = dart_signatures(h, owner, len(pdf))
+        h, owner, weights = counted(*shingles(pdf["text"]))
+        sig = dart_signatures(h, owner, len(pdf), weights=weights)
         has = np.bincount(owner, minlength=len(pdf)) > 0
         keys = np.zeros((len(pdf), BANDS), dtype=_U)
         for b in range(BANDS):
@@ -119,9 +141,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, text -> node and the set of its shingle hashes."""
+    """node, text -> node and the set of its shingles' occurrences."""
     for pdf in chunks(batches, "text"):
-        h, owner = shingles(pdf["text"].tolist())
+        h, owner = shingles(pdf["text"])
+        h = occurrences(h, owner)
         cuts = np.searchsorted(owner, np.arange(1, len(pdf)))
         yield pd.DataFrame({"node": pdf["node"].to_numpy(), "grams": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]})
 
@@ -159,7 +182,7 @@ def _gram_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold."""
+    """The pairs (a, b) whose counted shingles reach the threshold."""
     sets = _gram_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     common = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))

@@ -556,6 +556,17 @@ def test_groups_equal_brute_force(spark, local):
     assert got.to_dict() == want and len(set(want.values())) < len(want)
 
 
+def test_repeated_shingles_weigh_by_their_count(spark):
+    line = "the quick brown fox jumps over the lazy dog again "
+    body = " ".join(f"b{i}" for i in range(120))
+    rows = [(1, body + " " + line * 20), (2, body + " " + line * 17), (3, body + " " + line * 8), (4, line * 20), (5, line * 26)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["group_id"]
+    grams = {i: collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    weighted = {(a, b): sum((grams[a] & grams[b]).values()) / sum((grams[a] | grams[b]).values()) for a, b in itertools.combinations(grams, 2)}
+    assert {p for p, s in weighted.items() if s >= 0.8} == {(1, 2)} and len(grams[1].keys() & grams[3].keys()) / len(grams[1].keys() | grams[3].keys()) > 0.9
+    assert got.to_dict() == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_groups_of_odd_rows(odd):
     got = minhash_dedup.near_duplicates(odd).toPandas()
     assert len(got) == 9 and got[got["doc_id"].isin([4, 5])]["group_id"].eq(4).all()
