@@ -59,6 +59,41 @@ def hexagon(spark: SparkSession, x0: float, y0: float, resolution: float, nrow:
     return d.withColumn("neighbors", _neighbors(offsets, nrow, ncol))
 
 
+def hexagon_flat(spark: SparkSession, x0: float, y0: float, resolution: float, nrow: int, ncol: int) -> DataFrame:
+    """Flat-topped hexagons of the area of a square of ``resolution``; even columns lie half a cell lower, the first corner is to the right."""
+    edge = math.sqrt(2 * resolution * resolution / (3 * math.sqrt(3)))
+    high = edge * math.sqrt(3)
+    even = F.col("col") % 2 == 0
+    x = F.lit(x0) + (F.col("col") - 1) * F.lit(1.5 * edge)
+    y = F.lit(y0) + (F.col("row") - 1) * F.lit(high) - F.when(even, high / 2).otherwise(0.0)
+    corners = [(edge, 0.0), (edge / 2, high / 2), (-edge / 2, high / 2), (-edge, 0.0), (-edge / 2, -high / 2), (edge / 2, -high / 2)]
+    d = _grid(spark, nrow, ncol).withColumn("ring", _ring(*[(x + dx, y + dy) for dx, dy in corners])).withColumn("x", x).withColumn("y", y)
+    column = [(-1, 0), (1, 0)]
+    offsets = F.when(even, _offsets([*column, (-1, -1), (0, -1), (-1, 1), (0, 1)])).otherwise(_offsets([*column, (0, -1), (1, -1), (0, 1), (1, 1)]))
+    return d.withColumn("neighbors", _neighbors(offsets, nrow, ncol))
+
+
+def unprojected(cells: DataFrame) -> DataFrame:
+    """Cells (ring, x, y in spherical Mercator metres) in degrees: ring, lon, lat."""
+    ring = F.transform("ring", lambda p: F.struct(geo.from_mercator(p["lon"], p["lat"])[0].alias("lon"), geo.from_mercator(p["lon"], p["lat"])[1].alias("lat")))
+    lon, lat = geo.from_mercator(F.col("x"), F.col("y"))
+    return cells.withColumn("ring", ring).withColumn("lon", lon).withColumn("lat", lat).drop("x", "y")
+
+
+def cells_by_edge(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge, cell_id): the cells that have a given edge (edge, p, q: (lon, lat) structs), either way round."""
+    n = F.size("ring")
+    corner = lambda p: F.struct(F.round(p["lon"] * 1e6).cast("long").alias("x"), F.round(p["lat"] * 1e6).cast("long").alias("y"))
+    sides = F.transform("ring", lambda p, i: F.array_sort(F.array(corner(p), corner(F.element_at("ring", F.pmod(i + 1, n) + 1)))))
+    own = cells.select("cell_id", F.explode(sides).alias("__side"))
+    return edges.select("edge", F.array_sort(F.array(corner(F.col("p")), corner(F.col("q")))).alias("__side")).join(own, "__side").select("edge", "cell_id")
+
+
+def faces_of(resolution: float) -> int:
+    """Cells along a face of a cubed sphere for cells of about ``resolution`` metres: a quarter of the circumference, whole cells."""
+    return max(1, int(2 * math.pi * geo.RADIUS / 4 / resolution))
+
+
 def triangular(spark: SparkSession, x0: float, y0: float, resolution: float, nrow: int, ncol: int) -> DataFrame:
     """Equilateral triangles of the area of a square of ``resolution``, pointing up and down in turn; no neighbours."""
     edge = math.sqrt(4 * resolution * resolution / math.sqrt(3))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import until_empty, written
+from ..plans.iterate import discard, together, until_empty, written
 
 
 def vertices(lines: DataFrame) -> DataFrame:
@@ -99,32 +99,54 @@ def downstream_lines(lines: DataFrame) -> DataFrame:
     return lines.join(starts, "end", "left")
 
 
-def jump(tree: DataFrame, value: str) -> DataFrame:
-    """(line, root, total): ``value`` summed over the line and everything downstream of it, by pointer doubling.
+def _most_rounds(rows: int) -> int:
+    """Doublings that reach the end of any path among so many rows."""
+    return max(1, rows).bit_length() + 1
 
-    ``tree`` has (line, down, value). Rounds grow with the logarithm of the depth.
-    """
-    state = written(tree.select("line", F.col("down").alias("to"), F.col("line").alias("root"), F.col(value).alias("total")))
 
-    def step(d: DataFrame) -> DataFrame:
-        far = d.select(F.col("line").alias("to"), F.col("to").alias("__to"), F.col("root").alias("__root"), F.col("total").alias("__total"))
-        j = d.join(far, "to", "left")
-        return j.select("line", F.col("__to").alias("to"), F.coalesce("__root", "root").alias("root"), (F.col("total") + F.coalesce("__total", F.lit(0))).alias("total"))
+def jump(tree: DataFrame, value: str, drop_cycles: bool = False) -> DataFrame:
+    """(line, root, total): ``value`` summed over the line and everything downstream of it, by pointer doubling.
 
-    return until_empty(state, step, lambda d: d.where("to IS NOT NULL")).select("line", "root", "total")
+    ``tree`` has (line, down, value). Rounds grow with the logarithm of the depth. A line that has reached its root is
+    looked up by others, but neither moved nor written again. Lines on a cycle, or above one, have no root: an error, or
+    left out with ``drop_cycles``.
+    """
+    now = written(tree.select("line", F.col("down").alias("to"), F.col("line").alias("root"), F.col(value).alias("total")))
+    rounds, most = [now], _most_rounds(now.count())
+    while not now.where("to IS NOT NULL").isEmpty():
+        if len(rounds) > most:
+            if drop_cycles:
+                break
+            raise RuntimeError("lines on a cycle stay open")
+        moving = now.where("to IS NOT NULL")
+        known = together(rounds).where("to IS NULL").unionByName(moving)
+        far = known.select(F.col("line").alias("to"), F.col("to").alias("__to"), F.col("root").alias("__root"), F.col("total").alias("__total"))
+        j = moving.join(far, "to", "left")
+        now = written(j.select("line", F.col("__to").alias("to"), F.coalesce("__root", "root").alias("root"), (F.col("total") + F.coalesce("__total", F.lit(0))).alias("total")))
+        rounds.append(now)
+    return together(rounds).where("to IS NULL").select("line", "root", "total")
 
 
 def subtree_sum(tree: DataFrame, value: str) -> DataFrame:
-    """(line, total): ``value`` summed over the line and everything upstream of it, by doubling the reach each round."""
-    state = written(tree.select("line", F.col("down").alias("to"), F.col(value).alias("total")))
-
-    def step(d: DataFrame) -> DataFrame:
-        arriving = d.where("to IS NOT NULL").groupBy(F.col("to").alias("line")).agg(F.sum("total").alias("__more"))
-        far = d.select(F.col("line").alias("to"), F.col("to").alias("__to"))
-        j = d.join(far, "to", "left").join(arriving, "line", "left")
-        return j.select("line", F.col("__to").alias("to"), (F.col("total") + F.coalesce("__more", F.lit(0))).alias("total"))
+    """(line, total): ``value`` summed over the line and everything upstream of it, by doubling the reach each round.
 
-    return until_empty(state, step, lambda d: d.where("to IS NOT NULL")).select("line", "total")
+    Only lines whose pointer is not past the root are moved; what reaches a line after that is written as a row of its
+    own, and the rows of a line are added up at the end.
+    """
+    now = written(tree.select("line", F.col("down").alias("to"), F.col(value).alias("total"), F.lit(True).alias("own")))
+    rounds, most = [now], _most_rounds(now.count())
+    while not now.where("to IS NOT NULL").isEmpty():
+        if len(rounds) > most:
+            raise RuntimeError("lines on a cycle stay open")
+        moving = now.where("to IS NOT NULL")
+        more = moving.groupBy(F.col("to").alias("line")).agg(F.sum("total").alias("__more"))
+        far = moving.select(F.col("line").alias("to"), F.col("to").alias("__to"))
+        onward = moving.join(far, "to", "left").select("line", F.col("__to").alias("to"), "total", "own")
+        j = onward.join(more, "line", "full")
+        now = written(j.select("line", "to", (F.coalesce("total", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("total"), F.coalesce("own", F.lit(False)).alias("own")))
+        rounds.append(now)
+    summed = together(rounds).where("to IS NULL").groupBy("line").agg(F.sum("total").alias("total"), F.max("own").alias("own"))
+    return summed.where("own").select("line", "total")
 
 
 def shreve(tree: DataFrame) -> DataFrame:
@@ -134,21 +156,48 @@ def shreve(tree: DataFrame) -> DataFrame:
     return subtree_sum(d, "__head").select("line", F.col("total").alias("stream_order"))
 
 
+def _after(plus: Column, steps: Column, x: Column) -> Column:
+    """The order that a function (plus, steps) gives for the order ``x``: steps[x] for the least ones, else x + plus."""
+    return F.when(x <= F.size(steps), F.get(steps, (x - 1).cast("int"))).otherwise(x + plus)
+
+
 def strahler(tree: DataFrame) -> DataFrame:
     """(line, stream_order): headwaters 1; where all upstream orders are equal one more, else their greatest.
 
-    A single upstream line also counts as all equal. Each round settles the lines whose upstream lines are all settled.
+    A single upstream line also counts as all equal. By tree contraction: each round settles the lines whose upstream
+    lines are all settled, and a line with one unsettled upstream line keeps its order as a function of that line's;
+    such functions are composed by pointer doubling. A chain takes rounds by the logarithm of its length. Lines on a
+    cycle are an error.
     """
-    n = tree.where("down IS NOT NULL").groupBy(F.col("down").alias("line")).agg(F.count("*").alias("__n"))
-    d = tree.select("line", "down").join(n, "line", "left")
-    state = written(d.select("line", "down", F.coalesce("__n", F.lit(0)).alias("__n"), F.when(F.col("__n").isNull(), 1).alias("stream_order")))
-
-    def step(s: DataFrame) -> DataFrame:
-        up = s.where("stream_order IS NOT NULL AND down IS NOT NULL").groupBy(F.col("down").alias("line")).agg(F.count("*").alias("__k"), F.min("stream_order").alias("__lo"), F.max("stream_order").alias("__hi"))
-        order = F.when(F.col("__lo") == F.col("__hi"), F.col("__hi") + 1).otherwise(F.col("__hi"))
-        return s.join(up, "line", "left").select("line", "down", "__n", F.coalesce("stream_order", F.when(F.col("__k") == F.col("__n"), order)).alias("stream_order"))
-
-    return until_empty(state, step, lambda s: s.where("stream_order IS NULL"), most=None, falls=True).select("line", "stream_order")
+    nothing = F.array().cast("array<long>")
+    start = tree.select("line", "down", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast(tree.schema["line"].dataType).alias("up"), F.lit(0).cast("long").alias("plus"), nothing.alias("steps"), F.lit(None).cast("long").alias("stream_order"))
+    rounds = [written(start)]
+    while True:
+        now = rounds[-1]
+        left, settled = now.agg(F.count_if(F.col("stream_order").isNull()), F.count("stream_order")).first()
+        if not left:
+            return together(rounds).where("stream_order IS NOT NULL").select("line", "stream_order")
+        if len(rounds) > 1 and not settled:
+            raise RuntimeError("lines on a cycle stay open")
+        is_open = F.col("stream_order").isNull()
+        kids = now.where("down IS NOT NULL").groupBy(F.col("down").alias("line")).agg(F.count_if(is_open).alias("__n"), F.min(F.when(is_open, F.col("line"))).alias("__kid"), F.min("stream_order").alias("__lo"), F.max("stream_order").alias("__hi"))
+        far = now.select(F.col("line").alias("__at"), F.col("up").alias("__up"), F.col("plus").alias("__plus"), F.col("steps").alias("__steps"), F.col("stream_order").alias("__order"))
+        # lines without a pointer look at themselves: no null keys, which would all meet in one task
+        s = now.where(is_open).withColumn("__at", F.coalesce("up", "line")).join(far, "__at", "left").join(kids, "line", "left")
+        s = s.withColumn("lo", F.least("lo", "__lo")).withColumn("hi", F.greatest("hi", "__hi"))
+        lo, hi, up = F.col("lo"), F.col("hi"), F.col("up")
+        full = F.when(lo.isNull(), 1).when(lo == hi, hi + 1).otherwise(hi)
+        order = F.when(F.coalesce("__n", F.lit(0)) == 0, full).when(up.isNotNull() & F.col("__order").isNotNull(), _after(F.col("plus"), F.col("steps"), F.col("__order")))
+        begins, moves = up.isNull() & (F.col("__n") == 1), up.isNotNull() & F.col("__up").isNotNull()
+        first = F.when(lo.isNull(), nothing).otherwise(F.transform(F.sequence(F.lit(1).cast("long"), hi), lambda x: F.when((lo == hi) & (x == hi), hi + 1).otherwise(hi)))
+        n = F.greatest(F.size("__steps"), F.size("steps") - F.col("__plus")).cast("long")
+        through = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1).cast("long"))), lambda x: _after(F.col("plus"), F.col("steps"), _after(F.col("__plus"), F.col("__steps"), x)))).otherwise(nothing)
+        new = s.select(
+            "line", "down", "lo", "hi", F.when(begins, F.col("__kid")).when(moves, F.col("__up")).otherwise(up).alias("up"),
+            F.when(begins, F.when(lo.isNull(), 1).otherwise(0).cast("long")).when(moves, F.col("plus") + F.col("__plus")).otherwise(F.col("plus")).alias("plus"),
+            F.when(begins, first).when(moves, through).otherwise(F.col("steps")).alias("steps"), order.cast("long").alias("stream_order"),
+        )
+        rounds.append(written(new))
 
 
 def segments(tree: DataFrame) -> DataFrame:
@@ -209,33 +258,141 @@ def components(edges: DataFrame) -> DataFrame:
 def trace_downstream(starts: DataFrame, topology: DataFrame, known: DataFrame) -> DataFrame:
     """(id): the ``starts`` and all that lies downstream of them by ``topology`` (from, to), up to the ``known`` ids.
 
-    Known ids end the walk and are not part of the result. One round for each step of the longest walk.
+    Known ids end the walk and are not part of the result; null ids and links to null are no links. Runs of ids with one
+    way on are walked in one round, whatever their length: rounds follow the number of branchings on a walk.
     """
-    new = starts.select("id").distinct().join(known, "id", "left_anti")
-    state = written(new.withColumn("fresh", F.lit(True)))
-
-    def step(d: DataFrame) -> DataFrame:
-        onward = d.where("fresh").join(topology.select(F.col("from").alias("id"), "to"), "id").select(F.col("to").alias("id")).distinct()
-        onward = onward.join(known, "id", "left_anti").join(d, "id", "left_anti")
-        return d.select("id", F.lit(False).alias("fresh")).unionByName(onward.withColumn("fresh", F.lit(True)))
-
-    return until_empty(state, step, lambda d: d.where("fresh"), most=None).select("id")
+    links = topology.select(F.col("from").alias("id"), "to").where("`from` IS NOT NULL AND to IS NOT NULL").distinct().join(known.select("id").distinct(), "id", "left_anti")
+    links = written(links.join(known.select(F.col("id").alias("to")).distinct(), "to", "left_anti").select("id", "to"))
+    ways = links.groupBy("id").agg(F.count("*").alias("n"), F.min("to").alias("to"))
+    single = written(ways.where("n = 1").select(F.col("id").alias("line"), "to"))
+    inside = single.select(F.col("line").alias("to"), F.col("line").alias("down"))
+    runs = written(single.join(inside, "to", "left").select("line", "down", F.lit(1).cast("long").alias("one")))
+    done = written(jump(runs, "one", drop_cycles=True).select("line", "root"))
+    # where each run's walk goes on: the link of its last id; what is on or above a cycle is walked step by step
+    last = done.join(single.withColumnRenamed("line", "root"), "root").select(F.col("line").alias("id"), "to")
+    onward = written(last.unionByName(links.join(done.select(F.col("line").alias("id")), "id", "left_anti")))
+    new = written(starts.select("id").where("id IS NOT NULL").distinct().join(known.select("id"), "id", "left_anti"))
+    rounds = [new]
+    while not new.isEmpty():
+        ahead = new.join(onward, "id").select(F.col("to").alias("id")).distinct()
+        new = written(ahead.join(together(rounds), "id", "left_anti"))
+        rounds.append(new)
+    entered = together(rounds)
+    # all ids of a run below one that is entered
+    hits = runs.join(done.select("line"), "line", "left_semi").join(entered.select(F.col("id").alias("line"), F.lit(1).cast("long").alias("hit")), "line", "left")
+    passed = subtree_sum(hits.select("line", "down", F.coalesce("hit", F.lit(0)).cast("long").alias("hit")), "hit").where("total > 0").select(F.col("line").alias("id"))
+    return passed.unionByName(entered).distinct()
+
+
+def distances(edges: DataFrame, origin) -> DataFrame:
+    """(vertex, dist): the least number of edges between ``origin`` and each vertex of the undirected ``edges`` (id, u, v) that it reaches.
+
+    Runs of vertices with two edges become one edge, by pointer doubling over both directions, and dead ends are taken
+    off, as long as that shortens the network: a tree is gone after rounds by the logarithm of its size. What is left,
+    where every vertex has three edges or more, is relaxed round by round; then the vertices taken off are put back.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["u"].dataType
+    now = written(edges.where("u != v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.lit(1).cast("long").alias("w")))
+    off: list[DataFrame] = []  # (vertex, anchor, d), in the order in which vertices were taken off
+    size = now.count()
+    while size:
+        ends = now.select(F.col("u").alias("vertex")).union(now.select("v")).groupBy("vertex").agg(F.count("*").alias("n")).where(F.col("vertex") != F.lit(origin))
+        through = written(ends.where("n = 2").select("vertex"))
+        short = now
+        if not through.isEmpty():
+            # each edge in both directions: from tail to head, and on from heads with two edges
+            name = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+            halves = written(now.select(F.col("u").alias("tail"), F.col("v").alias("head"), "w").union(now.select("v", "u", "w")).select("tail", "head", "w", name("tail", "head").alias("line")))
+            step = halves.join(through.withColumnRenamed("vertex", "head"), "head").select("tail", "head", "line")
+            leave = halves.select(F.col("tail").alias("head"), F.col("head").alias("__next"))
+            step = step.join(leave, "head").where("tail != __next").select("line", name("head", "__next").alias("down"))
+            ways = halves.join(step, "line", "left").select("line", "down", "w")
+            far = written(jump(ways, "w", drop_cycles=True).select("line", "root", "total"))
+            places = written(far.join(through, F.col("line.a") == F.col("vertex")).select("vertex", F.col("root.b").alias("anchor"), F.col("total").alias("d")))
+            back = far.select(F.struct(F.col("line.b").alias("a"), F.col("line.a").alias("b")).alias("line"), F.col("root.b").alias("u"), F.col("total").alias("__back"))
+            # an edge's two walks meet in it: their lengths hold its own twice
+            whole = far.join(back, "line").join(halves.select("line", "w"), "line").select("u", F.col("root.b").alias("v"), (F.col("total") + F.col("__back") - F.col("w")).alias("w"))
+            short = written(whole.where("u < v").groupBy("u", "v").agg(F.min("w").alias("w")))
+            off.append(places)
+        dead = short.select(F.col("u").alias("vertex"), F.col("v").alias("anchor"), F.col("w").alias("d")).union(short.select("v", "u", "w"))
+        alone = short.select(F.col("u").alias("vertex")).union(short.select("v")).groupBy("vertex").agg(F.count("*").alias("n")).where((F.col("n") == 1) & (F.col("vertex") != F.lit(origin))).select("vertex")
+        leaves = written(dead.join(alone, "vertex"))
+        off.append(leaves)
+        new = written(short.join(leaves.select(F.col("vertex").alias("u")), "u", "left_anti").join(leaves.select(F.col("vertex").alias("v")), "v", "left_anti").select("u", "v", "w"))
+        discard(now)
+        now, before, size = new, size, new.count()
+        if size == before:
+            break
+    both = written(now.union(now.select("v", "u", "w")).toDF("u", "v", "w"))
+    reached = written(spark.createDataFrame([(origin,)], "vertex " + kind.simpleString()).select("vertex", F.lit(0).cast("long").alias("dist")))
+    found = [reached]
+    while not reached.isEmpty():
+        ahead = reached.join(both.withColumnRenamed("u", "vertex"), "vertex").groupBy(F.col("v").alias("vertex")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        best = together(found).groupBy("vertex").agg(F.min("dist").alias("__best"))
+        reached = written(ahead.join(best, "vertex", "left").where("__best IS NULL OR dist < __best").select("vertex", "dist"))
+        found.append(reached)
+    for placed in reversed(off):
+        known = together(found).groupBy(F.col("vertex").alias("anchor")).agg(F.min("dist").alias("dist"))
+        found.append(written(placed.join(known, "anchor").select("vertex", (F.col("dist") + F.col("d")).alias("dist"))))
+    return together(found).groupBy("vertex").agg(F.min("dist").alias("dist"))
 
 
 def orient(lines: DataFrame, outlet) -> DataFrame:
     """(line, start, end, level, turned): lines walked outward from ``outlet`` over either end; unreached lines are dropped.
 
-    A line reached at its start is turned round. Each round adds the lines that touch the vertices of the round before.
+    The level is the number of lines from the outlet. A line whose start is nearer to the outlet than its end is turned
+    round; one whose ends are equally far stays. Null ends are never reached.
     """
-    rest, frontier, found, level = lines.select("line", "start", "end"), None, None, 0
-    front = lines.sparkSession.createDataFrame([(outlet,)], "vertex " + lines.schema["end"].dataType.simpleString())
-    while True:
-        level += 1
-        by_end = rest.join(front.select(F.col("vertex").alias("end")), "end").select("line", "start", "end", F.lit(level).alias("level"), F.lit(0).alias("turned"))
-        by_start = rest.join(front.select(F.col("vertex").alias("start")), "start").select("line", F.col("end").alias("start"), F.col("start").alias("end"), F.lit(level).alias("level"), F.lit(1).alias("turned"))
-        new = written(by_end.unionByName(by_start.join(by_end.select("line"), "line", "left_anti")))
-        if new.isEmpty():
-            return found if found is not None else new
-        found = new if found is None else found.unionByName(new)
-        rest = written(rest.join(new.select("line"), "line", "left_anti"))
-        front = new.select(F.col("start").alias("vertex")).distinct()
+    dist = written(distances(lines.select(F.col("start").alias("u"), F.col("end").alias("v")), outlet))
+    at = lambda end: dist.select(F.col("vertex").alias(end), F.col("dist").alias("__" + end))
+    d = lines.select("line", "start", "end").join(at("start"), "start").join(at("end"), "end")
+    turn = F.col("__start") < F.col("__end")
+    ends = [F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("start", "end"), ("end", "start"))]
+    return d.select("line", *ends, (F.least("__start", "__end") + 1).cast("int").alias("level"), turn.cast("int").alias("turned"))
+
+
+def carried_mark(rows: DataFrame, keys: list[str], order: list[Column], sets: Column, turns: Column) -> DataFrame:
+    """Add ``mark``, 0 or 1: the state of a mark before each row, walked in ``order`` within ``keys``.
+
+    A row whose ``sets`` is 0 or 1 sets the mark, one whose ``turns`` holds turns it, others leave it; it begins with 0.
+    A running count of turns and the last row that sets tell the state, so that no walk is gathered.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("__turn", F.coalesce(turns, F.lit(False)).cast("int"))
+    d = d.withColumn("__turns", F.coalesce(F.sum("__turn").over(before), F.lit(0)))
+    d = d.withColumn("__set", F.when(sets.isNotNull(), F.struct(sets.alias("v"), F.col("__turns").alias("n"))))
+    found = F.last("__set", ignorenulls=True).over(before)
+    mark = (F.coalesce(found["v"], F.lit(0)) + F.col("__turns") - F.coalesce(found["n"], F.lit(0))) % 2
+    return d.withColumn("mark", mark.cast("int")).drop("__turn", "__turns", "__set")
+
+
+def line_prints(points: DataFrame, line: str, order: list[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(line, points, print): lines of equal vertices in equal order have equal prints; no line is gathered.
+
+    The print is a pair of sums of hashes of place and vertex: different lines are told apart but for a chance of about 2 ** -100.
+    """
+    w = Window.partitionBy(line).orderBy(*order)
+    d = points.select(line, F.row_number().over(w).alias("__pos"), F.round(F.col(lon) * 1e9).cast("long").alias("__x"), F.round(F.col(lat) * 1e9).cast("long").alias("__y"))
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "__pos", "__x", "__y").cast("decimal(38,0)"))
+    return d.groupBy(line).agg(F.count("*").alias("points"), F.struct(total(1).alias("a"), total(2).alias("b")).alias("print"))
+
+
+def segment_members(edges: DataFrame, segments: DataFrame) -> DataFrame:
+    """(line, segment, stream_order, rank): the edges (line, start, end) of each of the ``segments`` they were merged to.
+
+    ``segments`` has (line, first, segment, stream_order), named by the lowest edge. rank grows downstream.
+    """
+    links = downstream_lines(edges.select("line", "start", "end")).join(segments.select("line", F.lit(True).alias("__last")), "line", "left")
+    links = links.select("line", F.when(F.col("__last").isNull(), F.col("down")).alias("down"), F.lit(1).cast("long").alias("one"))
+    placed = jump(links, "one")
+    return placed.join(segments.select(F.col("line").alias("root"), "segment", "stream_order"), "root").select("line", "segment", "stream_order", (-F.col("total")).alias("rank"))
+
+
+def segment_topology(tree: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(segment, downstream, upstream) by segment number, from ``tree`` (line, down) and ``segments``: null below the outlet, a list above."""
+    d = tree.select("line", "down").join(numbered.select("line", "segment"), "line")
+    below = d.select(F.col("line").alias("down"), F.col("segment").alias("downstream"))
+    d = d.join(below, "down", "left")
+    above = d.where("downstream IS NOT NULL").groupBy(F.col("downstream").alias("segment")).agg(F.array_sort(F.collect_list("segment")).alias("upstream"))
+    return d.join(above, "segment", "left").select("segment", "downstream", F.coalesce("upstream", F.array().cast("array<long>")).alias("upstream"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -113,3 +113,219 @@ def burn(cells: DataFrame, edges: DataFrame) -> DataFrame:
     last = e.groupBy("cell_id").agg(F.max_by(F.struct("segment", "stream_order", "__down"), "pos").alias("v"))
     value = lambda c: F.coalesce(F.col("v")[c], F.lit(-1)).cast("long")
     return cells.select("cell_id").join(last, "cell_id", "left").select("cell_id", value("segment").alias("segment"), value("stream_order").alias("stream_order"), value("__down").alias("downstream"))
+
+
+def ring_box(ring: Column) -> tuple[Column, Column, Column, Column]:
+    """(x1, y1, x2, y2) of an array of (lon, lat) structs."""
+    x, y = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
+    return F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)
+
+
+def ring_sides(ring: Column, lon: Column, lat: Column) -> Column:
+    """For each side of a convex ring (either way round) how far inside of it the point lies: below 0 is outside, 0 on the side."""
+    n = F.size(ring)
+    nxt = lambda i: F.element_at(ring, F.pmod(i + 1, n) + 1)
+    turn = F.aggregate(F.transform(ring, lambda p, i: p["lon"] * nxt(i)["lat"] - nxt(i)["lon"] * p["lat"]), F.lit(0.0), lambda a, x: a + x)
+    way = F.when(turn < 0, -1.0).otherwise(1.0)
+    return F.transform(ring, lambda p, i: way * ((nxt(i)["lon"] - p["lon"]) * (lat - p["lat"]) - (nxt(i)["lat"] - p["lat"]) * (lon - p["lon"])))
+
+
+def clip_to_ring(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ring: Column) -> Column:
+    """(t0, t1, enters, leaves): the part of an edge inside a convex ring as shares of the edge, t0 > t1 if there is none.
+
+    enters and leaves are the sides of the ring (from 0) through which the edge comes and goes, -1 where it ends inside.
+    A touch is a part without length.
+    """
+    sides = F.arrays_zip(ring_sides(ring, lon1, lat1).alias("a"), ring_sides(ring, lon2, lat2).alias("b"))
+
+    def side(s: Column, x: Column) -> Column:
+        i, a, b = s["i"], x["a"], x["b"]
+        at = a / (a - b)
+        enters, leaves = (a < 0) & (b >= 0), (a >= 0) & (b < 0)
+        later, sooner = enters & (at > s["t0"]), leaves & (at < s["t1"])
+        out = (a < 0) & (b < 0)
+        return F.struct(
+            (i + 1).alias("i"),
+            F.when(out, 2.0).when(enters, F.greatest(s["t0"], at)).otherwise(s["t0"]).alias("t0"),
+            F.when(leaves, F.least(s["t1"], at)).otherwise(s["t1"]).alias("t1"),
+            F.when(later, i).otherwise(s["enters"]).alias("enters"),
+            F.when(sooner, i).otherwise(s["leaves"]).alias("leaves"),
+        )
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), F.lit(-1).alias("enters"), F.lit(-1).alias("leaves"))
+    return F.aggregate(sides, start, side, lambda s: F.struct(s["t0"].alias("t0"), s["t1"].alias("t1"), s["enters"].alias("enters"), s["leaves"].alias("leaves")))
+
+
+def edges_in_rings(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """(edge columns, cell_id, t0, t1, enters, leaves): the part of each edge in each convex cell (cell_id, ring), as ``clip_to_ring``.
+
+    Borders belong to both cells, so an edge along one has a part in each; a touch has t0 = t1. Edges and cells are dealt
+    to tiles of ``size``; a pair is tested in the tile of the lower left corner of their boxes' overlap only.
+    """
+    low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
+    box = low("lon1", "lon2"), low("lat1", "lat2"), high("lon1", "lon2"), high("lat1", "lat2")
+    e = edges.withColumn("__t", F.explode(tiles(*box, size)))
+    c = cells.select("cell_id", "ring", *[b.alias(n) for b, n in zip(ring_box(F.col("ring")), ("__x1", "__y1", "__x2", "__y2"), strict=True)])
+    c = c.withColumn("__t", F.explode(tiles(F.col("__x1"), F.col("__y1"), F.col("__x2"), F.col("__y2"), size)))
+    j = e.join(c, "__t").where((box[0] <= F.col("__x2")) & (box[2] >= F.col("__x1")) & (box[1] <= F.col("__y2")) & (box[3] >= F.col("__y1")))
+    j = j.where((F.col("__t.tx") == F.floor(F.greatest(F.col("__x1"), box[0]) / size)) & (F.col("__t.ty") == F.floor(F.greatest(F.col("__y1"), box[1]) / size)))
+    j = j.withColumn("__c", clip_to_ring(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), F.col("ring")))
+    return j.select("*", "__c.*").where("t0 <= t1").drop("__c", "__t", "__x1", "__y1", "__x2", "__y2", "ring")
+
+
+def part_ends() -> tuple[Column, Column, Column, Column]:
+    """The ends (lon, lat, lon, lat) of the part t0 to t1 of an edge."""
+    at = lambda t, a, b: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
+    return at("t0", "lon1", "lon2"), at("t0", "lat1", "lat2"), at("t1", "lon1", "lon2"), at("t1", "lat1", "lat2")
+
+
+def reaches(parts: DataFrame) -> DataFrame:
+    """(line, cell_id, reach, first, last, t0, t1, enters, leaves, length): parts that follow each other in a cell as one.
+
+    ``parts`` are those of ``edges_in_rings`` with (line, seq), the edges of a line numbered without gaps. Touches belong
+    to no reach. reach counts from 1 within line and cell; first and last are the edges at its ends.
+    """
+    w = Window.partitionBy("line", "cell_id").orderBy("seq")
+    d = parts.where("t0 < t1").withColumn("length", geo.haversine(*part_ends()))
+    goes_on = (F.lag("seq").over(w) == F.col("seq") - 1) & (F.lag("t1").over(w) == 1.0) & (F.col("t0") == 0.0)
+    d = d.withColumn("reach", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.min(F.struct("seq", "t0", "enters")), F.max(F.struct("seq", "t1", "leaves"))
+    g = d.groupBy("line", "cell_id", "reach").agg(first.alias("a"), last.alias("b"), F.sum("length").alias("length"))
+    return g.select("line", "cell_id", "reach", F.col("a.seq").alias("first"), F.col("b.seq").alias("last"), "a.t0", "b.t1", "a.enters", "b.leaves", "length")
+
+
+def intersected_cells(parts: DataFrame) -> DataFrame:
+    """(cell_id, reaches, length): cells that a line runs through or touches, with the number and the greatest length of their reaches; 0 for a touch."""
+    g = reaches(parts).groupBy("cell_id").agg(F.count("*").alias("reaches"), F.max("length").alias("length"))
+    return parts.select("cell_id").distinct().join(g, "cell_id", "left").select("cell_id", F.coalesce("reaches", F.lit(0)).alias("reaches"), F.coalesce("length", F.lit(0.0)).alias("length"))
+
+
+def outlet_cell(parts: DataFrame, segments: DataFrame) -> DataFrame:
+    """(line, cell_id): the cell in which the line of the greatest segment (line, segment) ends, as far as it lies in cells."""
+    top = segments.agg(F.max_by("line", F.struct("segment", "line")).alias("line"))
+    return parts.where("t0 < t1").join(top, "line").groupBy("line").agg(F.max_by("cell_id", F.struct("seq", "t1", "cell_id")).alias("cell_id"))
+
+
+def meetings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(lon, lat, line): the distinct points in which lines of ``a`` and ``b`` meet, each with the least line of ``b`` there.
+
+    Crossings, shared ends, ends on the other line, and the first point (along ``a``) of edges that run together. Points
+    are the same up to 1e-9 degrees.
+    """
+
+    def dealt(d: DataFrame, p: str) -> DataFrame:
+        box = [F.least("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lon1", "lon2"), F.greatest("lat1", "lat2")]
+        named = [F.col(c).alias(p + c) for c in ("line", "lon1", "lat1", "lon2", "lat2")]
+        return d.select(*named, box[0].alias(p + "x"), box[1].alias(p + "y"), box[2].alias(p + "x2"), box[3].alias(p + "y2"), F.explode(tiles(*box, size)).alias("t"))
+
+    own = (F.col("t.tx") == F.floor(F.greatest("a_x", "b_x") / size)) & (F.col("t.ty") == F.floor(F.greatest("a_y", "b_y") / size))
+    j = dealt(a, "a_").join(dealt(b, "b_"), "t").where("a_x <= b_x2 AND b_x <= a_x2 AND a_y <= b_y2 AND b_y <= a_y2").where(own)
+    rx, ry = F.col("a_lon2") - F.col("a_lon1"), F.col("a_lat2") - F.col("a_lat1")
+    sx, sy = F.col("b_lon2") - F.col("b_lon1"), F.col("b_lat2") - F.col("b_lat1")
+    qx, qy = F.col("b_lon1") - F.col("a_lon1"), F.col("b_lat1") - F.col("a_lat1")
+    cross, slack = rx * sy - ry * sx, 1e-12
+    u, v = (qx * sy - qy * sx) / cross, (qx * ry - qy * rx) / cross
+    meet = u.between(-slack, 1 + slack) & v.between(-slack, 1 + slack)
+    # along a: where b begins and ends, if the two lie on one straight line
+    f = (qx * rx + qy * ry) / (rx * rx + ry * ry)
+    g = f + (sx * rx + sy * ry) / (rx * rx + ry * ry)
+    from_, to = F.greatest(F.least(f, g), F.lit(0.0)), F.least(F.greatest(f, g), F.lit(1.0))
+    level = F.abs(cross) <= 1e-12 * F.sqrt((rx * rx + ry * ry) * (sx * sx + sy * sy))
+    same = F.abs(qx * ry - qy * rx) <= 1e-12 * F.sqrt(rx * rx + ry * ry)
+    at = F.when(level, F.when(same & (from_ <= to + slack), from_)).otherwise(F.when(meet, u))
+    d = j.withColumn("u", at).where("u IS NOT NULL").select((F.col("a_lon1") + F.col("u") * rx).alias("lon"), (F.col("a_lat1") + F.col("u") * ry).alias("lat"), F.col("b_line").alias("line"))
+    return d.groupBy(geo.vertex_key(F.col("lon"), F.col("lat")).alias("key")).agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), F.min("line").alias("line")).drop("key")
+
+
+def inside_rings(points: DataFrame, sides: DataFrame, size: float) -> DataFrame:
+    """(id, polygon): the points (id, lon, lat) that lie inside polygons given by their sides (polygon, lon1, lat1, lon2, lat2).
+
+    Even-odd rule over the sides to the east, in bands of latitude; lower and left borders are inside. Holes are sides
+    of the same polygon. Any polygon may have any number of sides: they are never gathered.
+    """
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    s = sides.where("lat1 != lat2").withColumn("__band", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    p = points.select("id", "lon", "lat", F.floor(F.col("lat") / size).alias("__band"))
+    spans = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
+    east = F.col("lon") < F.col("lon1") + (F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1"))
+    crossed = p.join(s, "__band").where(spans & east).groupBy("id", "polygon").agg((F.count("*") % 2).alias("odd"))
+    return crossed.where("odd = 1").select("id", "polygon")
+
+
+def ring_edges(rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
+    """(key, pos, lon1, lat1, lon2, lat2): the sides of open rings."""
+    n = F.size(ring)
+    side = F.transform(ring, lambda p, i: F.struct(p["lon"].alias("lon1"), p["lat"].alias("lat1"), F.element_at(ring, F.pmod(i + 1, n) + 1)["lon"].alias("lon2"), F.element_at(ring, F.pmod(i + 1, n) + 1)["lat"].alias("lat2")))
+    return rings.select(key, F.posexplode(side).alias("pos", "s")).select(key, "pos", "s.*")
+
+
+def cells_in_boundary(cells: DataFrame, boundary: DataFrame, size: float) -> DataFrame:
+    """(cell_id, polygon): convex cells (cell_id, ring) that lie in or meet polygons given by their sides.
+
+    A side meets the cell, or no side does and the cell's first corner is inside the polygon.
+    """
+    met = edges_in_rings(boundary, cells, size).select("cell_id", "polygon").distinct()
+    corner = F.col("ring")[0]
+    within_ = inside_rings(cells.select(F.col("cell_id").alias("id"), corner["lon"].alias("lon"), corner["lat"].alias("lat")), boundary, size)
+    return met.unionByName(within_.withColumnRenamed("id", "cell_id")).distinct()
+
+
+def boundary_cells(cells: DataFrame, boundary: DataFrame, size: float) -> DataFrame:
+    """(cell_id, polygon): convex cells that overlap polygons given by their sides: neither lies wholly in the other.
+
+    A side runs through the inside of the cell, and not all sides of the polygon lie in it.
+    """
+    parts = edges_in_rings(boundary, cells, size).where("t0 < t1")
+    x1, y1, x2, y2 = part_ends()
+    d = parts.withColumn("__x", (x1 + x2) / 2).withColumn("__y", (y1 + y2) / 2).join(cells.select("cell_id", "ring"), "cell_id")
+    d = d.withColumn("__in", F.array_min(ring_sides(F.col("ring"), F.col("__x"), F.col("__y"))) > 1e-15)
+    per = d.groupBy("cell_id", "polygon").agg(F.max("__in").alias("through"), F.count_if((F.col("t0") == 0.0) & (F.col("t1") == 1.0)).alias("whole"))
+    sides = boundary.groupBy("polygon").agg(F.count("*").alias("sides"))
+    return per.where("through").join(sides, "polygon").where("whole < sides").select("cell_id", "polygon")
+
+
+def restrict(cells: DataFrame, kept: DataFrame) -> DataFrame:
+    """The cells (cell_id, neighbors, ...) that are ``kept`` (cell_id), their neighbours likewise, and ocean: corners without a neighbour.
+
+    ocean counts the corners less the neighbours and may be below 0 where cells have neighbours across corners.
+    """
+    k = kept.select("cell_id").distinct()
+    d = cells.join(k, "cell_id", "left_semi")
+    near = d.select("cell_id", F.explode("neighbors").alias("n")).join(k.withColumnRenamed("cell_id", "n"), "n", "left_semi")
+    lists = near.groupBy("cell_id").agg(F.array_sort(F.collect_list("n")).alias("__n"))
+    d = d.join(lists, "cell_id", "left").withColumn("neighbors", F.coalesce("__n", F.array().cast("array<long>"))).drop("__n")
+    return d.withColumn("ocean", (F.size("ring") - F.size("neighbors")).cast("long"))
+
+
+def cut_places(a: DataFrame, b: DataFrame, size: float, same=None) -> DataFrame:
+    """(line, pos, u): where edges of ``a`` are met by those of ``b``, as shares of a's edge; where they run together, the ends of b's.
+
+    ``same`` makes a condition of the two lines' names, where not all pairs of lines are meant.
+    """
+
+    def dealt(d: DataFrame, p: str) -> DataFrame:
+        box = [F.least("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lon1", "lon2"), F.greatest("lat1", "lat2")]
+        named = [F.col(c).alias(p + c) for c in ("line", "pos", "lon1", "lat1", "lon2", "lat2")]
+        return d.select(*named, box[0].alias(p + "x"), box[1].alias(p + "y"), box[2].alias(p + "x2"), box[3].alias(p + "y2"), F.explode(tiles(*box, size)).alias("t"))
+
+    own = (F.col("t.tx") == F.floor(F.greatest("a_x", "b_x") / size)) & (F.col("t.ty") == F.floor(F.greatest("a_y", "b_y") / size))
+    j = dealt(a, "a_").join(dealt(b, "b_"), "t").where("a_x <= b_x2 AND b_x <= a_x2 AND a_y <= b_y2 AND b_y <= a_y2").where(own)
+    j = j.where(same(F.col("a_line"), F.col("b_line"))) if same else j
+    rx, ry = F.col("a_lon2") - F.col("a_lon1"), F.col("a_lat2") - F.col("a_lat1")
+    sx, sy = F.col("b_lon2") - F.col("b_lon1"), F.col("b_lat2") - F.col("b_lat1")
+    qx, qy = F.col("b_lon1") - F.col("a_lon1"), F.col("b_lat1") - F.col("a_lat1")
+    cross, square = rx * sy - ry * sx, rx * rx + ry * ry
+    u, v = (qx * sy - qy * sx) / cross, (qx * ry - qy * rx) / cross
+    level = F.abs(cross) <= 1e-12 * F.sqrt(square * (sx * sx + sy * sy))
+    f = (qx * rx + qy * ry) / square
+    along = F.array(f, f + (sx * rx + sy * ry) / square)
+    found = F.when(level, F.when(F.abs(qx * ry - qy * rx) <= 1e-12 * F.sqrt(square), along)).when(v.between(-1e-12, 1 + 1e-12), F.array(u))
+    return j.select(F.col("a_line").alias("line"), F.col("a_pos").alias("pos"), F.explode(found).alias("u")).where("u > 0 AND u < 1").distinct()
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+    """(key): the points (key, group, own, lon, lat) that lie strictly inside a convex ring (group, part, ring) of their group other than their own part."""
+    p = points.withColumn("__t", F.struct(F.floor(F.col("lon") / size).alias("tx"), F.floor(F.col("lat") / size).alias("ty")))
+    r = rings.select("group", "part", "ring", F.explode(tiles(*ring_box(F.col("ring")), size)).alias("__t"))
+    j = p.join(r, ["group", "__t"]).where("part != own")
+    return j.where(F.array_min(ring_sides(F.col("ring"), F.col("lon"), F.col("lat"))) > 1e-13).select("key").distinct()

@@ -6,7 +6,7 @@ written has one Feature a line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FEATURE = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
@@ -75,12 +75,55 @@ def write_rings(cells: DataFrame, path: str, properties: list[str]) -> None:
     cells.select(feature_json("Polygon", F.array(_pairs(closed)), properties).alias("value")).write.text(path)
 
 
-def kml_placemark(name: Column, ring: Column) -> Column:
-    """A KML Placemark of a polygon as text; names with markup are escaped."""
+def kml_placemark(name: Column, points: Column, kind: str = "Polygon") -> Column:
+    """A KML Placemark of a Polygon, LineString or Point (the first place) as text; names with markup are escaped."""
     safe = F.replace(F.replace(F.replace(name.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    at = F.array_join(F.transform(closed, lambda p: F.concat_ws(",", p["lon"].cast("string"), p["lat"].cast("string"))), " ")
-    return F.concat(F.lit("<Placemark><name>"), safe, F.lit("</name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), at, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+    shown = F.concat(points, F.slice(points, 1, 1)) if kind == "Polygon" else F.slice(points, 1, 1) if kind == "Point" else points
+    at = F.array_join(F.transform(shown, lambda p: F.concat_ws(",", p["lon"].cast("string"), p["lat"].cast("string"))), " ")
+    before, after = ("<outerBoundaryIs><LinearRing>", "</LinearRing></outerBoundaryIs>") if kind == "Polygon" else ("", "")
+    return F.concat(F.lit("<Placemark><name>"), safe, F.lit(f"</name><{kind}>{before}<coordinates>"), at, F.lit(f"</coordinates>{after}</{kind}></Placemark>"))
+
+
+def wkt(kind: str, points: Column) -> Column:
+    """POINT or LINESTRING as text."""
+    at = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", ")
+    return F.concat(F.lit(kind + " ("), at, F.lit(")"))
+
+
+def from_wkt(text: Column) -> Column:
+    """The points of a POINT or LINESTRING as (lon, lat) structs; null for other text."""
+    inner = F.regexp_extract(text, r"^\s*(?:POINT|LINESTRING)\s*\(([^()]*)\)\s*$", 1)
+    pairs = F.transform(F.split(inner, r"\s*,\s*"), lambda t: F.split(F.trim(t), r"\s+"))
+    return F.when(F.length(inner) > 0, F.transform(pairs, lambda p: F.struct(p[0].cast("double").alias("lon"), p[1].cast("double").alias("lat"))))
+
+
+def skipping(columns: list[str], skip: list[str]) -> Column:
+    """A struct of the columns but for those to skip, in their order: what an object's JSON shows."""
+    return F.struct(*[c for c in columns if c not in skip])
+
+
+def read_mesh(spark: SparkSession, path: str, collection: bool = True) -> DataFrame:
+    """(cell_id, lon, lat, area, elevation, profile, ring) of a mesh file; Polygons only, fields that are missing are null."""
+    d = read_features(spark, path, collection).where("type = 'Polygon'")
+    ring = _points(F.from_json("coordinates", "array<array<array<double>>>")[0])
+    p = F.col("properties")
+    d = d.select(p["cellid"].cast("long").alias("cell_id"), p["longitude"].cast("double").alias("lon"), p["latitude"].cast("double").alias("lat"), p["area"].cast("double").alias("area"), p["elevation_mean"].cast("double").alias("elevation"), p["elevation_profile0"].cast("double").alias("profile"), ring.alias("ring"))
+    closed = (F.size("ring") > 1) & (F.col("ring")[0] == F.element_at("ring", -1))
+    return d.withColumn("ring", F.when(closed, F.slice("ring", F.lit(1), F.size("ring") - 1)).otherwise(F.col("ring")))
+
+
+def mesher_tables(parts: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from (part, points): nodes (part, node, lon, lat) numbered from 0 by part and place, edges (part, a, b) between them.
+
+    Numbers are running sums over the parts' sizes (one number a part) and the place within the part.
+    """
+    sized = parts.select("part", F.size("points").cast("long").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = sized.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    d = parts.join(starts, "part").select("part", "n", "start", F.posexplode("points").alias("pos", "p"))
+    nodes = d.select("part", (F.col("start") + F.col("pos")).alias("node"), "p.lon", "p.lat")
+    onward = d if closed else d.where("pos < n - 1")
+    return nodes, onward.select("part", (F.col("start") + F.col("pos")).alias("a"), (F.col("start") + (F.col("pos") + 1) % F.col("n")).alias("b"))
 
 
 def read_dams(spark: SparkSession, path: str) -> DataFrame:
