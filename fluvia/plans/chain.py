@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import case, hydro, network, reconstruct
 from ..sources import config, shapefile
 from . import base
@@ -41,6 +42,17 @@ QUERIES["net_simplified"] = lambda s, d: _simplified(s, d).groupBy(F.round("leng
 ORACLES["net_simplified"] = f"WITH RECURSIVE {SEGMENTS} SELECT length, count(*) AS n FROM seg GROUP BY length"
 
 
+def _shaped(spark, sf_dir):
+    """The vertices and the length of each simplified segment, from its shape."""
+    shape = reconstruct.simplified(river_points(spark, sf_dir), *MOUTH)[1]
+    e = network.split_to_edges(shape, "line", ["pos"])
+    return e.groupBy("line").agg(F.count("*").alias("edges"), F.round(F.sum(geo.haversine(*[C(c) for c in XY])), 0).alias("length")).groupBy("edges", "length").agg(F.count("*").alias("n"))
+
+
+QUERIES["net_simplified_shape"] = _shaped
+ORACLES["net_simplified_shape"] = f"WITH RECURSIVE {SEGMENTS} SELECT parts AS edges, length, count(*) AS n FROM seg GROUP BY ALL"
+
+
 def _directed(spark, sf_dir):
     """The deep river, every seventh line turned back."""
     t = base.river(spark, sf_dir)
