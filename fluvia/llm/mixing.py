@@ -69,7 +69,8 @@ def mix_key(doc_id: Column, text: Column) -> Column:
 def repeat_mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix takes them, all columns as they are.
 
-    The document at a source's cut counts as taken if at least half of its words are inside the budget. Only keys, sizes
+    The document at a source's cut counts as taken if at least half of its words are inside the budget. Rows that are equal
+    in id and text tie: all are taken as often as the first of them, so that a source of such rows may pass its budget. Only keys, sizes
     and sources are shuffled; the texts stay where they are read, joined to the small table of cuts: within a source
     the mix takes the keys up to one cut once more than the others.
     """

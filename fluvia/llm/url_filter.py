@@ -78,7 +78,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], patterns: Sequence[Rule
 
     The rule of the highest rank that fits decides (ties: first by name); without one any fitting pattern's action
     decides, block before allow, else ``default``. A null url, or one without ``://``, has empty host and path. The
-    rules are a literal of the plan and rows are judged one by one: no shuffle, hot hosts don't matter.
+    rules are a literal of the plan and rows are judged one by one: no shuffle, hot hosts don't matter. Repeated rows are
+    judged alike; an empty table gives an empty one.
     """
     both = [*rules, *patterns]
     host, path = split_url(F.col(url))
@@ -102,6 +103,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], patterns: Sequence[Rule
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, and by the patterns where no rule fits."""
     rules = [host_path_rule(*r) for r in RULES]
     patterns = [Rule(action, regex, (literal,), regex) for action, regex, literal in PATTERNS]
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, patterns).select("page_id", "host", "path", "rule", "verdict")

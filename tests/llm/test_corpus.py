@@ -5,11 +5,13 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fluvia import llm
 from fluvia.llm import _text, decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash_dedup, mixing, sharding, toxicity, url_filter
@@ -161,7 +163,25 @@ def test_fetched_rules_equal_a_run_of_every_regex(spark):
     assert verdicts["http://casino-win.example.org"] == "block"
 
 
+def test_urls_of_odd_rows(spark):
+    rules = [url_filter.host_path_rule(*r) for r in url_filter.RULES]
+    d = spark.createDataFrame([(1, "http://a.net/fr/" + "x" * 200_000, "v"), (1, "http://a.net/fr/", "v"), (1, "http://a.net/fr/", "v"), (None, "", None), (2, None, "v")], "page_id long, url string, verdict string")
+    got = url_filter.filter_urls(d, rules).collect()
+    assert sorted((r["page_id"] or 0, r["rule"], r["verdict"]) for r in got if r["rule"]) == [(1, "net/fr/", "block")] * 3 and sum(r["rule"] is None and r["verdict"] == "allow" and r["host"] == "" for r in got) == 2
+    assert url_filter.filter_urls(d.limit(0), rules).count() == 0
+
+
 # decontamination
+def test_leaks_of_odd_rows(spark, odd):
+    item = "one two three four five six seven"
+    bench = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (None, "no id here at all today", "y"), (3, None, "z")], "item_id long, text string, lang string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(odd, bench).collect()}
+    assert got == {(4, 1), (5, 1), (None, None)} and decontamination.leaks(odd, bench).count() == 3
+    left = decontamination.drop_leaks(odd, bench)
+    assert left.columns == odd.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 6, 7]
+    assert decontamination.leaks(odd, bench.limit(0)).count() == 0 and decontamination.drop_leaks(odd, bench.limit(0)).count() == 9
+
+
 def test_leaks_are_found_also_with_other_numbers(spark):
     item = "In March the farmer sold 12 eggs for 3 dollars and then 12 more eggs to the same buyer in the town"
     changed = item.replace("12", "40").replace("3", "9")
@@ -592,16 +612,73 @@ def test_large_group_of_variants_equals_brute_force(spark):
 
 
 # pipeline
-def test_pipeline_equals_its_stages(spark, local):
+def _mixed(rows):
+    """doc_id -> how often the mix takes it, one document at a time; rows of (doc_id, text, source)."""
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    by_source = collections.defaultdict(list)
+    for i, text, source in rows:
+        by_source[source].append((int(md5(f"mix|{i}|{md5(text)}")[:15], 16), i, len([w for w in re.split(r"[\x20\x09-\x0D]+", text) if w])))
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = {s: sum(x[2] for x in by_source[s]) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    full: set = set()
+    while True:
+        rest = sum(size.values()) - sum(3 * size[s] for s in full)
+        target = {s: 3 * size[s] if s in full else weight[s] * rest / sum(w for x, w in weight.items() if x not in full) for s in names}
+        above = {s for s in names if target[s] > 3 * size[s]}
+        if not above:
+            break
+        full |= above
+    times = {}
+    for s in names:
+        budget, before = math.floor(target[s]), 0
+        epochs = budget // size[s] if size[s] else 0
+        for _, i, n in sorted(by_source[s]):
+            taken = epochs * n + max(0, min(n, budget - epochs * size[s] - before))
+            before += n
+            times[i] = (2 * taken + n) // (2 * n) if n else 0
+    return times
+
+
+def test_pipeline_equals_a_plain_version(spark, local):
+    import hashlib
+
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF).toPandas()
-    groups = minhash_dedup.op10_minhash_dedup(spark, SF).toPandas().set_index("doc_id")["group_id"]
-    leaky = set(decontamination.op4_decontamination(spark, SF).toPandas()["doc_id"])
-    bad = set(language_id.op8_language_id(spark, SF).where("lang_pred = 'und' OR score < 0.5").toPandas()["doc_id"])
-    kept = {i for i in local["doc_id"] if i not in bad and groups[i] == i and i not in leaky}
-    assert set(out["doc_id"]) <= kept and len(set(out["doc_id"])) > 0.6 * len(kept) and out.groupby("doc_id").size().max() <= 3
-    want = sharding.assign_shards(spark.createDataFrame(pd.DataFrame({"doc_id": sorted(set(out["doc_id"]))})), sharding.even_topology(40)).toPandas().set_index("doc_id")["shard"]
-    assert (out["shard"] == out["doc_id"].map(want)).all()
-    words = out["text"].str.count(r"[^\x20\x09-\x0D]+").groupby(out["source"]).sum()
-    assert words.sum() > 0
+    judged = language_id.op8_language_id(spark, SF).toPandas().set_index("doc_id")
+    texts = {r.doc_id: r.text for r in local.itertuples() if judged.loc[r.doc_id, "lang_pred"] != "und" and judged.loc[r.doc_id, "score"] >= 0.5}
+    groups = _groups(texts)
+    flat = lambda t: " ".join(x.lower() for x in decontamination.TOKEN.findall(t) if x[0] not in ".!?\n")
+    items = [flat(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in texts.items() if groups[i] == i and not any(x in flat(t) for x in items)}
+    source = local.set_index("doc_id")["source"]
+    want = {i: n for i, n in _mixed([(i, t, source[i]) for i, t in kept.items()]).items() if n}
+    assert out.groupby("doc_id").size().to_dict() == want and 0 < len(want) < len(local)
+    draw = lambda level, node, weight, key: (-math.log((int(hashlib.md5(f"{level}|{node}|{key}".encode()).hexdigest()[:15], 16) + 1.0) / float(1 << 60)) / weight, node)
+    for r in out.drop_duplicates("doc_id").itertuples():
+        region = min(draw("region", n, 8.0, r.doc_id) for n in range(5))[1]
+        rack = min(draw("rack", n, 4.0, r.doc_id) for n in (2 * region, 2 * region + 1))[1]
+        assert r.shard == min(draw("shard", n, 1.0, r.doc_id) for n in range(4 * rack, 4 * rack + 4))[1]
+    assert out.groupby("doc_id")["shard"].nunique().max() == 1 and list(out.columns) == [*corpus_pipeline.COLUMNS, "shard"]
+
+
+def test_stages_take_odd_rows(spark, local):
+    import corpus_pipeline
+
+    plain = local["text"].dropna().tolist()
+    rows = [(1, plain[0], "en", "a", 1), (1, plain[0], "en", "a", 1), (2, plain[0], None, None, None), (3, None, "en", "a", 0), (4, "", "de", None, 0), (None, plain[1], None, None, 5), (5, plain[2] * 40, "fr", "b", 9), (6, "12 34", "en", "a", 2)]
+    rows += [(100 + i, t, None, "c", 3) for i, t in enumerate(plain[3:40])]
+    d = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, shard string")
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").withColumn("shard", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, SF)
+        assert got.columns[:5] == corpus_pipeline.COLUMNS and got.count() <= 3 * len(rows), name
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+    kept = corpus_pipeline.language(spark, d.unionByName(labelled), SF)
+    assert kept.where("text IS NULL OR text IN ('', '12 34')").count() == 0 and kept.where("doc_id = 1").count() >= 2
+    alone = corpus_pipeline.near_copies(spark, d, SF)
+    assert [r["doc_id"] for r in alone.where(F.col("text") == plain[0]).collect()] == [1]
+    assert corpus_pipeline.shards(spark, d, SF).count() == len(rows)
