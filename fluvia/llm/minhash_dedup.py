@@ -16,6 +16,7 @@ member. Every pair is confirmed by the exact weighted Jaccard similarity of its
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -73,12 +74,11 @@ def occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix64(h + nth * _U(0xD1342543DE82EF95)), h)
 
 
+@functools.lru_cache(maxsize=1024)
 def _poisson_cdf(mean: float) -> np.ndarray:
-    terms, n = [math.exp(-mean)], 0
-    while n < mean or terms[-1] > 1e-18:
-        n += 1
-        terms.append(terms[-1] * mean / n)
-    return np.cumsum(terms)
+    """The distribution of the number of darts in a cell of that area; by logarithms, as large cells underflow."""
+    n = np.arange(int(mean + 12 * math.sqrt(mean) + 24))
+    return np.cumsum(np.exp(n * math.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(n[1:]))])))
 
 
 def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, coords: int = COORDS, weights: np.ndarray | None = None) -> np.ndarray:

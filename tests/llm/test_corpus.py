@@ -550,6 +550,16 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 160 / (60 + 2 * 240)) < 0.04
 
 
+def test_darts_of_heavy_and_light_elements():
+    """Large cells: a text of one shingle needs high ranks, one of weight 3,000 many regions; numbers of darts are Poisson."""
+    for mean in (0.25, 3.0, 200.0, 5000.0):
+        cdf = minhash_dedup._poisson_cdf(mean)
+        assert math.isclose(cdf[-1], 1.0, rel_tol=1e-9) and math.isclose(sum(1 - cdf), mean, rel_tol=1e-6)
+    e = np.array([11, 12, 11, 12, 13], dtype=np.uint64)
+    sig = minhash_dedup.dart_signatures(e, np.array([0, 0, 1, 1, 2]), 3, 4096, np.array([3000.0, 1000.0, 3000.0, 2000.0, 1.0]))
+    assert abs((sig[0] == sig[1]).mean() - 4000 / 5000) < 0.03 and (sig[2] != 0).all() and (sig[0] == sig[2]).sum() == 0
+
+
 def _groups(texts: dict[int, str]) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
