@@ -396,3 +396,24 @@ def segment_topology(tree: DataFrame, numbered: DataFrame) -> DataFrame:
     d = d.join(below, "down", "left")
     above = d.where("downstream IS NOT NULL").groupBy(F.col("downstream").alias("segment")).agg(F.array_sort(F.collect_list("segment")).alias("upstream"))
     return d.join(above, "segment", "left").select("segment", "downstream", F.coalesce("upstream", F.array().cast("array<long>")).alias("upstream"))
+
+
+def running_id(rows: DataFrame, order: list[str], column: str = "id") -> DataFrame:
+    """All rows with ``column``: 1, 2, ... in the order of ``order`` over the whole table, which should leave no ties.
+
+    The rows are cut into ranges, numbered within each, and the ranges' sizes summed (one number a range): no task
+    sorts the whole table.
+    """
+    cut = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"), F.min(F.struct(*order)).alias("__first"))
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return cut.withColumn("__nth", inside).join(F.broadcast(starts), "__range").withColumn(column, (F.col("__start") + F.col("__nth")).cast("long")).drop("__range", "__nth", "__start")
+
+
+def add_unique(known: DataFrame, more: DataFrame) -> DataFrame:
+    """(vertex, place, added): the vertices of ``known`` (vertex, place) once each, at their first place, and those that only ``more`` has."""
+    first = lambda d: d.groupBy("vertex").agg(F.min("place").alias("place"))
+    new = first(more).join(known.select("vertex").distinct(), "vertex", "left_anti")
+    return first(known).withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))

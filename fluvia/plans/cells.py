@@ -243,9 +243,11 @@ QUERIES["mesh_dggrid"] = QUERIES["src_dggrid_geojson"] = lambda s, d: _dggrid(s,
 ORACLES["mesh_dggrid"] = ORACLES["src_dggrid_geojson"] = f"""WITH {HEXES}, k AS (SELECT * FROM hx WHERE cell_id % 3 <> 0)
 SELECT a.cell_id, round(a.x, 6) AS lon, round(a.y, 6) AS lat, coalesce(list(b.cell_id ORDER BY b.cell_id) FILTER (b.cell_id IS NOT NULL), []) AS neighbors, round(coalesce(sum({base.HAVERSINE.format('a.x', 'a.y', 'b.x', 'b.y')}), 0), 1) AS metres
 FROM k a LEFT JOIN k b ON a.cell_id <> b.cell_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 1.1::DOUBLE*{_wide}*{_wide} GROUP BY a.cell_id, a.x, a.y"""
-_cube = mesh.faces_of(2e6)
-QUERIES["mesh_cubedsphere"] = lambda s, d: importers.with_shared_neighbors(mesh.cubed_sphere(s, mesh.faces_of(2e6))).select("cell_id", F.size("neighbors").cast("long").alias("n"), F.size("ring").cast("long").alias("corners"))
-ORACLES["mesh_cubedsphere"] = f"SELECT i + 1 AS cell_id, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS corners FROM range({6 * _cube * _cube}) t(i)"
+_n = mesh.faces_of(1.6e6)
+QUERIES["mesh_cubedsphere"] = lambda s, d: importers.with_shared_neighbors(mesh.cubed_sphere(s, mesh.faces_of(1.6e6))).select("cell_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.size("neighbors").cast("long").alias("n"), F.size("ring").cast("long").alias("corners"))
+ORACLES["mesh_cubedsphere"] = f"""WITH g AS (SELECT k + 1 AS cell_id, (k - k % {_n * _n})/{_n * _n} AS f, tan((k % {_n} + 0.5)*pi()/{2 * _n} - pi()/4) AS a, tan((((k - k % {_n})/{_n})::BIGINT % {_n} + 0.5)*pi()/{2 * _n} - pi()/4) AS b FROM range({6 * _n * _n}) r(k)),
+p AS (SELECT cell_id, CASE f WHEN 0 THEN 1 WHEN 1 THEN -a WHEN 2 THEN -1 WHEN 3 THEN a WHEN 4 THEN -b ELSE b END AS x, CASE f WHEN 0 THEN a WHEN 1 THEN 1 WHEN 2 THEN -a WHEN 3 THEN -1 ELSE a END AS y, CASE f WHEN 4 THEN 1 WHEN 5 THEN -1 ELSE b END AS z FROM g)
+SELECT cell_id, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(atan2(z, sqrt(x*x + y*y))), 6) AS lat, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS corners FROM p"""
 QUERIES["cvt_coords_cell"] = lambda s, d: hexagons(s).select("cell_id", geo.without_flat_corners(F.flatten(F.transform("ring", lambda p, i: F.when(i % 2 == C("cell_id") % 2, F.array(p, _between(p, F.element_at("ring", F.pmod(i + 1, F.lit(6)) + 1)))).otherwise(F.array(p))))).alias("ring")).select("cell_id", F.size("ring").cast("long").alias("corners"), F.round(C("ring")[5]["lon"], 6).alias("x"))
 ORACLES["cvt_coords_cell"] = f"WITH {HEXES} SELECT cell_id, CAST(6 AS BIGINT) AS corners, round(x-{_wide}/2, 6) AS x FROM hx"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import case, hydro, network, reconstruct
 from ..sources import config, shapefile
-from . import base
+from . import base, lookups
 from .iterate import shared_path
 
 QUERIES: dict = {}
@@ -28,20 +28,11 @@ def river_points(spark, sf_dir):
 MOUTH = (-80.0, 35.0)
 
 
-def _simplified(spark, sf_dir):
-    """The river, turned, merged, numbered and ordered: its segments."""
-    return reconstruct.simplify(river_points(spark, sf_dir), *MOUTH)
-
-
 # Ground truth without the river's geometry: merged chains of the tree, and orders from the top down.
 SEGMENTS = f"""{base.RIVER}, kids AS (SELECT "end" AS k, count(*) AS n FROM l4 GROUP BY 1),
 m AS (SELECT l4.line, l4.length, CASE WHEN kids.n = 1 AND l4."end" > 0 THEN l4."end" END AS down, l4."end" FROM l4 JOIN kids ON kids.k = l4."end"),
 walk AS (SELECT line AS root, line, length FROM m WHERE down IS NULL UNION ALL SELECT w.root, m.line, m.length FROM walk w JOIN m ON m.down = w.line),
 seg AS (SELECT root, round(sum(length), 0) AS length, count(*) AS parts FROM walk GROUP BY root)"""
-QUERIES["net_simplified"] = lambda s, d: _simplified(s, d).groupBy(F.round("length", 0).alias("length")).agg(F.count("*").alias("n"))
-ORACLES["net_simplified"] = f"WITH RECURSIVE {SEGMENTS} SELECT length, count(*) AS n FROM seg GROUP BY length"
-
-
 def _shaped(spark, sf_dir):
     """The vertices and the length of each simplified segment, from its shape."""
     shape = reconstruct.simplified(river_points(spark, sf_dir), *MOUTH)[1]
@@ -49,8 +40,8 @@ def _shaped(spark, sf_dir):
     return e.groupBy("line").agg(F.count("*").alias("edges"), F.round(F.sum(geo.haversine(*[C(c) for c in XY])), 0).alias("length")).groupBy("edges", "length").agg(F.count("*").alias("n"))
 
 
-QUERIES["net_simplified_shape"] = _shaped
-ORACLES["net_simplified_shape"] = f"WITH RECURSIVE {SEGMENTS} SELECT parts AS edges, length, count(*) AS n FROM seg GROUP BY ALL"
+QUERIES["net_simplified"] = _shaped
+ORACLES["net_simplified"] = f"WITH RECURSIVE {SEGMENTS} SELECT parts AS edges, length, count(*) AS n FROM seg GROUP BY ALL"
 
 
 def _directed(spark, sf_dir):
@@ -74,6 +65,36 @@ ORACLES["net_shreve_deep"] = f"""WITH RECURSIVE {base.RIVER}, up AS (SELECT line
 SELECT line, count(*) AS stream_order FROM up GROUP BY line"""
 
 
+QUERIES["win_running_id"] = lambda s, d: network.running_id(base.scattered(s, d).select("line", "event_id", "ts"), ["line", "ts", "event_id"]).select("line", "event_id", "id")
+ORACLES["win_running_id"] = f"WITH {base.SCATTERED} SELECT line, event_id, CAST(row_number() OVER (ORDER BY line, ts, event_id) AS BIGINT) AS id FROM v2"
+
+
+def _added(spark, sf_dir):
+    """The starts of even lines, and the ends of all lines that are not among them, each at its first line."""
+    r = base.river(spark, sf_dir)
+    known = r.where("line % 2 = 0").select(C("start").alias("vertex"), C("line").alias("place"))
+    return network.add_unique(known, r.select(C("end").alias("vertex"), C("line").alias("place")))
+
+
+QUERIES["set_add_unique"] = _added
+ORACLES["set_add_unique"] = f"""WITH {base.RIVER}, k AS (SELECT "start" AS vertex, min(line) AS place FROM l4 WHERE line % 2 = 0 GROUP BY 1)
+SELECT vertex, place, false AS added FROM k UNION ALL SELECT "end", min(line), true FROM l4 WHERE "end" NOT IN (SELECT vertex FROM k) GROUP BY 1"""
+
+
+def _dams(spark, sf_dir):
+    """From every 211th node downstream through both kinds of links, up to the network of nodes below 300."""
+    r = base.river(spark, sf_dir)
+    t = r.select(C("line").alias("from"), C("end").alias("to"))
+    t = t.union(t.where("`from` % 50 = 0 AND `from` > 7").select("from", C("from") - 7))
+    return network.trace_downstream(r.where("line % 211 = 0").select(C("line").alias("id")), t, spark.range(300))
+
+
+QUERIES["net_dam_burn_16"], ORACLES["net_dam_burn_16"] = lookups.QUERIES["net_dam_burn"], lookups.ORACLES["net_dam_burn"]
+QUERIES["net_dam_burn"] = _dams
+ORACLES["net_dam_burn"] = f"""WITH RECURSIVE {base.RIVER}, t AS (SELECT k AS f, p AS t FROM f4 UNION ALL SELECT k, k - 7 FROM f4 WHERE k % 50 = 0 AND k > 7),
+w AS (SELECT k AS id FROM f4 WHERE k % 211 = 0 AND k >= 300 UNION SELECT t.t FROM w JOIN t ON t.f = w.id WHERE t.t >= 300) SELECT id FROM w"""
+
+
 def _topology(spark, sf_dir):
     """Segments of the balanced tree with the segments below and above them, by segment number."""
     t = base.shallow(spark, sf_dir)
