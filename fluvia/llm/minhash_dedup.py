@@ -74,7 +74,7 @@ def occurrences(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix64(h + nth * _U(0xD1342543DE82EF95)), h)
 
 
-@functools.lru_cache(maxsize=1024)
+@functools.lru_cache(maxsize=64)
 def _poisson_cdf(mean: float) -> np.ndarray:
     """The distribution of the number of darts in a cell of that area; by logarithms, as large cells underflow."""
     n = np.arange(int(mean + 12 * math.sqrt(mean) + 24))
@@ -101,6 +101,8 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, coords: int
         for k, top in enumerate(tops):
             floor = 0.0 if k == 0 else tops[k - 1]
             inside = w > floor
+            if not inside.any():
+                continue  # heavy texts are done early, so that cells of theirs never grow large
             region = mix64(e[inside] ^ mix64(np.array([cell * 1000 + k + 1], dtype=_U)))
             cdf = _poisson_cdf((hi - lo) * (top - floor))
             u = (mix64(region) >> _U(11)).astype(np.float64) * 2.0**-53
