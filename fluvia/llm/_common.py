@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/fluvia"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,3 +85,27 @@ def running_total(df: DataFrame, group: list[str], key: str, ties: list[str], va
         .withColumn(out, F.col("__start") + F.coalesce(F.sum("__value").over(inside), F.lit(0)))
         .drop("__block", "__value", "__start")
     )
+
+
+def numbered(df: DataFrame, group: list[str], order: list[Column], label: str) -> DataFrame:
+    """A table of ``df`` with ``part``, ``idx`` and ``n``: range of the sort, place in the group from 0 without gaps, rows of the group.
+
+    Rows are dealt by ranges of (``group``, ``order``) and counted range by range, so that no task holds a whole group.
+    Null groups are a group; groups and orders sort ascending with nulls first; rows equal in both are interchangeable.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group] + order
+    sorted_ = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    rows = written(sorted_.withColumn("part", F.shiftright("__at", 33)), label)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*group, "part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    spans = spans.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).withColumn("n", F.sum("__rows").over(whole))
+    theirs = spans.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("part").alias("__part"), "__first", "__before", "n")
+    same = F.col("part") == F.col("__part")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    placed = rows.join(theirs, same).withColumn("idx", F.col("__before") + F.col("__at") - F.col("__first"))
+    out = placed.drop("__at", "__first", "__before", "__part", *[f"__{g}" for g in group])
+    out.path = rows.path
+    return out
