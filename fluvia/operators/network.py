@@ -341,13 +341,14 @@ def distances(edges: DataFrame, origin) -> DataFrame:
 def orient(lines: DataFrame, outlet) -> DataFrame:
     """(line, start, end, level, turned): lines walked outward from ``outlet`` over either end; unreached lines are dropped.
 
-    The level is the number of lines from the outlet. A line whose start is nearer to the outlet than its end is turned
-    round; one whose ends are equally far stays. Null ends are never reached.
+    Vertices are in the order of (lines from the outlet, vertex), and every line runs to the lesser of its ends, so that
+    no cycle is left, braided or not. The level is the number of lines from the outlet, that of the end plus one. Null
+    ends are never reached; a line that ends where it starts is dropped.
     """
     dist = written(distances(lines.select(F.col("start").alias("u"), F.col("end").alias("v")), outlet))
     at = lambda end: dist.select(F.col("vertex").alias(end), F.col("dist").alias("__" + end))
-    d = lines.select("line", "start", "end").join(at("start"), "start").join(at("end"), "end")
-    turn = F.col("__start") < F.col("__end")
+    d = lines.select("line", "start", "end").where("start != end").join(at("start"), "start").join(at("end"), "end")
+    turn = (F.col("__start") < F.col("__end")) | ((F.col("__start") == F.col("__end")) & (F.col("start") < F.col("end")))
     ends = [F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("start", "end"), ("end", "start"))]
     return d.select("line", *ends, (F.least("__start", "__end") + 1).cast("int").alias("level"), turn.cast("int").alias("turned"))
 

@@ -130,13 +130,33 @@ def ring_sides(ring: Column, lon: Column, lat: Column) -> Column:
     return F.transform(ring, lambda p, i: way * ((nxt(i)["lon"] - p["lon"]) * (lat - p["lat"]) - (nxt(i)["lat"] - p["lat"]) * (lon - p["lon"])))
 
 
-def clip_to_ring(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ring: Column) -> Column:
-    """(t0, t1, enters, leaves): the part of an edge inside a convex ring as shares of the edge, t0 > t1 if there is none.
+def half_planes(ring: Column, turn: Column) -> Column:
+    """(x, y, ex, ey) of each side of a convex ring: ex * (lat - y) - ey * (lon - x) is how far inside of it a place lies. ``turn`` is the ring's ``winding``."""
+    n = F.size(ring)
+    way = F.when(turn < 0, -1.0).otherwise(1.0)
+
+    def side(p: Column, i: Column) -> Column:
+        q = F.element_at(ring, F.pmod(i + 1, n) + 1)
+        return F.struct(p["lon"].alias("x"), p["lat"].alias("y"), (way * (q["lon"] - p["lon"])).alias("ex"), (way * (q["lat"] - p["lat"])).alias("ey"))
+
+    return F.transform(ring, side)
+
+
+def winding(ring: Column) -> Column:
+    """Twice the signed area of a ring in square degrees: above 0 if it runs counterclockwise."""
+    n = F.size(ring)
+    nxt = lambda i: F.element_at(ring, F.pmod(i + 1, n) + 1)
+    return F.aggregate(F.transform(ring, lambda p, i: p["lon"] * nxt(i)["lat"] - nxt(i)["lon"] * p["lat"]), F.lit(0.0), lambda a, x: a + x)
+
+
+def clip_to_planes(lon1: Column, lat1: Column, lon2: Column, lat2: Column, planes: Column) -> Column:
+    """(t0, t1, enters, leaves): the part of an edge inside a convex ring's ``half_planes`` as shares of the edge, t0 > t1 if there is none.
 
     enters and leaves are the sides of the ring (from 0) through which the edge comes and goes, -1 where it ends inside.
     A touch is a part without length.
     """
-    sides = F.arrays_zip(ring_sides(ring, lon1, lat1).alias("a"), ring_sides(ring, lon2, lat2).alias("b"))
+    inside = lambda s, lon, lat: s["ex"] * (lat - s["y"]) - s["ey"] * (lon - s["x"])
+    sides = F.transform(planes, lambda s: F.struct(inside(s, lon1, lat1).alias("a"), inside(s, lon2, lat2).alias("b")))
 
     def side(s: Column, x: Column) -> Column:
         i, a, b = s["i"], x["a"], x["b"]
@@ -156,21 +176,92 @@ def clip_to_ring(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ring: C
     return F.aggregate(sides, start, side, lambda s: F.struct(s["t0"].alias("t0"), s["t1"].alias("t1"), s["enters"].alias("enters"), s["leaves"].alias("leaves")))
 
 
-def edges_in_rings(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """(edge columns, cell_id, t0, t1, enters, leaves): the part of each edge in each convex cell (cell_id, ring), as ``clip_to_ring``.
+def _met(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """``edges`` joined to the ``cells`` (box in __x1 to __y2) whose boxes they meet, each pair once.
 
-    Borders belong to both cells, so an edge along one has a part in each; a touch has t0 = t1. Edges and cells are dealt
-    to tiles of ``size``; a pair is tested in the tile of the lower left corner of their boxes' overlap only.
+    Edges and cells are dealt to tiles of ``size``; a pair is tested in the tile of the lower left corner of their boxes' overlap only.
     """
     low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
     box = low("lon1", "lon2"), low("lat1", "lat2"), high("lon1", "lon2"), high("lat1", "lat2")
     e = edges.withColumn("__t", F.explode(tiles(*box, size)))
-    c = cells.select("cell_id", "ring", *[b.alias(n) for b, n in zip(ring_box(F.col("ring")), ("__x1", "__y1", "__x2", "__y2"), strict=True)])
-    c = c.withColumn("__t", F.explode(tiles(F.col("__x1"), F.col("__y1"), F.col("__x2"), F.col("__y2"), size)))
+    c = cells.withColumn("__t", F.explode(tiles(F.col("__x1"), F.col("__y1"), F.col("__x2"), F.col("__y2"), size)))
     j = e.join(c, "__t").where((box[0] <= F.col("__x2")) & (box[2] >= F.col("__x1")) & (box[1] <= F.col("__y2")) & (box[3] >= F.col("__y1")))
     j = j.where((F.col("__t.tx") == F.floor(F.greatest(F.col("__x1"), box[0]) / size)) & (F.col("__t.ty") == F.floor(F.greatest(F.col("__y1"), box[1]) / size)))
-    j = j.withColumn("__c", clip_to_ring(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), F.col("ring")))
-    return j.select("*", "__c.*").where("t0 <= t1").drop("__c", "__t", "__x1", "__y1", "__x2", "__y2", "ring")
+    return j.drop("__t", "__x1", "__y1", "__x2", "__y2")
+
+
+def edges_in_rings(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """(edge columns, cell_id, t0, t1, enters, leaves): the part of each edge in each convex cell (cell_id, ring), as ``clip_to_planes``.
+
+    Borders belong to both cells, so an edge along one has a part in each; a touch has t0 = t1. Half-planes are made once
+    a cell, and a pair is clipped once: the filter on the clip is inside a generator, which no filter is pushed through.
+    """
+    c = cells.select("cell_id", "ring", F.explode(F.array(winding(F.col("ring")))).alias("__turn"))
+    c = c.select("cell_id", half_planes(F.col("ring"), F.col("__turn")).alias("__planes"), *[b.alias(n) for b, n in zip(ring_box(F.col("ring")), ("__x1", "__y1", "__x2", "__y2"), strict=True)])
+    j = _met(edges, c, size)
+    clip = clip_to_planes(*[F.col(x) for x in ("lon1", "lat1", "lon2", "lat2")], F.col("__planes"))
+    j = j.withColumn("__c", F.explode(F.filter(F.array(clip), lambda x: x["t0"] <= x["t1"])))
+    return j.select("*", "__c.*").drop("__c", "__planes")
+
+
+def _crossed(ax: Column, ay: Column, bx: Column, by: Column, sides: Column, closed: bool) -> Column:
+    """Where the straight line a to b crosses ``sides`` (x1, y1, x2, y2), as sorted (t, side): between odd and even places it is inside.
+
+    A side is crossed if its ends lie on different sides of the line; ends on the line count to its left (``closed``) or right.
+    """
+    off = lambda x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    left = (lambda d: d >= 0) if closed else (lambda d: d > 0)
+
+    def place(s: Column, i: Column) -> Column:
+        d1, d2 = off(s["x1"], s["y1"]), off(s["x2"], s["y2"])
+        share = d1 / (d1 - d2)
+        x, y = s["x1"] + share * (s["x2"] - s["x1"]), s["y1"] + share * (s["y2"] - s["y1"])
+        along = F.when(F.abs(bx - ax) >= F.abs(by - ay), (x - ax) / (bx - ax)).otherwise((y - ay) / (by - ay))
+        return F.when(left(d1) != left(d2), F.struct(along.alias("t"), i.alias("side")))
+
+    return F.array_sort(F.filter(F.transform(sides, place), lambda p: p.isNotNull()))
+
+
+def _inner_parts(places: Column) -> Column:
+    """The parts (t0, t1, enters, leaves) within 0 to 1 between odd and even ``places``."""
+    half = F.floor(F.size(places) / 2).cast("int")
+
+    def part(k: Column) -> Column:
+        a, b = F.element_at(places, 2 * k + 1), F.element_at(places, 2 * k + 2)
+        begins, ends = a["t"] >= 0, b["t"] <= 1
+        return F.struct(F.when(begins, a["t"]).otherwise(0.0).alias("t0"), F.when(ends, b["t"]).otherwise(1.0).alias("t1"), F.when(begins, a["side"]).otherwise(-1).alias("enters"), F.when(ends, b["side"]).otherwise(-1).alias("leaves"))
+
+    every = F.transform(F.when(half > 0, F.sequence(F.lit(0), half - 1)).otherwise(F.array().cast("array<int>")), part)
+    return F.filter(every, lambda p: p["t0"] <= p["t1"])
+
+
+def edges_in_polygons(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """(edge columns, cell_id, t0, t1, enters, leaves): the parts of each edge in each cell (cell_id, rings) of any shape.
+
+    ``rings`` is an array of open rings, the first the border and the others holes or islands in any order: a place is
+    inside by the even-odd rule over all sides. An edge may have several parts in a cell; borders belong to both cells,
+    and a touch at a corner is a part without length. Sides are numbered through all rings from 0. The crossings of an
+    edge with all sides are sorted, and parts lie between odd and even ones. Lines along a side are taken as a little left
+    and as a little right of it, and the two results are joined.
+    """
+    nxt = lambda ring, i: F.element_at(ring, F.pmod(i + 1, F.size(ring)) + 1)
+    ends = lambda p, q: F.struct(p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2"))
+    sides = F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p, i: ends(p, nxt(ring, i)))))
+    box = ring_box(F.flatten("rings"))
+    c = cells.select("cell_id", sides.alias("__sides"), *[b.alias(n) for b, n in zip(box, ("__x1", "__y1", "__x2", "__y2"), strict=True)])
+    line = [F.col(x) for x in ("lon1", "lat1", "lon2", "lat2")]
+    found = F.concat(*[_inner_parts(_crossed(*line, F.col("__sides"), closed)) for closed in (False, True)])
+
+    def join(done: Column, p: Column) -> Column:
+        # parts come in the order of their beginnings; one that begins within the last is the same part
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["t0"].alias("t0"), F.greatest(last["t1"], p["t1"]).alias("t1"), last["enters"].alias("enters"), F.when(p["t1"] > last["t1"], p["leaves"]).otherwise(last["leaves"]).alias("leaves"))
+        shared = (F.size(done) > 0) & (p["t0"] <= last["t1"])
+        return F.when(shared, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(p)))
+
+    none = F.array().cast("array<struct<t0:double,t1:double,enters:int,leaves:int>>")
+    joined = F.aggregate(F.array_sort(found), none, join)
+    return _met(edges, c, size).withColumn("__c", F.explode(joined)).select("*", "__c.*").drop("__c", "__sides")
 
 
 def part_ends() -> tuple[Column, Column, Column, Column]:
@@ -185,7 +276,7 @@ def reaches(parts: DataFrame) -> DataFrame:
     ``parts`` are those of ``edges_in_rings`` with (line, seq), the edges of a line numbered without gaps. Touches belong
     to no reach. reach counts from 1 within line and cell; first and last are the edges at its ends.
     """
-    w = Window.partitionBy("line", "cell_id").orderBy("seq")
+    w = Window.partitionBy("line", "cell_id").orderBy("seq", "t0")
     d = parts.where("t0 < t1").withColumn("length", geo.haversine(*part_ends()))
     goes_on = (F.lag("seq").over(w) == F.col("seq") - 1) & (F.lag("t1").over(w) == 1.0) & (F.col("t0") == 0.0)
     d = d.withColumn("reach", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -66,6 +66,46 @@ SELECT line, cell_id, reach, min(seq) AS first, max(seq) AS last, round(sum(leng
 QUERIES["topo_outlet_check"] = lambda s, d: overlay.outlet_cell(walk_parts(s, d).where("t1 - t0 > 1e-12"), walk_edges(s, d).select("line", (C("line") * 37 % 101).alias("segment")).distinct())
 ORACLES["topo_outlet_check"] = f"WITH {PARTS}, m AS (SELECT line FROM (SELECT DISTINCT line FROM s) ORDER BY line*37 % 101 DESC, line DESC LIMIT 1) SELECT line, cell_id FROM pt JOIN m USING (line) ORDER BY seq DESC, t1 DESC LIMIT 1"
 
+# Cells that are no convex ring: an L (two boxes) for nations of even number, a box with a hole for the others.
+_BOX = "CAST(-81 AS DOUBLE) + CAST((n_nationkey*7) % 23 AS DOUBLE)/2 + 0.0137::DOUBLE", "CAST(35 AS DOUBLE) + CAST((n_nationkey*5) % 19 AS DOUBLE)/2 + 0.0071::DOUBLE"
+_HOLES = [[(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)], [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)]]
+
+
+def holed(spark, sf_dir):
+    k = C("n_nationkey")
+    x, y = -81 + (k * 7 % 23) / 2.0 + 0.0137, 35 + (k * 5 % 19) / 2.0 + 0.0071
+    angled, border, hole = [F.array(*[F.struct((x + a / 2).alias("lon"), (y + b / 2).alias("lat")) for a, b in ring]) for ring in _HOLES]
+    return base.table(spark, sf_dir, "nation").select(k.alias("cell_id"), F.when(k % 2 == 0, F.array(angled)).otherwise(F.array(border, hole)).alias("rings"))
+
+
+def _holed_parts(spark, sf_dir):
+    """For each edge and cell the parts of the edge inside, and their share of it."""
+    d = overlay.edges_in_polygons(walk_edges(spark, sf_dir), holed(spark, sf_dir), 1.0).where("t1 - t0 > 1e-12")
+    return d.groupBy("line", "pos", "cell_id").agg(F.count("*").alias("parts"), F.round(F.sum(C("t1") - C("t0")), 6).alias("share"))
+
+
+def _boxed(name: str, x1: float, y1: float, x2: float, y2: float) -> str:
+    """(t0, t1) of the part of an edge in a box of the cell at (x, y), for the boxes of nations that have it."""
+    def near(d, at, low, high, first):
+        a, b = (low, high) if first else (high, low)
+        return f"CASE WHEN {d} > 0 THEN ({a} - {at})/{d} WHEN {d} < 0 THEN ({b} - {at})/{d} WHEN {at} BETWEEN {low} AND {high} THEN {0 if first else 1} ELSE {2 if first else -1} END"
+
+    bx = f"(x+{x1}::DOUBLE)", f"(x+{x2}::DOUBLE)", f"(y+{y1}::DOUBLE)", f"(y+{y2}::DOUBLE)"
+    t0 = f"greatest(0::DOUBLE, {near('(lon2-lon1)', 'lon1', bx[0], bx[1], True)}, {near('(lat2-lat1)', 'lat1', bx[2], bx[3], True)})"
+    t1 = f"least(1::DOUBLE, {near('(lon2-lon1)', 'lon1', bx[0], bx[1], False)}, {near('(lat2-lat1)', 'lat1', bx[2], bx[3], False)})"
+    return f"{t0} AS {name}0, {t1} AS {name}1"
+
+
+QUERIES["topo_intersect_polygons"] = _holed_parts
+ORACLES["topo_intersect_polygons"] = f"""WITH {base.WALKS}, q AS (SELECT line, pos, lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM w8 WINDOW w AS (PARTITION BY line ORDER BY pos)),
+s AS (SELECT * FROM q WHERE lon2 IS NOT NULL AND (lon1 <> lon2 OR lat1 <> lat2)), nc AS (SELECT n_nationkey AS cell_id, {_BOX[0]} AS x, {_BOX[1]} AS y FROM nation),
+j AS (SELECT * FROM s JOIN nc ON least(lon1, lon2) <= x + 2 AND greatest(lon1, lon2) >= x AND least(lat1, lat2) <= y + 2 AND greatest(lat1, lat2) >= y),
+b AS (SELECT *, {_boxed("a", 0, 0, 2, 1)}, {_boxed("b", 0, 1, 1, 2)}, {_boxed("o", 0, 0, 2, 2)}, {_boxed("i", 0.5, 0.5, 1.5, 1.5)} FROM j),
+k AS (SELECT line, pos, cell_id, a0, a1, b0, b1, a1 - a0 > 1e-12 AS ina, b1 - b0 > 1e-12 AS inb, o0, o1, CASE WHEN i1 > i0 THEN i0 ELSE o1 END AS i0, CASE WHEN i1 > i0 THEN i1 ELSE o1 END AS i1 FROM b),
+r AS (SELECT line, pos, cell_id, CAST(ina AS BIGINT) + CAST(inb AS BIGINT) - CASE WHEN ina AND inb AND (abs(a1 - b0) < 1e-9 OR abs(b1 - a0) < 1e-9) THEN 1 ELSE 0 END AS parts, CASE WHEN ina THEN a1 - a0 ELSE 0 END + CASE WHEN inb THEN b1 - b0 ELSE 0 END AS share FROM k WHERE cell_id % 2 = 0
+UNION ALL SELECT line, pos, cell_id, CASE WHEN i0 - o0 > 1e-12 THEN 1 ELSE 0 END + CASE WHEN o1 - i1 > 1e-12 THEN 1 ELSE 0 END, greatest(i0 - o0, 0) + greatest(o1 - i1, 0) FROM k WHERE cell_id % 2 = 1 AND o1 > o0)
+SELECT line, pos, cell_id, CAST(parts AS BIGINT) AS parts, round(share, 6) AS share FROM r WHERE parts > 0"""
+
 # Boundaries: diamonds |x - cx| + |y - cy| <= r, one a nation.
 DIAMONDS = "dm AS (SELECT n_nationkey AS polygon, CAST(-81 AS DOUBLE) + CAST((n_nationkey*7) % 23 AS DOUBLE)/2 + 0.125 AS cx, CAST(35 AS DOUBLE) + CAST((n_nationkey*5) % 19 AS DOUBLE)/2 + 0.0625 AS cy, 0.75 + CAST(n_nationkey % 4 AS DOUBLE)/2 AS r FROM nation)"
 DISTANCE = "(greatest(x1-cx, 0, cx-x1-0.5) + greatest(y1-cy, 0, cy-y1-0.5))"
