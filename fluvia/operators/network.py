@@ -104,46 +104,58 @@ def _most_rounds(rows: int) -> int:
     return max(1, rows).bit_length() + 1
 
 
+def _hop(rows: DataFrame, far: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``far`` (__at, ...) on ``key``; rows without a key meet themselves, so that nulls don't share a task."""
+    return rows.withColumn("__key", F.coalesce(key, "line")).join(far.withColumnRenamed("__at", "__key"), "__key", "left").drop("__key")
+
+
 def jump(tree: DataFrame, value: str, drop_cycles: bool = False) -> DataFrame:
     """(line, root, total): ``value`` summed over the line and everything downstream of it, by pointer doubling.
 
-    ``tree`` has (line, down, value). Rounds grow with the logarithm of the depth. A line that has reached its root is
-    looked up by others, but neither moved nor written again. Lines on a cycle, or above one, have no root: an error, or
-    left out with ``drop_cycles``.
+    ``tree`` has (line, down, value). Each round makes pointers four times as long, so that rounds grow with the logarithm
+    of the depth. A line that has reached its root is looked up by others, but neither moved nor written again. Lines on a
+    cycle, or above one, have no root: an error, or left out with ``drop_cycles``.
     """
-    now = written(tree.select("line", F.col("down").alias("to"), F.col("line").alias("root"), F.col(value).alias("total")))
-    rounds, most = [now], _most_rounds(now.count())
-    while not now.where("to IS NOT NULL").isEmpty():
+    open_ = F.count_if(F.col("to").isNotNull())
+    now = written(tree.select("line", F.col("down").alias("to"), F.col("line").alias("root"), F.col(value).alias("total")), open=open_, rows=F.count("*"))
+    rounds, most = [now], _most_rounds(now.seen["rows"])
+    while now.seen["open"]:
         if len(rounds) > most:
             if drop_cycles:
                 break
             raise RuntimeError("lines on a cycle stay open")
         moving = now.where("to IS NOT NULL")
         known = together(rounds).where("to IS NULL").unionByName(moving)
-        far = known.select(F.col("line").alias("to"), F.col("to").alias("__to"), F.col("root").alias("__root"), F.col("total").alias("__total"))
-        j = moving.join(far, "to", "left")
-        now = written(j.select("line", F.col("__to").alias("to"), F.coalesce("__root", "root").alias("root"), (F.col("total") + F.coalesce("__total", F.lit(0))).alias("total")))
+        far = known.select(F.col("line").alias("__at"), F.col("to").alias("__to"), F.col("root").alias("__root"), F.col("total").alias("__total"))
+        for _ in range(3):
+            more = F.when(F.col("to").isNotNull(), F.col("__total"))
+            moving = _hop(moving, far, "to").select("line", F.when(F.col("to").isNotNull(), F.col("__to")).alias("to"), F.when(F.col("to").isNotNull(), F.coalesce("__root", "root")).otherwise(F.col("root")).alias("root"), (F.col("total") + F.coalesce(more, F.lit(0))).alias("total"))
+        now = written(moving, open=open_)
         rounds.append(now)
     return together(rounds).where("to IS NULL").select("line", "root", "total")
 
 
 def subtree_sum(tree: DataFrame, value: str) -> DataFrame:
-    """(line, total): ``value`` summed over the line and everything upstream of it, by doubling the reach each round.
+    """(line, total): ``value`` summed over the line and everything upstream of it; each round reaches four times as far.
 
     Only lines whose pointer is not past the root are moved; what reaches a line after that is written as a row of its
     own, and the rows of a line are added up at the end.
     """
-    now = written(tree.select("line", F.col("down").alias("to"), F.col(value).alias("total"), F.lit(True).alias("own")))
-    rounds, most = [now], _most_rounds(now.count())
-    while not now.where("to IS NOT NULL").isEmpty():
+    open_ = F.count_if(F.col("to").isNotNull())
+    now = written(tree.select("line", F.col("down").alias("to"), F.col(value).alias("total"), F.lit(True).alias("own")), open=open_, rows=F.count("*"))
+    rounds, most = [now], _most_rounds(now.seen["rows"])
+    while now.seen["open"]:
         if len(rounds) > most:
             raise RuntimeError("lines on a cycle stay open")
         moving = now.where("to IS NOT NULL")
-        more = moving.groupBy(F.col("to").alias("line")).agg(F.sum("total").alias("__more"))
-        far = moving.select(F.col("line").alias("to"), F.col("to").alias("__to"))
-        onward = moving.join(far, "to", "left").select("line", F.col("__to").alias("to"), "total", "own")
-        j = onward.join(more, "line", "full")
-        now = written(j.select("line", "to", (F.coalesce("total", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("total"), F.coalesce("own", F.lit(False)).alias("own")))
+        far = moving.select(F.col("line").alias("__at"), F.col("to").alias("__to"))
+        way = moving.withColumn("to1", F.col("to"))
+        for i in (1, 2, 3):
+            way = _hop(way, far, f"to{i}").withColumn(f"to{i + 1}", F.when(F.col(f"to{i}").isNotNull(), F.col("__to"))).drop("__to")
+        reached = way.select(F.explode(F.array("to1", "to2", "to3")).alias("line"), "total").where("line IS NOT NULL").groupBy("line").agg(F.sum("total").alias("__more"))
+        onward = way.select("line", F.col("to4").alias("to"), "total", "own")
+        j = onward.join(reached, "line", "full")
+        now = written(j.select("line", "to", (F.coalesce("total", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("total"), F.coalesce("own", F.lit(False)).alias("own")), open=open_)
         rounds.append(now)
     summed = together(rounds).where("to IS NULL").groupBy("line").agg(F.sum("total").alias("total"), F.max("own").alias("own"))
     return summed.where("own").select("line", "total")
@@ -171,17 +183,19 @@ def strahler(tree: DataFrame) -> DataFrame:
     """
     nothing = F.array().cast("array<long>")
     start = tree.select("line", "down", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast(tree.schema["line"].dataType).alias("up"), F.lit(0).cast("long").alias("plus"), nothing.alias("steps"), F.lit(None).cast("long").alias("stream_order"))
-    rounds = [written(start)]
+    counts = {"open": F.count_if(F.col("stream_order").isNull()), "settled": F.count("stream_order")}
+    rounds = [written(start, **counts)]
     while True:
         now = rounds[-1]
-        left, settled = now.agg(F.count_if(F.col("stream_order").isNull()), F.count("stream_order")).first()
-        if not left:
+        if not now.seen["open"]:
             return together(rounds).where("stream_order IS NOT NULL").select("line", "stream_order")
-        if len(rounds) > 1 and not settled:
+        if len(rounds) > 1 and not now.seen["settled"]:
             raise RuntimeError("lines on a cycle stay open")
         is_open = F.col("stream_order").isNull()
         kids = now.where("down IS NOT NULL").groupBy(F.col("down").alias("line")).agg(F.count_if(is_open).alias("__n"), F.min(F.when(is_open, F.col("line"))).alias("__kid"), F.min("stream_order").alias("__lo"), F.max("stream_order").alias("__hi"))
-        far = now.select(F.col("line").alias("__at"), F.col("up").alias("__up"), F.col("plus").alias("__plus"), F.col("steps").alias("__steps"), F.col("stream_order").alias("__order"))
+        # a pointer may have moved to a line that was settled some rounds ago
+        known = together(rounds).where("stream_order IS NOT NULL").unionByName(now.where(is_open))
+        far = known.select(F.col("line").alias("__at"), F.col("up").alias("__up"), F.col("plus").alias("__plus"), F.col("steps").alias("__steps"), F.col("stream_order").alias("__order"))
         # lines without a pointer look at themselves: no null keys, which would all meet in one task
         s = now.where(is_open).withColumn("__at", F.coalesce("up", "line")).join(far, "__at", "left").join(kids, "line", "left")
         s = s.withColumn("lo", F.least("lo", "__lo")).withColumn("hi", F.greatest("hi", "__hi"))
@@ -197,15 +211,17 @@ def strahler(tree: DataFrame) -> DataFrame:
             F.when(begins, F.when(lo.isNull(), 1).otherwise(0).cast("long")).when(moves, F.col("plus") + F.col("__plus")).otherwise(F.col("plus")).alias("plus"),
             F.when(begins, first).when(moves, through).otherwise(F.col("steps")).alias("steps"), order.cast("long").alias("stream_order"),
         )
-        rounds.append(written(new))
+        rounds.append(written(new, **counts))
 
 
-def segments(tree: DataFrame) -> DataFrame:
+def segments(tree: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(line, segment): n + 1 - rank in the pre-order from the outlet, siblings by line number; the outlet is n.
 
-    The rank of a line is one more than that of the line below, plus the sizes of the earlier branches there.
+    The rank of a line is one more than that of the line below, plus the sizes of the earlier branches there. ``sizes``
+    (line, total), the lines upstream of each and itself, may be given where they are known.
     """
-    sized = tree.join(subtree_sum(tree.withColumn("__one", F.lit(1).cast("long")), "__one"), "line")
+    sizes = subtree_sum(tree.withColumn("__one", F.lit(1).cast("long")), "__one") if sizes is None else sizes
+    sized = tree.join(sizes, "line")
     w = Window.partitionBy("down").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     step = sized.withColumn("__before", F.coalesce(F.sum("total").over(w), F.lit(0)) + 1).drop("total")
     n = tree.agg(F.count("*").alias("__n"))

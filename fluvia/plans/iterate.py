@@ -6,25 +6,31 @@ import itertools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir (in a folder of our own only where it is unset)."""
+    """A new path in spark.checkpoint.dir; where that is unset, in a folder of our own in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints/fluvia"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. Its ``path`` is kept on the frame."""
+def written(df: DataFrame, label: str = "step", **watch: Column) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. Its ``path`` is kept on the frame.
+
+    Aggregates in ``watch`` are observed while the rows are written, and kept as ``seen``: no job of their own.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    observed = Observation() if watch else None
+    (df.observe(observed, *[c.alias(n) for n, c in watch.items()]) if watch else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.path = path
+    out.path, out.seen = path, observed.get if watch else {}
     return out
 
 
