@@ -61,7 +61,8 @@ def crossings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     sx, sy = F.col("b_lon2") - F.col("b_lon1"), F.col("b_lat2") - F.col("b_lat1")
     qx, qy = F.col("b_lon1") - F.col("a_lon1"), F.col("b_lat1") - F.col("a_lat1")
     cross = rx * sy - ry * sx
-    u, v = (qx * sy - qy * sx) / cross, (qx * ry - qy * rx) / cross
+    some = F.nullif(cross, F.lit(0.0))  # parallel edges have no share
+    u, v = (qx * sy - qy * sx) / some, (qx * ry - qy * rx) / some
     j = j.where(cross != 0).withColumn("u", u).withColumn("v", v).where("u > 0 AND u < 1 AND v > 0 AND v < 1")
     j = j.withColumn("lon", F.col("a_lon1") + F.col("u") * rx).withColumn("lat", F.col("a_lat1") + F.col("u") * ry)
     own = (F.col("t.tx") == F.floor(F.col("lon") / size)) & (F.col("t.ty") == F.floor(F.col("lat") / size))
@@ -315,7 +316,8 @@ def meetings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     sx, sy = F.col("b_lon2") - F.col("b_lon1"), F.col("b_lat2") - F.col("b_lat1")
     qx, qy = F.col("b_lon1") - F.col("a_lon1"), F.col("b_lat1") - F.col("a_lat1")
     cross, slack = rx * sy - ry * sx, 1e-12
-    u, v = (qx * sy - qy * sx) / cross, (qx * ry - qy * rx) / cross
+    some = F.nullif(cross, F.lit(0.0))  # parallel edges have no share
+    u, v = (qx * sy - qy * sx) / some, (qx * ry - qy * rx) / some
     meet = u.between(-slack, 1 + slack) & v.between(-slack, 1 + slack)
     # along a: where b begins and ends, if the two lie on one straight line
     f = (qx * rx + qy * ry) / (rx * rx + ry * ry)
@@ -406,7 +408,8 @@ def cut_places(a: DataFrame, b: DataFrame, size: float, same=None) -> DataFrame:
     sx, sy = F.col("b_lon2") - F.col("b_lon1"), F.col("b_lat2") - F.col("b_lat1")
     qx, qy = F.col("b_lon1") - F.col("a_lon1"), F.col("b_lat1") - F.col("a_lat1")
     cross, square = rx * sy - ry * sx, rx * rx + ry * ry
-    u, v = (qx * sy - qy * sx) / cross, (qx * ry - qy * rx) / cross
+    some = F.nullif(cross, F.lit(0.0))  # parallel edges have no share
+    u, v = (qx * sy - qy * sx) / some, (qx * ry - qy * rx) / some
     level = F.abs(cross) <= 1e-12 * F.sqrt(square * (sx * sx + sy * sy))
     f = (qx * rx + qy * ry) / square
     along = F.array(f, f + (sx * rx + sy * ry) / square)

@@ -158,7 +158,9 @@ def write_collection(features: DataFrame, path: str, order: list[str], crs: str
     """
     files, base = store.opened(path)
     files.create_dir(base.rsplit("/", 1)[0], recursive=True)
-    return features.orderBy(*order).select("value").coalesce(1).mapInArrow(_to_collection(path, crs), "features long").first()[0]
+    write = _to_collection(path, crs)
+    done = features.orderBy(*order).select("value").coalesce(1).mapInArrow(write, "features long").first()
+    return done[0] if done else next(write(iter([]))).column(0)[0].as_py()  # Spark runs no task for an empty table
 
 
 def _points(pairs: Column) -> Column:
@@ -167,18 +169,18 @@ def _points(pairs: Column) -> Column:
     return F.filter(p, lambda v, i: (i == 0) | (v != F.get(p, i - 1)))
 
 
-def read_lines(spark: SparkSession, path: str, collection: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, collection: bool = True, size: int = 64 << 20) -> DataFrame:
     """(feature, part, properties, points) of the LineStrings and of the parts of MultiLineStrings."""
-    d = read_features(spark, path, collection).where("type IN ('LineString', 'MultiLineString')")
+    d = read_features(spark, path, collection, size).where("type IN ('LineString', 'MultiLineString')")
     one = F.from_json("coordinates", "array<array<double>>")
     parts = F.when(F.col("type") == "LineString", F.array(one)).otherwise(F.from_json("coordinates", "array<array<array<double>>>"))
     d = d.select("feature", "properties", F.posexplode(parts).alias("part", "pairs"))
     return d.select("feature", "part", "properties", _points(F.col("pairs")).alias("points"))
 
 
-def read_rings(spark: SparkSession, path: str, collection: bool = True) -> DataFrame:
+def read_rings(spark: SparkSession, path: str, collection: bool = True, size: int = 64 << 20) -> DataFrame:
     """(feature, part, properties, ring) of the outer rings of Polygons and MultiPolygons, without the closing point."""
-    d = read_features(spark, path, collection).where("type IN ('Polygon', 'MultiPolygon')")
+    d = read_features(spark, path, collection, size).where("type IN ('Polygon', 'MultiPolygon')")
     one = F.from_json("coordinates", "array<array<array<double>>>")
     parts = F.when(F.col("type") == "Polygon", F.array(one)).otherwise(F.from_json("coordinates", "array<array<array<array<double>>>>"))
     d = d.select("feature", "properties", F.posexplode(parts).alias("part", "rings")).withColumn("ring", _points(F.col("rings")[0]))
