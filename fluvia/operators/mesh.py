@@ -151,3 +151,54 @@ def cubed_sphere(spark: SparkSession, n: int) -> DataFrame:
 
     lon, lat = place(0.5, 0.5)
     return d.select("cell_id", "face", lon.alias("lon"), lat.alias("lat"), _ring(place(0, 0), place(1, 0), place(1, 1), place(0, 1)).alias("ring"))
+
+
+def _circumcentre(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    """The place as far from three others, structs (x, y, z): in the plane z = 0, or along the normal of a sphere's triangle."""
+    u = [b[k] - a[k] for k in "xyz"]
+    v = [c[k] - a[k] for k in "xyz"]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    uu, vv, nn = (sum(p * q for p, q in zip(m, w, strict=True)) for m, w in ((u, u), (v, v), (n, n)))
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    mixed = [uu * q - vv * p for p, q in zip(u, v, strict=True)]
+    out = cross(mixed, n)
+    return tuple(a[k] + o / (2 * nn) for k, o in zip("xyz", out, strict=True))
+
+
+def dual(triangles: DataFrame, points: DataFrame, sphere: bool = True) -> DataFrame:
+    """Cells round the points of a triangulation: (cell_id, lon, lat, ring, neighbors, open).
+
+    ``triangles`` has (triangle, a, b, c), ids of ``points`` (id, lon, lat), or (id, x, y) in a plane as lon and lat. The
+    corners of a cell are the circumcentres of its triangles, counterclockwise round the point by their angle; neighbours
+    are the points of its triangles, in ascending order. A cell at the border, whose triangles don't close round it, is
+    open: its ring ends at the first and the last circumcentre. A point of no triangle has no cell.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    x, y, z = geo.unit_xyz(lon, lat) if sphere else (lon, lat, F.lit(0.0))
+    at = points.select("id", F.struct(x.alias("x"), y.alias("y"), z.alias("z")).alias("at"))
+    t = triangles.select("triangle", "a", "b", "c")
+    for k in "abc":
+        t = t.join(at.select(F.col("id").alias(k), F.col("at").alias("at_" + k)), k)
+    cx, cy, cz = _circumcentre(F.col("at_a"), F.col("at_b"), F.col("at_c"))
+    place = geo.to_lonlat(cx, cy, cz) if sphere else (cx, cy)
+    t = t.select("triangle", "a", "b", "c", F.struct(place[0].alias("lon"), place[1].alias("lat")).alias("p"))
+    d = t.withColumn("id", F.explode(F.array("a", "b", "c"))).join(points.select("id", "lon", "lat"), "id")
+    if sphere:
+        # on the plane that touches the sphere at the point, east and north
+        px, py, pz = geo.unit_xyz(F.col("p.lon"), F.col("p.lat"))
+        a, b = F.radians("lon"), F.radians("lat")
+        east = -F.sin(a) * px + F.cos(a) * py
+        north = -F.sin(b) * F.cos(a) * px - F.sin(b) * F.sin(a) * py + F.cos(b) * pz
+    else:
+        east, north = F.col("p.lon") - F.col("lon"), F.col("p.lat") - F.col("lat")
+    d = d.withColumn("angle", F.atan2(north, east))
+    others = F.filter(F.array("a", "b", "c"), lambda k: k != F.col("id"))
+    g = d.groupBy("id", "lon", "lat").agg(F.array_sort(F.collect_list(F.struct("angle", "triangle", "p"))).alias("r"), F.flatten(F.collect_list(others)).alias("o"))  # some triangles a point
+    # at a border two neighbours are in one triangle only, and so there are more neighbours than triangles
+    near = F.array_sort(F.array_distinct("o"))
+    gap = F.size(near) > F.size("r")
+    n = F.size("r")
+    step = F.transform("r", lambda v, i: F.pmod(F.element_at("r", F.pmod(i + 1, n) + 1)["angle"] - v["angle"], F.lit(2 * math.pi)))
+    last = (F.array_position(step, F.array_max(step)) - 1).cast("int")  # the widest turn is the gap
+    turned = F.when(gap, F.concat(F.slice("r", last + 2, n), F.slice("r", F.lit(1), last + 1))).otherwise(F.col("r"))
+    return g.select(F.col("id").alias("cell_id"), "lon", "lat", F.transform(turned, lambda v: v["p"]).alias("ring"), near.alias("neighbors"), gap.alias("open"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..plans.iterate import discard, together, until_empty, written
 
 
@@ -40,6 +41,25 @@ def split_at_vertices(points: DataFrame, line: str, order: list[str], cut: Colum
     return pieces.select(line, "piece", F.transform("p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("points"))
 
 
+def split_at_foreign(edges: DataFrame, points: DataFrame, size: float = 0.25) -> DataFrame:
+    """(line, piece, points): lines (line, pos, lon1 ... lat2) cut at ``points`` (id, lon, lat) that are their vertices or lie on their edges.
+
+    As ``split_at_vertices``: a piece holds its cuts at both ends, and a line of fewer than two cuts is dropped.
+    """
+    from . import overlay
+
+    on = overlay.points_on_edges(edges, points, size).select("line", "pos", "along", "lon", "lat", F.lit(True).alias("foreign"))
+    start = edges.select("line", "pos", F.lit(0.0).alias("along"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat"), F.lit(False).alias("foreign"))
+    end = edges.groupBy("line").agg(F.max_by(F.struct("pos", "lon2", "lat2"), "pos").alias("e")).select("line", (F.col("e.pos") + 1).alias("pos"), F.lit(0.0).alias("along"), F.col("e.lon2").alias("lon"), F.col("e.lat2").alias("lat"), F.lit(False).alias("foreign"))
+    key = geo.vertex_key(F.col("lon"), F.col("lat"))
+    own = points.select(key.alias("__key")).distinct().withColumn("__own", F.lit(True))
+    d = start.unionByName(end).unionByName(on).withColumn("__key", key).join(own, "__key", "left").drop("__key")
+    # places of one line that are equal and follow each other are one
+    w = Window.partitionBy("line").orderBy("pos", "along")
+    d = d.withColumn("__same", (F.lag("lon").over(w) == F.col("lon")) & (F.lag("lat").over(w) == F.col("lat"))).where("NOT coalesce(__same, false)")
+    return split_at_vertices(d, "line", ["pos", "along"], F.col("foreign") | F.col("__own").isNotNull())
+
+
 def headwaters(lines: DataFrame) -> DataFrame:
     """The lines that start where no line ends."""
     return lines.join(lines.select(F.col("end").alias("start")).distinct(), "start", "left_anti")

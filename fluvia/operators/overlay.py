@@ -423,3 +423,78 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFra
     r = rings.select("group", "part", "ring", F.explode(tiles(*ring_box(F.col("ring")), size)).alias("__t"))
     j = p.join(r, ["group", "__t"]).where("part != own")
     return j.where(F.array_min(ring_sides(F.col("ring"), F.col("lon"), F.col("lat"))) > 1e-13).select("key").distinct()
+
+
+def _turned(degrees: Column) -> Column:
+    """A difference of longitudes as the shorter way round, from -180 to below 180."""
+    return degrees - 360.0 * F.floor((degrees + 180.0) / 360.0)
+
+
+def unwrapped_ring(ring: Column) -> Column:
+    """A ring without jumps at the date line: each corner the shorter way from the last, the least longitude from -180 to below 180.
+
+    A ring round a pole doesn't come back to its beginning: it is closed over the pole's latitude, so that it holds the cap.
+    """
+    follow = lambda done, p: F.concat(done, F.array(F.struct((F.element_at(done, -1)["lon"] + _turned(p["lon"] - F.element_at(done, -1)["lon"])).alias("lon"), p["lat"].alias("lat"))))
+    way = F.aggregate(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1), follow)
+
+    def closed(w: Column) -> Column:
+        first, last = w[0], F.element_at(w, -1)
+        end = last["lon"] + _turned(first["lon"] - last["lon"])
+        pole = F.when(F.aggregate(w, F.lit(0.0), lambda a, p: a + p["lat"]) < 0, -90.0).otherwise(90.0)
+        over = F.array(F.struct(end.alias("lon"), first["lat"].alias("lat")), F.struct(end.alias("lon"), pole.alias("lat")), F.struct(first["lon"].alias("lon"), pole.alias("lat")))
+        return F.when(F.abs(end - first["lon"]) > 180.0, F.concat(w, over)).otherwise(w)
+
+    def shifted(w: Column) -> Column:
+        least = F.array_min(F.transform(w, lambda p: p["lon"]))
+        return F.transform(w, lambda p: F.struct((p["lon"] - 360.0 * F.floor((least + 180.0) / 360.0)).alias("lon"), p["lat"].alias("lat")))
+
+    return F.aggregate(F.array(F.lit(0)), way, lambda w, _: closed(w), shifted)
+
+
+def unwrapped_edges(edges: DataFrame, reach: float) -> DataFrame:
+    """Edges without jumps at the date line, and copies a turn further where cells reach over it: to the longitude ``reach``.
+
+    An edge over the date line runs on beyond 180, and has a copy that begins before -180; an edge west of ``reach`` - 360
+    has a copy east of 180. So an edge and a cell (``unwrapped_ring``) meet in one place, wherever they lie.
+    """
+    base = F.col("lon1") - 360.0 * F.floor((F.least("lon1", F.col("lon1") + _turned(F.col("lon2") - F.col("lon1"))) + 180.0) / 360.0)
+    d = edges.withColumn("__to", base + _turned(F.col("lon2") - F.col("lon1"))).withColumn("lon1", base).withColumn("lon2", F.col("__to")).drop("__to")
+    low, high = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
+    turns = F.filter(F.array(F.lit(0.0), F.when(high >= 180.0, -360.0), F.when(low + 360.0 <= reach, 360.0)), lambda t: t.isNotNull())
+    d = d.withColumn("__turn", F.explode(turns))
+    return d.withColumn("lon1", F.col("lon1") + F.col("__turn")).withColumn("lon2", F.col("lon2") + F.col("__turn")).drop("__turn")
+
+
+def edges_round_the_globe(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """(edge columns, cell_id, t0, t1, enters, leaves): ``edges_in_polygons`` for cells (cell_id, ring) that may lie on the date line or round a pole.
+
+    Longitudes of the edges come back unwrapped. An edge takes the shorter way round; a cell of 179 to -179 is two degrees
+    wide, and is dealt to the tiles of those only.
+    """
+    c = cells.select("cell_id", F.array(unwrapped_ring(F.col("ring"))).alias("rings"))
+    reach = c.agg(F.max(F.array_max(F.transform(F.col("rings")[0], lambda p: p["lon"])))).first()[0]
+    e = unwrapped_edges(edges, 180.0 if reach is None or reach < 180.0 else float(reach))
+    return edges_in_polygons(e, c, size)
+
+
+def points_on_edges(edges: DataFrame, points: DataFrame, size: float = 0.25) -> DataFrame:
+    """(line, pos, id, lon, lat, along): the ``points`` (id, lon, lat) strictly inside ``edges`` (line, pos, lon1 ... lat2), as ``geo.point_on_edge``.
+
+    along is the distance from the start of the edge. Edges and points meet in tiles. A detour below a metre holds all
+    points of a narrow ellipse round the edge, and a great circle leaves the box of its ends towards the pole: the box has
+    a margin for both.
+    """
+    length = geo.haversine(*[F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")])
+    far = F.least(F.lit(89.9), F.greatest(F.abs("lat1"), F.abs("lat2")))
+    metres = F.sqrt(2 * length + 1) / 2 + length * length / (8 * geo.RADIUS) * F.tan(F.radians(far)) + 1
+    up = F.degrees(metres / geo.RADIUS) * 1.01
+    aside = up / F.cos(F.radians(far))
+    box = [F.least("lon1", "lon2") - aside, F.least("lat1", "lat2") - up, F.greatest("lon1", "lon2") + aside, F.greatest("lat1", "lat2") + up]
+    e = edges.select("line", "pos", "lon1", "lat1", "lon2", "lat2", *[b.alias(n) for b, n in zip(box, ("__x1", "__y1", "__x2", "__y2"), strict=True)])
+    e = e.withColumn("__t", F.explode(tiles(F.col("__x1"), F.col("__y1"), F.col("__x2"), F.col("__y2"), size)))
+    p = points.select("id", "lon", "lat", F.struct(F.floor(F.col("lon") / size).alias("tx"), F.floor(F.col("lat") / size).alias("ty")).alias("__t"))
+    j = e.join(p, "__t").where("lon BETWEEN __x1 AND __x2 AND lat BETWEEN __y1 AND __y2")
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    j = j.where(geo.point_on_edge(F.col("lon"), F.col("lat"), *ends) == 1)
+    return j.select("line", "pos", "id", "lon", "lat", geo.haversine(ends[0], ends[1], F.col("lon"), F.col("lat")).alias("along"))
