@@ -1,13 +1,14 @@
 """HTML extraction: parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
 The standard library's streaming parser gives events; a block is the text between two block-level tags and is one line
-of the page. Each line has a ratio of text to tags; the ratios are smoothed with a Gaussian and compared with a
-threshold taken from their spread, which clusters the lines into content and the rest. The content region is the
+of the page. Each line has a ratio of text to tags, its score; names of elements that tell menus, notices, comments and
+the like are a feature of the score, and make it 0. The scores are smoothed with a Gaussian and compared with a threshold
+taken from their spread, which clusters the lines into content and the rest. The content region is the
 innermost container that holds most of the content lines' text, or the article or main round it. Its lines are the
 article's, but for elements whose names hint at something else and whose lines are not content, and, where no article
 or main says what belongs to it, for lists and boxes of links without a content line. Outside the region content lines,
-containers that are mostly content, and headings of any of these are the article's too. Menus, headers, footers,
-sidebars, notices, adverts, forms and comments that tags or whole names tell are left out everywhere.
+containers that are mostly content, headings of any of these and, where no article or main says what belongs to it, text
+directly beside the region are the article's too. A line without a score is content nowhere.
 
 Every event costs the same whatever the nesting: open elements carry what they inherit, and sums over elements are
 passed from inner to outer ones once, at the end.
@@ -228,10 +229,12 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     away = page.away()
-    kept = [x for x in page.lines if not x.dropped and not (x.mark >= 0 and away[x.mark])]
+    kept = [x for x in page.lines if not x.dropped]
     if not kept:
         return ""
-    size = np.array([len(x.text) for x in kept], dtype=float)
+    told_away = np.array([x.mark >= 0 and away[x.mark] for x in kept])
+    size = np.array([0 if out else len(x.text) for x, out in zip(kept, told_away, strict=True)], dtype=float)
+    # a name is a feature of the score: a line in an element that its name tells apart has the ratio of no text at all
     own = size / np.maximum(1, [x.tags for x in kept])
     content, least = content_lines(own)
     sure = content & (own >= least)
@@ -247,7 +250,7 @@ def main_text(html: str | None) -> str:
     most = MAJORITY * size[content].sum()
     region = max((c for c in range(len(tags)) if tags[c] in CONTAINERS and weight[c] >= most), default=None)  # inner ones come later
     if region is None:
-        return " ".join(x.text for x in kept)
+        return " ".join(x.text for x, yes in zip(kept, sure, strict=True) if yes or size[content].sum() and x.mark < 0)
     chain = [region]
     while parents[chain[-1]] >= 0:
         chain.append(parents[chain[-1]])
@@ -266,11 +269,14 @@ def main_text(html: str | None) -> str:
         poor = hints[m] and good[m] < MAJORITY * big[m], hints[m] and big[m] < SMALL * size.sum()
         hinted[m] = [x or up >= 0 and y for x, y in zip(poor, hinted[up], strict=True)]
     take = []
-    for x, yes in zip(kept, sure, strict=True):
+    for x, yes, score in zip(kept, sure, own, strict=True):
         c = x.node
         here = c >= 0 and inside[c]
         hint = x.mark >= 0 and hinted[x.mark][0 if here else 1]
-        take.append(not hint and (here and not linked[c] or not here and bool(yes or c >= 0 and rich[c])))
+        # where nothing tells the article, text beside its container, in no box of its own, goes with it
+        beside = not told and (c < 0 or c in round_it) and x.linked < LINKED
+        near = here and not linked[c] or not here and (beside or c >= 0 and rich[c])
+        take.append(bool(yes) or not hint and bool(near) and score > 0)
     for i in range(len(kept) - 2, -1, -1):
         take[i] = take[i] or kept[i].heading and take[i + 1]
     return " ".join(x.text for x, t in zip(kept, take, strict=True) if t)

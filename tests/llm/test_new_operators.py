@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.llm import conversation_trie, merkle_manifest, quality
+from fluvia.llm import conversation_trie, html_extraction, merkle_manifest, quality
 from fluvia.llm._common import numbered
 
 SF = "/root/testdata/sf0.001"
@@ -268,3 +268,15 @@ def test_quality_of_odd_documents(spark):
         got = quality.score(described, quality.learn(described, labels(known))).toPandas()
         assert len(got) == 7 and got["score"].between(0, 1).all() and got.groupby("doc_id")["score"].nunique().max() == 1
     assert quality.score(quality.features(d.limit(0)), quality.Model([0.0] * 12, 0.0)).count() == 0
+
+
+# HTML extraction
+def test_text_beside_the_content_is_kept_and_clusters_decide(monkeypatch):
+    """A short end beside the long box stays; without the clusters menus that only names tell come through."""
+    long = "long text here " * 20
+    assert html_extraction.main_text(f"<div><h1>T</h1><p>{long}</p></div><p>Short end.</p>") == f"T {long.strip()} Short end."
+    page = f"<body><div class='menu'><p>{long}</p></div><div><h1>T</h1><p>{long}</p></div><div class='footer'>Imprint</div><p>Short <b>end</b>.</p></body>"
+    assert html_extraction.main_text(page) == f"T {long.strip()} Short end."
+    with monkeypatch.context() as m:
+        m.setattr(html_extraction, "content_lines", lambda own: (np.ones(len(own), dtype=bool), 0.0))
+        assert "Imprint" in html_extraction.main_text(page)
