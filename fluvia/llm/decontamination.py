@@ -26,6 +26,8 @@ from ._text import chunks, hashed_words, windows
 
 WINDOW, COVERAGE, CONSISTENT, FILTER_BITS = 8, 0.6, 0.9, 23
 ANCHOR, SLACK, SALTS = 4, 3, 16
+#: Item words times diagonals up to which all ways back are kept; beyond, every n ** 0.5-th row is.
+CELLS = 4_000_000
 # Units after a number.
 UNITS = "cm ft g gb hours hour kb kg kilometers km lb lbs m mb meters mg miles min minutes ml mm mph oz percent seconds tb years year".split()
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
@@ -100,23 +102,85 @@ def _regions(doc: Words, item: Words) -> list[Words]:
     return [Words(*[x[max(0, part[0] - 2 * n) : part[-1] + 2 * n] for x in doc]) for part in np.split(hits, cuts) if len(part)]
 
 
-def _paths(score: np.ndarray) -> np.ndarray:
-    """For each diagonal of the last item word, the best diagonals (one an item word) that lead there; a jump costs 1."""
-    n, m = score.shape
-    best, back = score[0], np.zeros((n, m), dtype=np.int64)
-    for i in range(1, n):
-        kept, here = best.copy(), back[i]
-        for jump in [*range(-min(SLACK, m - 1), 0), *range(1, min(SLACK, m - 1) + 1)]:
-            to, by = (slice(jump, m), slice(0, m - jump)) if jump > 0 else (slice(0, m + jump), slice(-jump, m))
-            better = best[by] - 1 > kept[to]
-            kept[to][better] = best[by][better] - 1
-            here[to][better] = -jump
-        best = kept + score[i]
-    path = np.empty((n, m), dtype=np.int64)
-    path[-1] = np.arange(m)
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = path[i] + back[i][path[i]]
-    return path
+class _Lattice:
+    """An item against a part of a document, word by word: row i holds item word i on all diagonals, which are document places less item places.
+
+    Rows are slices of the padded document and are never put together, so that memory follows the words of both, not
+    their product.
+    """
+
+    def __init__(self, part: Words, item: Words) -> None:
+        self.item, self.n = item, len(item.raw)
+        self.m = len(part.raw) + self.n - 1
+        pad = lambda x: np.concatenate([np.zeros(self.n - 1, x.dtype), x, np.zeros(self.n - 1, x.dtype)])
+        self.template, self.raw, self.capital, self.inside = pad(part.template), pad(part.raw), pad(part.capital), pad(np.ones(len(part.raw), dtype=bool))
+
+    def compared(self, i, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(equal words, matches, matches of other capitals) of the item words ``i`` and the padded document's places ``at``."""
+        inside = self.inside[at]
+        own = (self.raw[at] == self.item.raw[i]) & inside
+        same = (self.template[at] == self.item.template[i]) & inside
+        loose = self.capital[at] & self.item.capital[i] & ~same
+        return own, same | loose & own, loose & ~own
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(matches, score) of item word i on all diagonals."""
+        own, same, loose = self.compared(i, slice(i, i + self.m))
+        match = same | loose
+        return match, match + own * (0.5 / self.n)
+
+
+def _step(lattice: _Lattice, i: int, best: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best score, matches, way back) of row i on all diagonals from those of row i - 1; a jump costs 1."""
+    m = lattice.m
+    kept, back = best.copy(), np.zeros(m, dtype=np.int8)
+    for jump in [*range(-min(SLACK, m - 1), 0), *range(1, min(SLACK, m - 1) + 1)]:
+        to, by = (slice(jump, m), slice(0, m - jump)) if jump > 0 else (slice(0, m + jump), slice(-jump, m))
+        better = best[by] - 1 > kept[to]
+        kept[to][better] = best[by][better] - 1
+        back[to][better] = -jump
+    match, score = lattice.row(i)
+    return kept + score, counts[np.arange(m) + back] + match, back
+
+
+class _Bent:
+    """The best way to each diagonal of the last item word, with jumps: ``counts`` of its matches, and ``trace`` for the ways of some.
+
+    Only every ``block``-th row is kept. Ways are traced block by block from the end, each block's rows made again.
+    """
+
+    def __init__(self, lattice: _Lattice) -> None:
+        self.lattice, n = lattice, lattice.n
+        self.block = n if n * lattice.m <= CELLS else max(1, int(n**0.5))
+        match, best = lattice.row(0)
+        counts = match.astype(np.int64)
+        self.kept, self.backs = {0: (best, counts)}, []
+        for i in range(1, n):
+            best, counts, back = _step(lattice, i, best, counts)
+            if self.block == n:
+                self.backs.append(back)
+            elif i % self.block == 0:
+                self.kept[i] = best, counts
+        self.counts = counts
+
+    def trace(self, ends: np.ndarray) -> np.ndarray:
+        """The diagonals of all item words, one column for each of ``ends``."""
+        n, at = self.lattice.n, ends.copy()
+        out = np.empty((n, len(ends)), dtype=np.int64)
+        for first in sorted(self.kept, reverse=True):
+            last = min(first + self.block, n) - 1
+            backs = self.backs
+            if self.block < n:
+                # the rows after ``first`` up to the next kept one, whose way back leads out of this block
+                backs, (best, counts) = [], self.kept[first]
+                for i in range(first + 1, min(last + 2, n)):
+                    best, counts, back = _step(self.lattice, i, best, counts)
+                    backs.append(back)
+            for i in range(min(last + 1, n - 1), first, -1):
+                out[i] = at
+                at = at + backs[i - first - 1][at]
+            out[first] = at
+        return out
 
 
 def _near_best(counts: np.ndarray) -> np.ndarray:
@@ -151,27 +215,25 @@ def aligned(doc: Words, item: Words, width: int = WINDOW, coverage: float = COVE
     for part in _regions(doc, item):
         if np.isin(item.template, part.template).sum() + item.capital.sum() < need:
             continue
-        view = [np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1, x.dtype), x, np.zeros(n - 1, x.dtype)]), n).T for x in part]
-        inside = np.lib.stride_tricks.sliding_window_view(np.pad(np.ones(len(part.raw), dtype=bool), n - 1), n).T
-        own = (view[1] == item.raw[:, None]) & inside
-        same = (view[0] == item.template[:, None]) & inside
-        loose = view[3] & item.capital[:, None] & ~same
-        same, loose = same | loose & own, loose & ~own
-        match = same | loose
-        straight = np.broadcast_to(np.arange(match.shape[1]), match.shape)
-        rows = np.arange(n)[:, None]
-        score = match + own * (0.5 / n)
-        bent = _paths(score)
-        best = _near_best(match[rows, bent].sum(axis=0))
+        lattice = _Lattice(part, item)
+        words = np.arange(n)
+        straight = np.zeros(lattice.m, dtype=np.int64)
+        for i in range(n):
+            straight += lattice.row(i)[0]
+        bent = _Bent(lattice)
+        best = _near_best(bent.counts)
         # not those that leave a better one half-way, as they shun the slots of the rest
-        for path, least in ((straight, CONSISTENT * best), (bent, best)):
-            count = match[rows, path].sum(axis=0)
-            for j in np.flatnonzero((count >= need) & (count >= least)):
-                at = rows[:, 0], path[:, j]
-                matched, exact, agree = _judge(item, view[1][at], same[at], loose[at])
-                # without a fixed word any row of slots would do
-                if matched >= need and agree >= CONSISTENT and (exact or not item.slot.all()):
-                    found.append((exact, matched))
+        for counts, least, trace in ((straight, CONSISTENT * best, lambda ends: np.broadcast_to(ends, (n, len(ends)))), (bent.counts, best, bent.trace)):
+            passed = np.flatnonzero((counts >= need) & (counts >= least))
+            for some in np.split(passed, range(0, len(passed), max(1, CELLS // n))[1:]) if len(passed) else []:
+                paths = trace(some)
+                for k in range(len(some)):
+                    at = words + paths[:, k]
+                    _, same, loose = lattice.compared(words, at)
+                    matched, exact, agree = _judge(item, lattice.raw[at], same, loose)
+                    # without a fixed word any row of slots would do
+                    if matched >= need and agree >= CONSISTENT and (exact or not item.slot.all()):
+                        found.append((exact, matched))
     if not found:
         return None
     exact, matched = max(found)

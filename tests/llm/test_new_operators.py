@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.llm import conversation_trie, html_extraction, merkle_manifest, quality
+from fluvia.llm import conversation_trie, decontamination, html_extraction, merkle_manifest, quality
 from fluvia.llm._common import numbered
 
 SF = "/root/testdata/sf0.001"
@@ -280,3 +281,30 @@ def test_text_beside_the_content_is_kept_and_clusters_decide(monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(html_extraction, "content_lines", lambda own: (np.ones(len(own), dtype=bool), 0.0))
         assert "Imprint" in html_extraction.main_text(page)
+
+
+# decontamination
+def test_alignments_do_not_depend_on_what_is_kept_in_memory(monkeypatch):
+    """Ways traced block by block are those of the ways kept whole; a long item needs no square of memory."""
+    draw = random.Random(0)
+    item = [draw.choice(["alpha", "beta", "gamma", "delta", "12", "Name"]) for _ in range(120)]
+    texts = []
+    for _ in range(30):
+        words = [draw.choice(["7", "Other"]) if w in ("12", "Name") and draw.random() < 0.3 else w for w in item]
+        for _ in range(draw.randrange(6)):
+            words.insert(draw.randrange(len(words)), "foo")
+            words.pop(draw.randrange(len(words)))
+        texts.append("some words " + " ".join(words[: draw.randrange(60, 121)]) + " and more")
+    parsed, (known, _) = [decontamination.templates([t])[0] for t in texts], decontamination.templates([" ".join(item)])
+    whole = [decontamination.aligned(d, known) for d in parsed]
+    assert 5 < sum(x is not None for x in whole) <= 30
+    monkeypatch.setattr(decontamination, "CELLS", 500)
+    assert [decontamination.aligned(d, known) for d in parsed] == whole
+    monkeypatch.undo()
+    lattice = decontamination._Lattice(decontamination.templates([" ".join(item * 10)])[0], decontamination.templates([" ".join(item * 10)])[0])
+    monkeypatch.setattr(decontamination, "CELLS", 50_000)
+    tracemalloc.start()
+    bent = decontamination._Bent(lattice)
+    assert bent.counts.max() == 1200 and (bent.trace(np.array([1199]))[:, 0] == 1199).all()
+    assert tracemalloc.get_traced_memory()[1] < 1200 * 2400 * 2
+    tracemalloc.stop()
