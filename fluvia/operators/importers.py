@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources import files
+from ..sources import config, files
 from . import mesh, overlay
 
 #: Latitudes of the regions that an import may be cut to.
@@ -138,6 +138,7 @@ def resolution_of(grid: str, metres: Column) -> Column:
 
 def compose(**settings) -> str:
     """The default mesh, geometry and spacing settings of a mesher as JSON, with ``settings`` in their place."""
-    # A whole ellipsoid at 100 km.
-    default = {"geom_mshID": "ellipsoid-mesh", "radii": [6371.0, 6371.0, 6371.0], "spac_mshID": "ellipsoid-grid", "spac_value": 100.0, "hfun_scal": "absolute", "hfun_hmax": "inf", "hfun_hmin": 0.0, "mesh_dims": 2, "optm_qlim": 0.95, "optm_iter": 32, "optm_qtol": 1.0e-05}
+    known = config.template("spacing")
+    names = ["geom_mshID", "spac_mshID", "hfun_scal", "hfun_hmax", "hfun_hmin", "mesh_dims", "optm_qlim", "optm_iter", "optm_qtol"]
+    default = {n: known[n] for n in names} | {"radii": [known["FULL_SPHERE_RADIUS"]] * 3, "spac_value": known["dSpac_value"]}
     return json.dumps(default | settings, sort_keys=True)

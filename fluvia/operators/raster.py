@@ -6,6 +6,7 @@ A raster is (x0, y0, step, rows, columns) in degrees, its cells numbered by rows
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,3 +109,14 @@ def spacing(spark: SparkSession, raster: Raster, layers: list[tuple[DataFrame, f
         now = written(less.where("best IS NULL OR spacing < best").select("cell_id", "spacing"), n=F.count("*"))
         found.append(now)
     return together(found).unionByName(start.withColumnRenamed("v", "spacing")).groupBy("cell_id").agg(F.min("spacing").alias("spacing"))
+
+
+def spacing_of(spark: SparkSession, settings: dict[str, Any], masks: dict[str, DataFrame]) -> DataFrame:
+    """(cell_id, spacing) of a mesher's ``settings`` (``config.template("spacing")``) over the whole globe, in metres.
+
+    ``masks`` has the cells (cell_id) of land, dam, city, river_network, coastline, watershed_boundary or lake_boundary,
+    each of which takes the resolution of its name, in kilometres; dhdx_lim limits the slope.
+    """
+    globe = Raster(-180.0, -90.0, 360.0 / settings["ncolumn_space"], settings["nrow_space"], settings["ncolumn_space"])
+    layers = [(cells_, settings[f"dResolution_{name}"] * 1000.0) for name, cells_ in masks.items()]
+    return spacing(spark, globe, layers, settings["dSpac_value"] * 1000.0, settings["dhdx_lim"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fluvia.functions import geo
 from fluvia.operators import mesh, overlay, raster
+from fluvia.sources import config
 
 C = F.col
 
@@ -94,3 +95,10 @@ def test_great_circles_hold_points_outside_of_their_box(spark):
     lon, lat = geo.midpoint(F.lit(0.0), F.lit(60.0), F.lit(2.0), F.lit(60.0))
     points = spark.range(1).select(C("id"), lon.alias("lon"), lat.alias("lat")).unionByName(spark.createDataFrame([(1, 1.0, 60.0), (2, 0.0, 60.0)], "id long, lon double, lat double"))
     assert [r["id"] for r in overlay.points_on_edges(e, points).collect()] == [0]
+
+
+def test_spacing_follows_the_settings(spark):
+    settings = config.template("spacing", ncolumn_space=36, nrow_space=18, dResolution_dam=4.0, dResolution_land=45.0)
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "cell_id long")
+    got = {r["cell_id"]: r["spacing"] for r in raster.spacing_of(spark, settings, {"land": one(*range(1, 649)), "dam": one(300, 300)}).collect()}
+    assert len(got) == 648 and got[300] == 4000.0 and {v for c, v in got.items() if c != 300} == {45_000.0}  # cells are wider than the slope reaches
