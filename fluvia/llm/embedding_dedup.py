@@ -1,7 +1,7 @@
 """Near-duplicate embeddings: randomised-rotation binary codes decide which pairs need exact cosines.
 
 A unit vector is rotated at random and kept as its signs, with the factor f = <o, code>: both are computed once for each
-vector and stored beside it. <code, q> / f is an unbiased estimate of <o, q>; its error is below
+vector and stored beside it, once whatever the number of bands. <code, q> / f is an unbiased estimate of <o, q>; its error is below
 EPSILON * sqrt(1 - f^2) / f / sqrt(D - 1) but for a probability that falls with exp(-EPSILON^2 / 2). Only pairs whose
 estimate plus that bound reaches the threshold are computed in double precision, and only those at or above the threshold
 are linked.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import discard, table, written
 from ._graph import connected_components
 
 THRESHOLD, BLOCK, MISS, EPSILON, MAX_BITS, SEED = 0.93, 1024, 1e-6, 5.0, 24, 20240501
@@ -47,22 +47,31 @@ def _units(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row a band: node, grp, copies, v, code, factor, keys (of all bands), band, key."""
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a vector: node, grp, copies, bits, v, code, factor, signs (the bits of all bands, packed), keys (a number a band)."""
     for pdf in batches:
         for (dim, bits), d in pdf.groupby(["dim", "bits"]):
+            dim, bits, bands = int(dim), int(bits), bands_for(int(bits))
+            numbers = range(-(-bands * bits // dim))
+            planes = np.concatenate([rotation(dim, i) for i in numbers])[: bands * bits] if bits else None
             for lo in range(0, len(d), 512):
                 part = d.iloc[lo : lo + 512]
-                bands, bits = bands_for(int(bits)), int(bits)
-                keys = np.zeros((len(part), bands), dtype=np.int64)
                 units = _units(part["v"])
                 code, factor = codes(units)
-                if bits:
-                    planes = np.concatenate([rotation(int(dim), i) for i in range(-(-bands * bits // int(dim)))])[: bands * bits]
-                    signs = (units @ planes.T > 0).reshape(len(part), bands, bits)
-                    keys = (signs * (1 << np.arange(bits))).sum(axis=2)
-                for band in range(bands):
-                    yield pd.DataFrame({"node": part["node"], "grp": part["grp"], "copies": part["copies"], "v": part["v"], "code": [c.tobytes() for c in code], "factor": factor, "keys": list(keys), "band": band, "key": keys[:, band]})
+                signs = np.packbits(units @ planes.T > 0, axis=1) if bits else np.zeros((len(part), 0), dtype=np.uint8)
+                keys = _keys(signs, bands, bits)
+                out = part[["node", "grp", "copies", "bits", "v"]]
+                yield out.assign(code=[c.tobytes() for c in code], factor=factor, signs=[x.tobytes() for x in signs], keys=list(keys))
+
+
+def _keys(signs: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """Packed signs -> the key of every band."""
+    apart = np.unpackbits(signs, axis=1, count=bands * bits).reshape(len(signs), bands, bits)
+    return (apart * (1 << np.arange(bits, dtype=np.int32))).sum(axis=2, dtype=np.int32)
+
+
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
 
 
 def codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +110,13 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """All pairs of one block, or of two blocks of a bucket. A pair counts in the first band whose key it shares."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    x, keys, copies = _units(pdf["v"]), np.array(list(pdf["keys"])), pdf["copies"].to_numpy()
-    one, two, band = pdf["one"].iloc[0], pdf["two"].iloc[0], pdf["band"].iloc[0]
+    x, copies = _units(pdf["v"]), pdf["copies"].to_numpy()
+    one, two, band, bits = (pdf[c].iloc[0] for c in ("one", "two", "band", "bits"))
+    keys = _keys(_bytes(pdf["signs"]), bands_for(int(bits)), int(bits)) if band else None
     rows = np.arange(len(pdf))
     left, right = (rows, rows) if one == two else (rows[pdf["part"] == one], rows[pdf["part"] == two])
     links = np.zeros(len(pdf), dtype=np.int64)
-    code, factor = np.array([np.frombuffer(c, dtype=np.uint8) for c in pdf["code"]]), pdf["factor"].to_numpy()
+    code, factor = _bytes(pdf["code"]), pdf["factor"].to_numpy()
     i, j = linked_pairs(x[left], x[right], code[left], factor[left]) if len(left) and len(right) else (rows[:0], rows[:0])
     i, j = left[i], right[j]
     if one == two:
@@ -139,17 +149,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     classes = written(base.where("node IS NOT NULL").groupBy("node").agg(F.any_value("grp").alias("grp"), F.any_value("v").alias("v"), F.count("*").alias("copies")), "op7-classes")
     bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.col("n") / float(BLOCK))))).cast("int")
     sized = classes.join(classes.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("node", "grp", "copies", "v", bits.alias("bits"), F.size("v").alias("dim"))
-    in_bands = written(sized.mapInPandas(_band_keys, f"node binary, grp string, copies long, v {kind}, code binary, factor double, keys array<long>, band int, key long"), "op7-bands")
+    vectors = written(sized.mapInPandas(_coded, f"node binary, grp string, copies long, bits int, v {kind}, code binary, factor double, signs binary, keys array<int>"), "op7-vectors")
     bucket = ["grp", "band", "key"]
-    parts = in_bands.groupBy(*bucket).agg(F.ceil(F.count("*") / float(2 * BLOCK)).alias("parts"))
+    in_bands = vectors.select("node", "grp", F.posexplode("keys").alias("band", "key"))
+    # buckets are told by narrow rows; a vector that is alone in its bucket travels no further
+    parts = in_bands.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket, F.ceil(F.col("n") / float(2 * BLOCK)).alias("parts"))
     d = in_bands.join(parts, bucket).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     d = d.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other")).drop("parts", "other")
+    d = d.join(vectors.select("node", "copies", "bits", "v", "code", "factor", "signs"), "node")
     found = written(d.groupBy(*bucket, "one", "two").applyInPandas(_compare, "node binary, links long, root binary"), "op7-links")
+    discard(vectors)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     ranked = classes.select("node", "copies").join(links, "node", "left").join(roots, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    ranked = written(ranked, "op7-classes")
+    ranked = written(ranked, "op7-ranked")
+    discard(classes)
+    discard(found)
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(ranked, "node").groupBy("root").agg(F.min("id").alias("component"))
     by_node = ranked.join(least, "root").select("node", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
     out = rows.join(by_node, "node", "left")
@@ -158,6 +174,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links, component and whether it stays, as ``near_duplicates`` states; vectors are compared within labels."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

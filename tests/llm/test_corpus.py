@@ -391,6 +391,25 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_repeated_and_equal_vectors_and_doubles(spark, monkeypatch):
+    """Rows 1 and 2 are one vector, 3 is 1 again as a row, 4 differs by less than floats tell, 5 is far away, 6 points the same way."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1)
+    a = [1.0 + i / 7 for i in range(16)]
+    rows = [(1, a), (2, a), (1, a), (4, [x + 1e-12 for x in a]), (5, [-x for x in a]), (6, [3 * x for x in a])]
+    d = spark.createDataFrame([(*r, "g") for r in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(d).collect())
+    assert got == [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (4, 4, 1, False), (5, 0, 5, True), (6, 4, 1, False)]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 6, 14])
+def test_band_keys_are_the_packed_signs(bits):
+    bands = embedding_dedup.bands_for(bits)
+    signs = np.random.default_rng(bits).random((9, bands, bits)) < 0.5
+    packed = np.packbits(signs.reshape(9, -1), axis=1)
+    want = [[sum(int(s) << i for i, s in enumerate(band)) for band in row] for row in signs]
+    assert embedding_dedup._keys(packed, bands, bits).tolist() == want
+
+
 # language
 def test_languages_of_held_out_documents(spark, docs, local):
     got = language_id.op8_language_id(spark, SF).toPandas().merge(local[["doc_id", "lang"]], on="doc_id")
