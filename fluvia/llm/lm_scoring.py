@@ -7,7 +7,7 @@ words of a text have shorter contexts. A text's score is the sum of the logarith
 ``count_table`` counts: every task counts its own texts' n-grams, their 64-bit hashes are dealt to buckets by their leading
 bits and each bucket is summed apart. A frequent n-gram travels once a chunk of texts, whatever the number of texts.
 
-``score`` looks up any texts: every word's n-grams are exploded, joined to the table and settled word by word.
+``score`` looks up any texts: every word's n-grams are dealt to the buckets, joined to the table and settled word by word.
 
 ``score_counted`` scores the very texts that were counted. All their n-grams are in the table, and contexts cancel out: the
 score is the sum of ln c over the n-grams of ORDER words, less that over the inner ones of ORDER - 1 words, less ln N. What
@@ -38,9 +38,18 @@ CHUNK, BUCKET, LEAST_BUCKETS, WIDE, HOT, FILTER_BITS = 3_000_000, 1 << 20, 128,
 _U = np.uint64
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted ``keys`` pass from one bucket to the next; buckets are ranges of leading bits."""
-    return np.searchsorted(keys, np.arange(1, buckets, dtype=_U) << _U(65 - buckets.bit_length()))
+def _runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) for each bucket that sorted ``keys`` fall in; buckets are ranges of leading bits."""
+    of = (keys >> _U(65 - buckets.bit_length())).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(keys)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            yield int(of[lo]), lo, hi
+
+
+def _spread(keys: np.ndarray, buckets: int) -> int:
+    """A bucket for what a chunk says about itself: any one, but not the same for all chunks."""
+    return int(keys[0]) % buckets if len(keys) else 0
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -68,9 +77,8 @@ def _counts(order: int, buckets: int):
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
             n = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
-            edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
-            rows = [(b, 0, _packed(keys[lo:hi]), n[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
-            rows.append((0, len(words), b"", b""))
+            rows = [(b, 0, _packed(keys[lo:hi]), n[lo:hi].tobytes()) for b, lo, hi in _runs(keys, buckets)]
+            rows.append((_spread(keys, buckets), len(words), b"", b""))
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "keys", "n"])
 
     return run
@@ -155,14 +163,12 @@ def _look_up(order: int, buckets: int, shared):
             at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
             known = often[at] == keys if len(often) else np.zeros(len(keys), dtype=bool)
             total = np.bincount(owner[known], weights=value[at[known]] * sign[known], minlength=batch.num_rows)
-            spot = (int(keys[0]) if len(keys) else len(words)) % buckets
+            spot = _spread(keys, buckets)
             ids = pa.ListArray.from_arrays([0, batch.num_rows], batch.column("id"))
             rows = [(spot // WIDE, task + nth, counts, total, b"", b"")]
             keys, place = keys[~known], (owner * 2 + (sign < 0))[~known]
-            edges = [0, *_cuts(keys, buckets).tolist(), len(keys)]
-            for bucket, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                if hi > lo:
-                    rows.append((bucket // WIDE, task + nth, None, None, _packed(keys[lo:hi]), _planes(place[lo:hi])))
+            for bucket, lo, hi in _runs(keys, buckets):
+                rows.append((bucket // WIDE, task + nth, None, None, _packed(keys[lo:hi]), _planes(place[lo:hi])))
             bucket, chunk, words, known, packed, places = (pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), _PARTS, strict=True))
             ids = pa.concat_arrays([ids, pa.nulls(len(rows) - 1, ids.type)])
             yield pa.RecordBatch.from_arrays([bucket, chunk, ids, words, known, packed, places], names=["bucket", "chunk", "ids", "words", "known", "keys", "places"])
@@ -171,14 +177,20 @@ def _look_up(order: int, buckets: int, shared):
     return run
 
 
+def _table_of(counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of some buckets; the keys of one bucket come before those of the next."""
+    counts = counts.sort_values("place")
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *counts["keys"]]).astype(np.int64).view(_U), np.concatenate([none, *counts["n"]]).astype(np.int64)
+
+
 def _settle(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     """WIDE buckets: for each chunk the sums of its n-grams by text, and the rows of what is known already as they are."""
     out = [(r.chunk, r.ids, r.words, None, r.known) for r in rows[rows["words"].notna()].itertuples()]
     rest = rows[rows["words"].isna()]
-    counts = counts.sort_values("place")  # the keys of one bucket come before those of the next
-    known = np.concatenate([np.zeros(0, dtype=np.int64), *counts["keys"]]).astype(np.int64).view(_U)
+    known, n = _table_of(counts)
     if len(rest) and len(known):
-        n = np.log(np.concatenate(list(counts["n"])).astype(float))
+        n = np.log(n)
         for (chunk,), d in rest.groupby(["chunk"]):
             keys, places = _unpacked(d["keys"]), _from_planes(d["places"])
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -205,6 +217,18 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"keys": [keys[n * HOT >= r.total].tobytes()], "n": [n[n * HOT >= r.total].tobytes()]})
 
 
+def _often(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of the n-grams that make up 1 / HOT of ``total`` words or more: HOT for each order at most."""
+    got = counts.select("keys", "n", F.lit(total).alias("total")).mapInPandas(_frequent, "keys binary, n binary").toPandas()
+    keys, n = _joined(got["keys"], _U), _joined(got["n"], np.int64)
+    at = np.argsort(keys)
+    return keys[at], n[at]
+
+
+def _by_width(counts: DataFrame):
+    return counts.select(F.expr(f"bucket div {WIDE}").cast("int").alias("bucket"), F.col("bucket").alias("place"), "keys", "n").groupBy("bucket")
+
+
 def _finished(summed: DataFrame, id_col: str) -> DataFrame:
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return summed.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
@@ -224,14 +248,12 @@ def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", o
     bits = np.zeros(max(1 << FILTER_BITS, counts.buckets * 8) // 8, dtype=np.uint8).reshape(counts.buckets, -1)
     for r in parts.itertuples():
         bits[r.bucket] = np.frombuffer(r.seen, dtype=np.uint8)
-    got = counts.select("keys", "n", F.lit(total).alias("total")).mapInPandas(_frequent, "keys binary, n binary").toPandas()
-    often, value = _joined(got["keys"], _U), np.log(_joined(got["n"], np.int64))
-    at = np.argsort(often)
-    shared = spark.sparkContext.broadcast((bits.ravel().view(_U), often[at], value[at]))
+    often, n = _often(counts, total)
+    shared = spark.sparkContext.broadcast((bits.ravel().view(_U), often, np.log(n)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     seen = rows.mapInArrow(_look_up(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, known array<double>, keys binary, places binary")
-    settled = seen.groupBy("bucket").cogroup(counts.select(F.expr(f"bucket div {WIDE}").cast("int").alias("bucket"), F.col("bucket").alias("place"), "keys", "n").groupBy("bucket"))
+    settled = seen.groupBy("bucket").cogroup(_by_width(counts))
     parts = settled.applyInPandas(_settle, f"chunk long, ids array<{kind}>, words array<long>, nth array<int>, part array<double>")
     texts = parts.groupBy("chunk").applyInPandas(_texts, f"id {kind}, words long, part double")
     summed = texts.groupBy("id").agg(F.sum("words").alias("n_words"), F.sum("part").alias("part"))
@@ -241,19 +263,74 @@ def score_counted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", o
     return out
 
 
-def _exploded(order: int):
-    """row, id, text -> row, id, pos, size, context, key: for each word its n-grams of each size, and what comes before it in each."""
+def _ask(order: int, buckets: int, shared):
+    """id, text -> a row with the texts of a chunk and the counts of its frequent n-grams, and a row for each bucket with the other n-grams.
+
+    The chunk's n-grams are numbered size by size in the order of their last words; places are these numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, n = shared.value
+        task, nth = TaskContext.get().partitionId() << 32, 0
+        for batch in arrow_chunks(batches, "text", CHUNK):
+            words, counts = text_words(batch.column("text"))
+            keys = np.concatenate([windows(words, counts, k)[0] for k in range(1, order + 1)])
+            place = np.argsort(keys)
+            keys = keys[place]
+            at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
+            known = often[at] == keys if len(often) else np.zeros(len(keys), dtype=bool)
+            rows = [(_spread(keys, buckets) // WIDE, task + nth, counts, b"", _planes(place[known]), n[at[known]].tobytes())]
+            keys, place = keys[~known], place[~known]
+            for bucket, lo, hi in _runs(keys, buckets):
+                rows.append((bucket // WIDE, task + nth, None, _packed(keys[lo:hi]), _planes(place[lo:hi]), b""))
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            bucket, chunk, sizes, packed, places, found = (pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))
+            ids = pa.ListArray.from_arrays([0, batch.num_rows], batch.column("id"))
+            ids = pa.concat_arrays([ids, pa.nulls(len(rows) - 1, ids.type)])
+            yield pa.RecordBatch.from_arrays([bucket, chunk, ids, sizes, packed, places, found], names=["bucket", "chunk", "ids", "words", "keys", "places", "n"])
+            nth += 1
+
+    return run
+
+
+def _answer(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    """WIDE buckets: for each chunk the places and counts of its n-grams that are in the table, and the rows with texts as they are."""
+    out = [(r.chunk, r.ids, r.words, r.places, r.n) for r in rows[rows["words"].notna()].itertuples()]
+    rest = rows[rows["words"].isna()]
+    known, n = _table_of(counts)
+    if len(rest) and len(known):
+        for (chunk,), d in rest.groupby(["chunk"]):
+            keys, places = _unpacked(d["keys"]), _from_planes(d["places"])
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            out.append((chunk, None, None, _planes(places[hit]), n[at[hit]].tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "ids", "words", "places", "n"])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches, "text", CHUNK // 10):
-            words, counts = text_words(pdf["text"])
-            for size in range(1, order + 1):
-                keys, owner = windows(words, counts, size)
-                nth = np.arange(len(keys)) - np.searchsorted(owner, owner)  # the place of the n-gram in its text
-                for context in (False, True):
-                    last = nth + size - (0 if context else 1)
-                    fits = last < counts[owner]
-                    yield pd.DataFrame({"row": pdf["row"].to_numpy()[owner[fits]], "id": pdf["id"].to_numpy()[owner[fits]], "pos": last[fits], "size": size, "context": context, "key": keys[fits].view(np.int64)})
+def _backed_off(order: int, total: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One chunk of texts: id, words and the sum of the words' scores for each. The context of a word's n-gram is the one that ends a word before."""
+        own = pdf[pdf["words"].notna()].iloc[0]
+        counts = np.asarray(own["words"], dtype=np.int64)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        pos = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+        found = np.zeros(sum(int((pos >= k).sum()) for k in range(order)))
+        found[_from_planes(pdf["places"])] = _joined(pdf["n"], np.int64)
+        value, before, start = None, None, 0
+        for k in range(order):
+            fits = pos >= k
+            c = np.zeros(len(owner))
+            c[fits] = found[start : start + int(fits.sum())]
+            start += int(fits.sum())
+            if k == 0:
+                value = np.log(np.where(c > 0, c, UNSEEN) / total)
+            else:
+                seen = fits & (c > 0)
+                value = np.where(fits, value + math.log(BACKOFF), value)
+                value[seen] = np.log(c[seen] / before[np.flatnonzero(seen) - 1])
+            before = c
+        part = np.bincount(owner, weights=value, minlength=len(counts))
+        return pd.DataFrame({"id": pd.Series(list(own["ids"]), dtype=object), "words": counts, "part": part})
 
     return run
 
@@ -261,25 +338,18 @@ def _exploded(order: int):
 def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_words, log_score, mean_log_score): any texts scored by a ``count_table`` of all counts, one row an id.
 
-    A word that was never counted takes UNSEEN for its count. Otherwise as ``score_counted``.
+    A word that was never counted takes UNSEEN for its count. Otherwise as ``score_counted``. N-grams that make up 1 / HOT
+    of all counted words are settled while the texts are read, the others in their buckets; chunks then back off word by word.
     """
-    order = counts.order
-    total = float(max(1, counts.agg(F.sum("words")).first()[0] or 0))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    grams = rows.mapInPandas(_exploded(order), f"row long, id {kind}, pos long, size int, context boolean, key long")
-    known = counts.select(F.explode(F.arrays_zip("keys", "n")).alias("g")).select(F.col("g.keys").alias("key"), F.col("g.n").alias("n"))
-    found = grams.join(known, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    pick = lambda size, context: F.coalesce(F.max(F.when((F.col("size") == size) & (F.col("context") == context), F.col("n"))), F.lit(0))
-    words = found.groupBy("row", "id", "pos").agg(*[pick(k, c).alias(f"{'b' if c else 'c'}{k}") for k in range(1, order + 1) for c in (False, True)])
-    value = F.log(F.when(F.col("c1") > 0, F.col("c1").cast("double")).otherwise(UNSEEN) / total)
-    for k in range(2, order + 1):
-        fits = F.col("pos") >= k - 1
-        value = F.when(fits & (F.col(f"c{k}") > 0), F.log(F.col(f"c{k}") / F.col(f"b{k - 1}"))).when(fits, math.log(BACKOFF) + value).otherwise(value)
-    summed = words.groupBy("id").agg(F.count("*").alias("n_words"), F.sum(value).alias("log_score"))
-    ids = docs.select(F.col(id_col).alias("id")).distinct()
-    full = ids.join(summed.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left")
-    return _finished(full.select("id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score")), id_col)
+    order, kind = counts.order, docs.schema[id_col].dataType.simpleString()
+    total = counts.agg(F.sum("words")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(_often(counts, total))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    asked = rows.mapInArrow(_ask(order, counts.buckets, shared), f"bucket int, chunk long, ids array<{kind}>, words array<long>, keys binary, places binary, n binary")
+    answered = asked.groupBy("bucket").cogroup(_by_width(counts)).applyInPandas(_answer, f"chunk long, ids array<{kind}>, words array<long>, places binary, n binary")
+    texts = answered.groupBy("chunk").applyInPandas(_backed_off(order, float(max(1, total))), f"id {kind}, words long, part double")
+    summed = texts.groupBy("id").agg(F.sum("words").alias("n_words"), F.sum("part").alias("log_score"))
+    return _finished(summed, id_col)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,33 +362,56 @@ def op6_lm_scoring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_counted(table(spark, sf_dir, "documents"), order=2)
 
 
-QUERIES = {"op6_lm_scoring": op6_lm_scoring, "op6_lm_scoring_all": op6_lm_scoring_all}
+def op6_lm_scoring_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the counts of those that are labelled good: in the others words back off, or were never counted."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    counts = count_table(docs.join(good, "doc_id", "left_semi"))
+    out = written(score(docs, counts), "op6-scores")
+    discard(counts)
+    return out
+
+
+QUERIES = {"op6_lm_scoring": op6_lm_scoring, "op6_lm_scoring_all": op6_lm_scoring_all, "op6_lm_scoring_backoff": op6_lm_scoring_backoff}
 _SPLIT = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
-e AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM t),
-u AS (SELECT word, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY word),
-b AS (SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM e WHERE prev IS NOT NULL GROUP BY prev, word),"""
+e AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM t),"""
+_COUNTED = """
+u AS (SELECT word, CAST(count(*) AS DOUBLE) AS n FROM {0} GROUP BY word),
+b AS (SELECT prev, word, CAST(count(*) AS DOUBLE) AS n FROM {0} WHERE prev IS NOT NULL GROUP BY prev, word),"""
+_TRIGRAMS = """
+g AS (SELECT prior, prev, word, CAST(count(*) AS DOUBLE) AS n FROM {0} WHERE prior IS NOT NULL GROUP BY prior, prev, word),"""
 _SUM = """
 SELECT d.doc_id, CAST(count(s.l) AS BIGINT) AS n_words, round(coalesce(sum(s.l), 0), 4) AS log_score,
   round(sum(s.l) / nullif(count(s.l), 0), 6) AS mean_log_score
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 ORACLES = {
-    "op6_lm_scoring": _SPLIT
+    "op6_lm_scoring": (_SPLIT + _COUNTED + _TRIGRAMS).format("e")
     + """
-g AS (SELECT prior, prev, word, CAST(count(*) AS DOUBLE) AS n FROM e WHERE prior IS NOT NULL GROUP BY prior, prev, word),
 s AS (
   SELECT e.doc_id, CASE WHEN g.n IS NOT NULL THEN ln(g.n / c.n) WHEN b.n IS NOT NULL THEN ln(b.n / p.n) + CASE WHEN e.prior IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END
     ELSE ln(u.n / (SELECT sum(n) FROM u)) + CASE WHEN e.prev IS NULL THEN 0 WHEN e.prior IS NULL THEN ln(CAST(0.4 AS DOUBLE)) ELSE 2 * ln(CAST(0.4 AS DOUBLE)) END END AS l
   FROM e JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev
     LEFT JOIN b c ON c.prev = e.prior AND c.word = e.prev LEFT JOIN g ON g.prior = e.prior AND g.prev = e.prev AND g.word = e.word)"""
     + _SUM,
-    "op6_lm_scoring_all": _SPLIT
+    "op6_lm_scoring_all": (_SPLIT + _COUNTED).format("e")
     + """
 s AS (
   SELECT e.doc_id, CASE WHEN b.n IS NOT NULL THEN ln(b.n / p.n) WHEN e.prev IS NULL THEN ln(u.n / (SELECT sum(n) FROM u))
     ELSE ln(CAST(0.4 AS DOUBLE) * u.n / (SELECT sum(n) FROM u)) END AS l
   FROM e JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev)"""
     + _SUM,
+    "op6_lm_scoring_backoff": _SPLIT
+    + "\nf AS (SELECT * FROM e WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),"
+    + (_COUNTED + _TRIGRAMS).format("f")
+    + """
+s AS (
+  SELECT e.doc_id, CASE WHEN g.n IS NOT NULL THEN ln(g.n / c.n) WHEN b.n IS NOT NULL THEN ln(b.n / p.n) + CASE WHEN e.prior IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END
+    ELSE ln(coalesce(u.n, CAST(0.5 AS DOUBLE)) / greatest(1, (SELECT coalesce(sum(n), 0) FROM u)))
+      + CASE WHEN e.prev IS NULL THEN 0 WHEN e.prior IS NULL THEN ln(CAST(0.4 AS DOUBLE)) ELSE 2 * ln(CAST(0.4 AS DOUBLE)) END END AS l
+  FROM e LEFT JOIN u ON u.word = e.word LEFT JOIN b ON b.prev = e.prev AND b.word = e.word LEFT JOIN u p ON p.word = e.prev
+    LEFT JOIN b c ON c.prev = e.prior AND c.word = e.prev LEFT JOIN g ON g.prior = e.prior AND g.prev = e.prev AND g.word = e.word)"""
+    + _SUM,
 }
