@@ -8,10 +8,9 @@ shingles and their weights its counts of them. A text of any length costs
 about COORDS * ln(COORDS) darts, plus a fraction for each element.
 
 Signatures are cut into bands and texts that share a band meet in a bucket. Equal texts are one class before that. In
-each bucket, members are first paired with a hashed centre, twice with other centres; after the components of the
-confirmed pairs, all pairs of a bucket that are still in different components follow (screened by the bits of a longer
-signature, which only texts of such buckets get; each pair in its first shared bucket), so that no link between components is left out while a large group costs a few pairs a
-member. Every pair is confirmed by the exact weighted Jaccard similarity of its counted shingles.
+each bucket, members are first paired with a hashed centre. What shares a bucket and is still in different components
+after that is compared by differences from a core, without the pairs of a bucket (``_leftover_pairs``): an exact filter
+that a linked pair cannot fail. Every pair is confirmed by the exact weighted Jaccard similarity of its counted shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, in_bitmap
@@ -31,8 +30,8 @@ from ._graph import connected_components
 from ._text import chunks, mix64, text_words, windows
 
 WIDTH, THRESHOLD, COORDS, ROWS, BANDS, ORDERS, FILTER_BITS = 5, 0.8, 256, 6, 42, 8, 23
-#: Coordinates and bits of each for the screen of leftover pairs, and its margin in standard deviations.
-SCREEN, BITS, MARGIN = 1024, 4, 5.0
+#: Sets of sizes m and n reach the threshold if at most SPARE * (m + n) elements are in one of them only.
+SPARE, EPS = (1 - THRESHOLD) / (1 + THRESHOLD), 1e-6
 _U = np.uint64
 
 
@@ -151,16 +150,6 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": pdf["node"].to_numpy(), "grams": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]})
 
 
-def _screen_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, grams -> node and BITS planes of one bit a coordinate, 64 to a word."""
-    for pdf in chunks(batches, "grams", 100_000):
-        elements = np.concatenate(pdf["grams"].tolist()).view(_U)
-        owner = np.repeat(np.arange(len(pdf)), pdf["grams"].map(len).to_numpy())
-        sig = dart_signatures(elements, owner, len(pdf), SCREEN)
-        planes = [np.packbits(((sig >> _U(8 + i)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for i in range(BITS)]
-        yield pd.DataFrame({"node": pdf["node"].to_numpy(), "bits": list(np.concatenate(planes, axis=1))})
-
-
 def text_node(text: Column) -> Column:
     """The class of a text: equal texts share it. Null stays null."""
     return F.unhex(F.md5(text))
@@ -193,9 +182,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _centred(members: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each member of a bucket with a hashed centre of it; ORDERS different orders over all buckets."""
-    order = F.pmod(F.col("key"), F.lit(ORDERS)) + seed * ORDERS
+def _centred(members: DataFrame) -> DataFrame:
+    """(key, node, centre): each member of a bucket with a hashed centre of it; ORDERS different orders over all buckets."""
+    order = F.pmod(F.col("key"), F.lit(ORDERS))
     centre = F.min(F.struct(F.xxhash64("node", order).alias("h"), F.col("node").alias("centre")))
     centres = members.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1").select("key", F.col("c.centre").alias("centre"))
     return members.join(centres, "key")
@@ -213,39 +202,65 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     base = docs.select(text_node(F.col(text)).alias("node"), F.col(text).alias("text")).where("text IS NOT NULL")
     signed = written(base.mapInPandas(_sign, "node binary, keys array<long>"), "op10-signatures")
     once = signed.dropDuplicates(["node"])
-    shared = written(_centred(once.select("node", F.explode("keys").alias("key")), 0), "op10-buckets")
+    shared = written(_centred(once.select("node", F.explode("keys").alias("key"))), "op10-buckets")
     stars = written(_pairs(shared), "op10-pairs")
-    links = _confirmed(stars, base)
-    groups = written(connected_components(links), "op10-groups")
-
-    # what shares a bucket and is still apart: once more with other centres, then every pair
-    apart = _apart(shared, groups)
-    second = apart.join(_centred(apart.select("key", "node"), 1).select("key", "node", "centre"), ["key", "node"])
-    at = apart.select("key", F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    second = _pairs(second.join(at, ["key", "centre"]).where("root != centre_root").select("node", "centre"))
-    second = written(second.join(stars, ["a", "b"], "left_anti"), "op10-pairs")
-    if second.isEmpty():
-        return groups
-    groups = written(connected_components(_as_edges(groups).unionByName(_confirmed(second, base))), "op10-groups")
-
-    apart = _apart(shared, groups)
-    sets = _gram_sets(apart.select("node"), base)
-    screens = sets.mapInPandas(_screen_bits, "node binary, bits array<long>")
-    apart = written(apart.join(once, "node").join(screens, "node"), "op10-open")
-    discard(sets)
-    agreed = sum(F.bit_count(_planes_equal(word)) for word in range(SCREEN // 64))
-    expected = THRESHOLD + (1 - THRESHOLD) / (1 << BITS)
-    least = SCREEN * (expected - MARGIN * math.sqrt(expected * (1 - expected) / SCREEN))
-    first = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.array_position("x.keys", F.col("x.key"))
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (agreed >= least) & first)
-    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "op10-pairs")
+    groups = written(connected_components(_confirmed(stars, base)), "op10-groups")
+    rest = written(_leftover_pairs(_apart(shared, groups), base).join(stars, ["a", "b"], "left_anti"), "op10-pairs")
     if rest.isEmpty():
         return groups
     return connected_components(_as_edges(groups).unionByName(_confirmed(rest, base)))
 
 
+def _leftover_pairs(apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``apart`` (key, node, root) that link all components that links between its nodes connect; few others.
+
+    Components whose buckets hang together are a cluster, and shingles of more than half of its texts are its core. A text is its
+    difference from the core: what it has beyond that and what it lacks. Where the differences of x and y have a and b
+    elements, o of them common, a + b - 2 o shingles are in one of the texts only. With the weight w = a - SPARE * size,
+    x and y are linked if and only if o >= (w(x) + w(y)) / 2. So there are two kinds of links:
+
+    - w(x) + w(y) <= 0: no common element is needed. Then both are linked with the cluster's lightest text, too.
+    - Else they have that many common elements, and the heavier one is not linked with the lightest text for its weight
+      alone. In an order that both obey, rare elements first, they share one of the first a - o + 1 and b - o + 1, and behind
+      the first shared one there is room for the others. Differences of many texts of one cluster have mostly rare elements.
+    """
+    roots = apart.groupBy("key", "root").count()
+    centres = roots.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("centre"))  # mostly the same in all buckets of a cluster
+    clusters = connected_components(_pairs(roots.join(centres, "key").select(F.col("root").alias("node"), "centre")))
+    clusters = clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    sets = _gram_sets(apart.select("node"), docs)
+    placed = written(apart.select("node", "root").distinct().join(clusters, "root").join(sets, "node"), "op10-clusters")
+    discard(sets)
+    counts = placed.select("cluster", F.explode("grams").alias("h")).groupBy("cluster", "h").count().where("count > 1")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"))
+    cores = counts.join(sizes, "cluster").where("2 * count > n").groupBy("cluster").agg(F.collect_list("h").alias("core"))
+    core = F.coalesce("core", F.array().cast("array<long>"))
+    differences = placed.join(cores, "cluster", "left").withColumn("differs", F.concat(F.array_except("grams", core), F.array_except(core, "grams")))
+    texts = differences.select("cluster", "node", "root", "differs", F.size("differs").alias("a"), (F.size("differs") - SPARE * F.size("grams")).alias("w"))
+    texts = written(texts, "op10-differences")
+    discard(placed)
+
+    light = texts.groupBy("cluster").agg(F.min(F.struct("w", "node", "root")).alias("light"))
+    texts_ = texts.join(light, "cluster").withColumn("heavy", F.col("w") + F.col("light.w") > EPS)
+    stars = texts_.where("NOT heavy AND root != light.root").select("node", F.col("light.node").alias("centre"))
+    least = texts_.where("heavy").groupBy("cluster").agg(F.min("w").alias("least"))  # none: all that can be linked are stars
+    elements = texts_.join(least, "cluster").select("cluster", "node", "root", "a", "w", "heavy", "least", F.col("light.w").alias("lightest"), F.explode("differs").alias("h"))
+    often = texts.select("cluster", F.explode("differs").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("f")).where("f > 1")
+    mine = Window.partitionBy("node")
+    at = F.col("a") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("f", "h"))  # those of one text only come first
+    needed = lambda other: F.greatest(F.lit(1), F.ceil((F.col("w") + other) / 2 - EPS))
+    ranked = elements.join(often, ["cluster", "h"]).withColumn("at", at)
+    ranked = ranked.withColumn("low", F.col("at") <= F.col("a") - needed(F.greatest("least", "w")) + 1)  # as the lighter one
+    ranked = ranked.withColumn("high", F.col("heavy") & (F.col("at") <= F.col("a") - needed(F.col("lightest")) + 1))
+    firsts = written(ranked.where("low OR high").select("cluster", "h", "node", "root", "a", "w", "at", "low", "high"), "op10-firsts")
+    x, y = firsts.where("high").alias("x"), firsts.where("low").alias("y")
+    heavier = F.struct("x.w", "x.node") > F.struct("y.w", "y.node")
+    room = 1 + F.least(F.col("x.a") - F.col("x.at"), F.col("y.a") - F.col("y.at")) >= (F.col("x.w") + F.col("y.w")) / 2 - EPS
+    same = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.h") == F.col("y.h"))
+    met = x.join(y, same & (F.col("x.root") != F.col("y.root")) & heavier & room)
+    return _pairs(stars.unionByName(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("centre"))))
+
+
 def _apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """(key, node, root) of the buckets whose members lie in more than one component."""
     placed = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -257,15 +272,6 @@ def _as_edges(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _planes_equal(word: int) -> Column:
-    out = None
-    for plane in range(BITS):
-        i = plane * (SCREEN // 64) + word
-        equal = F.bitwise_not(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
-        out = equal if out is None else out.bitwiseAND(equal)
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: id, class_id (least id of equal texts), group_id (least id of its near-duplicate group), kept.
 

@@ -640,6 +640,21 @@ def test_large_group_of_variants_equals_brute_force(spark):
     assert got.to_dict() == want and 1 < len(set(want.values())) < 120
 
 
+def test_pairs_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    """A passage with words of each text's own: most pairs lie just below the threshold, and only a few are to be compared."""
+    passage, rows = " ".join(f"w{i}" for i in range(160)), []
+    for i in range(240):
+        rows.append((i, passage + "".join(f" x{i}_{k}" for k in range(17 + i % 12))))
+    for i in range(240, 260):  # linked with each other by more than the passage
+        rows.append((i, passage + "".join(f" y{k}" for k in range(40)) + f" z{i}"))
+    compared, real = [], minhash_dedup._confirmed
+    monkeypatch.setattr(minhash_dedup, "_confirmed", lambda pairs, docs: compared.append(pairs.count()) or real(pairs, docs))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["group_id"]
+    want = _groups(dict(rows))
+    assert got.to_dict() == want and len(set(want.values())) > 100 and want[250] == 240
+    assert sum(compared) <= 20 * len(rows)
+
+
 # pipeline
 def _mixed(rows):
     """doc_id -> how often the mix takes it, one document at a time; rows of (doc_id, text, source)."""
