@@ -1,6 +1,7 @@
 """Every registered query of the core against its SQL over the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fluvia import queries
 from tests.compare import connect, difference
@@ -25,3 +26,10 @@ def test_duplicates_are_counted_without_lists(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert difference(queries.QUERIES[name](spark, SF), con, queries.ORACLES[name]) == ""
+
+
+def test_all_parts_of_shapefile_lines_are_read(spark):
+    got = queries.QUERIES["src_shp_flowline"](spark, SF).groupBy("line", "part").agg(F.count("*").alias("n"), F.max("n"), F.max("dam")).collect()
+    lines = {r["line"] for r in got}
+    assert len(lines) == 149 and {(r["line"], r["part"]): r["n"] for r in got} == {(k, p): 2 + p for k in lines for p in (0, 1) if p == 0 or k % 5 == 0}
+    assert all(r["n"] == r["max(n)"] and r["max(dam)"] == (r["line"] % 97 == 0) for r in got)
