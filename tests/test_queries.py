@@ -33,3 +33,9 @@ def test_all_parts_of_shapefile_lines_are_read(spark):
     lines = {r["line"] for r in got}
     assert len(lines) == 149 and {(r["line"], r["part"]): r["n"] for r in got} == {(k, p): 2 + p for k in lines for p in (0, 1) if p == 0 or k % 5 == 0}
     assert all(r["n"] == r["max(n)"] and r["max(dam)"] == (r["line"] % 97 == 0) for r in got)
+
+
+def test_all_features_of_the_grid_file_are_read_with_their_neighbors(spark):
+    got = {r["cell_id"]: r for r in queries.QUERIES["src_dggrid_geojson"](spark, SF).collect()}
+    assert set(got) == set(range(1, 885)) and sum(r["customer"] is not None for r in got.values()) == 150
+    assert all(0 not in r["neighbors"] and k in got[n]["neighbors"] for k, r in got.items() for n in r["neighbors"])
