@@ -8,7 +8,7 @@ quantile at the share of bad documents is where the probability is one half.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, table, written
-from ._split import sampled
+from ._common import discard, hash60, numbered, table, written
 from ._text import arrow_chunks, text_words
 
-# Parameters: labelled documents of each label to learn from at most; pairs that each of them is in at least; ridge.
-MAX_TRAIN, PAIRS, RIDGE = 20_000, 4, 1.0
+# Parameters: pairs that each labelled document is in at least; ridge.
+PAIRS, RIDGE = 4, 1.0
 FEATURES = ["upper", "digit", "stop", "shout", "bar", "symbol", "line", "beyond", "word_length", "distinct", "repeat", "size"]
 #: Of a byte of UTF-8: 1 upper, 2 lower, 3 digit, 4 stop, 5 exclamation, 6 bar, 7 other symbol, 8 line feed, 9 other blank,
 #: 10 part of a character beyond ASCII.
@@ -91,10 +90,21 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: floa
     left = np.concatenate([np.repeat(np.arange(len(good)), pairs), draw.integers(0, len(good), pairs * len(bad))])
     right = np.concatenate([draw.integers(0, len(bad), pairs * len(good)), np.repeat(np.arange(len(bad)), pairs)])
     x = good[left] - bad[right]
-    w = np.zeros(x.shape[1])
+    return newton(lambda w: newton_sums(x, w), x.shape[1], ridge)
+
+
+def newton_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and curvature of the logistic loss of differences, as one row; rows of parts add up."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (1 - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], k: int, ridge: float = RIDGE) -> np.ndarray:
+    """``k`` weights of least loss; ``sums`` gives ``newton_sums`` over all pairs."""
+    w = np.zeros(k)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (1 - p) - ridge * w)
+        found = sums(w)
+        step = np.linalg.solve(found[k:].reshape(k, k) + ridge * np.eye(k), found[:k] - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -126,17 +136,66 @@ def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> Model:
     return Model([float(v) for v in w], quantile(x @ w, weights, sizes[0] / (sizes[0] + sizes[1])))
 
 
+def _sums(w: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(w) * (len(w) + 1))
+        for pdf in batches:
+            total += newton_sums(pdf[FEATURES].to_numpy(), w)
+        yield pd.DataFrame({"sums": [total]})
+
+    return run
+
+
+def drawn_pairs(rows: DataFrame, sizes: dict[int, int], scale: list[float]) -> DataFrame:
+    """(the FEATURES): scaled differences good - bad, a written table. Each of ``rows`` (doc_id, quality, FEATURES) draws PAIRS of the other label.
+
+    ``sizes`` are the rows of each label; partners are drawn by hashed places in the label, so that no task holds a label.
+    """
+    order = [hash60(F.lit("pairs"), F.col("doc_id")), *[F.col(f) for f in FEATURES]]
+    placed = numbered(rows, ["quality"], order, "op12-numbered")
+    others = F.when(F.col("quality") == 1, sizes[0]).otherwise(sizes[1])
+    draws = placed.select("quality", "idx", *FEATURES, F.explode(F.sequence(F.lit(1), F.lit(PAIRS))).alias("draw"))
+    draws = draws.withColumn("at", F.pmod(hash60(F.lit("draw"), F.col("draw"), F.col("quality"), F.col("idx")), others))
+    partners = placed.select((1 - F.col("quality")).alias("quality"), F.col("idx").alias("at"), *[F.col(f).alias(f"other_{f}") for f in FEATURES])
+    sign = F.when(F.col("quality") == 1, 1.0).otherwise(-1.0)
+    met = draws.join(partners, ["quality", "at"])
+    pairs = written(met.select(*[(sign * (F.col(f) - F.col(f"other_{f}")) / s).alias(f) for f, s in zip(FEATURES, scale, strict=True)]), "op12-pairs")
+    discard(placed)
+    return pairs
+
+
 def learn(described: DataFrame, labels: DataFrame) -> Model:
-    """From (doc_id, FEATURES) and labels (doc_id, quality) that are not held out: MAX_TRAIN documents of each label at most.
+    """From all of (doc_id, FEATURES) with a label in labels (doc_id, quality) that are not held out, as ``fit`` does it, on Spark.
 
-    Null labels teach nothing; several labels of a document count as the greatest; repeated documents count once each.
+    Null labels teach nothing; several labels of a document count as the greatest; repeated documents count once each, and
+    labels without a document not at all. The driver gets sums of tasks only. Weights have nine digits, as sums of rows in
+    another order differ in the last ones.
     """
-    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    known = written(known, "op12-known")
-    sizes = {int(r["quality"]): r["count"] for r in known.groupBy("quality").count().collect()}
-    rows = described.join(sampled(known, "quality", MAX_TRAIN), "doc_id").orderBy("doc_id", *FEATURES).toPandas()
-    discard(known)
-    return fit(rows[FEATURES].to_numpy(dtype=float).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy(dtype=int), sizes)
+    known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality")).where(~held_out(F.col("doc_id")))
+    rows = written(described.join(known, "doc_id"), "op12-known")
+    sizes = {0: 0, 1: 0} | {int(r["quality"]): r["count"] for r in rows.groupBy("quality").count().collect()}
+    if not sizes[0] or not sizes[1]:
+        discard(rows)
+        return fit(np.zeros((sum(sizes.values()), len(FEATURES))), np.repeat([0, 1], [sizes[0], sizes[1]]), sizes)
+    spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in FEATURES]).first()
+    scale = [spread[f] if spread[f] >= 1e-9 else 1.0 for f in FEATURES]
+    pairs = drawn_pairs(rows, sizes, scale)
+    w = newton(lambda w: np.sum([r["sums"] for r in pairs.mapInPandas(_sums(w), "sums array<double>").collect()], axis=0), len(FEATURES))
+    discard(pairs)
+    weights = [float(f"{v / s:.9g}") for v, s in zip(w, scale, strict=True)]
+    ranked = numbered(rows.select(_ranking(weights).alias("z"), hash60(F.lit("rank"), F.col("doc_id")).alias("tie")), [], [F.col("z"), F.col("tie")], "op12-ranks")
+    beside = [r["z"] for r in ranked.where(F.col("idx").isin(sizes[0] - 1, sizes[0])).orderBy("idx").select("z").collect()]
+    discard(ranked)
+    discard(rows)
+    return Model(weights, sum(beside) / 2)
+
+
+def _ranking(weights: list[float]) -> Column:
+    """The linear score of the FEATURES."""
+    z = F.lit(0.0)
+    for name, w in zip(FEATURES, weights, strict=True):
+        z = z + F.lit(w) * F.col(name)
+    return z
 
 
 def held_out(doc_id: Column) -> Column:
@@ -146,9 +205,7 @@ def held_out(doc_id: Column) -> Column:
 
 def score(described: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id, score, predicted): one row a row of ``features``. Repeated rows get equal scores; an empty table gives an empty result."""
-    z = F.lit(-model.threshold)
-    for name, w in zip(FEATURES, model.weights, strict=True):
-        z = z + F.lit(w) * F.col(name)
+    z = _ranking(model.weights) - model.threshold
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     return described.select(id_col, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 

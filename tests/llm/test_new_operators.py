@@ -271,6 +271,19 @@ def test_quality_of_odd_documents(spark):
     assert quality.score(quality.features(d.limit(0)), quality.Model([0.0] * 12, 0.0)).count() == 0
 
 
+def test_quality_learns_from_all_labelled_documents(spark, monkeypatch):
+    """Every label tells: no bound on documents changes the model, and as many scores as there are bad documents lie below the threshold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 > 2).cast("long").alias("quality"))
+    described = quality.features(docs)
+    model = quality.learn(described, labels)
+    monkeypatch.setattr(quality, "MAX_TRAIN", 20, raising=False)
+    assert quality.learn(described, labels) == model
+    rows = described.join(labels, "doc_id").where(~quality.held_out(F.col("doc_id"))).toPandas()
+    scores = rows[quality.FEATURES].to_numpy() @ np.array(model.weights)
+    assert (scores < model.threshold).sum() == (rows["quality"] == 0).sum()
+
+
 # HTML extraction
 def test_text_beside_the_content_is_kept_and_clusters_decide(monkeypatch):
     """A short end beside the long box stays; without the clusters menus that only names tell come through."""
